@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontam
+from millrace.llm import decontam, linefirst, perspectives, urlcascade
 from millrace.plans.scratch import table
 
 QUERIES = {}
@@ -18,6 +18,45 @@ def query(sql: str | None = None):
     return add
 
 
+@query(perspectives.ORACLE)
+def op4_rotate_perspectives(spark, sf_dir):
+    return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op6_line_rules(spark, sf_dir):
+    judged = linefirst.clean_lines(table(spark, sf_dir, "documents"))
+    return judged.drop("clean_text", "removed_lines")
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "spam-farm"]
+
+
+@query(r"""
+WITH parts AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's')) AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages),
+rules(action, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'),
+  ('block', 'net/es/'), ('block', 'net/fr/')),
+cut AS (SELECT *, substr(rule, 1, strpos(rule, '/') - 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path FROM rules),
+best AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action FROM parts JOIN cut
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN list_has_any(string_split(host, '.'),
+  ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'spam-farm']) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (page_id)
+""")
+def op8_url_filter(spark, sf_dir):
+    return urlcascade.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, LISTED_LABELS).drop("listed_host")
+
+
 @query()
 def op10_decontaminate(spark, sf_dir):
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
