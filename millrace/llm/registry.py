@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontam, linefirst, perspectives, urlcascade
+from pyspark.sql import functions as F
+
+from millrace.llm import decontam, langid, linefirst, perspectives, urlcascade
 from millrace.plans.scratch import table
 
 QUERIES = {}
@@ -29,6 +31,14 @@ def op6_line_rules(spark, sf_dir):
     return judged.drop("clean_text", "removed_lines")
 
 
+@query()
+def op7_language(spark, sf_dir):
+    docs = langid.fold(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    found = langid.fold(langid.identify(docs, model))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits", "rejected")
+
+
 URL_RULES = [
     ("allow", "com/"),
     ("block", "example.com/en/"),
