@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, linefirst, perspectives, urlcascade
+from millrace.llm import decontam, langid, linefirst, packing, perspectives, tokens, urlcascade
 from millrace.plans.scratch import table
 
 QUERIES = {}
@@ -20,6 +20,31 @@ def query(sql: str | None = None):
     return add
 
 
+def _tokenizer() -> str:
+    """The public vocabulary of the queries; it lies with the public_tokenizers package on each machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op1_pack(spark, sf_dir):
+    return packing.pack_digest(packing.pack(table(spark, sf_dir, "documents"), _tokenizer()))
+
+
+#: What op2 edits: mail addresses, long numbers, and what looks like a key.
+MASKS = [(r"[^\s@]+@[^\s@]+", "<mail>"), (r"\d[\d -]{6,}\d", "<number>"), (r"[A-Za-z0-9+/_]{32,}={0,2}", "<key>")]
+
+
+@query()
+def op2_edited_counts(spark, sf_dir):
+    edits = tokens.mask_edits(table(spark, sf_dir, "documents"), MASKS)
+    counted = tokens.apply_edits(tokens.build_trees(edits, _tokenizer()), _tokenizer())
+    return counted.select(
+        "doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_ignored", "n_chars_encoded", F.size("leaf_tokens").cast("long").alias("n_leaves")
+    )
+
+
 @query(perspectives.ORACLE)
 def op4_rotate_perspectives(spark, sf_dir):
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
