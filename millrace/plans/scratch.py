@@ -28,14 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns it reread.
 
     Cuts lineage: what is made from the result needs no more than these files when executors are lost.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
