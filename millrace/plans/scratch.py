@@ -43,6 +43,11 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember(path: str) -> None:
+    """Has drop_tables() delete a table that was written by other means."""
+    _written.append(path)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Deletes every table written so far. Only for callers whose results are all stored elsewhere."""
     while _written:
