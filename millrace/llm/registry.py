@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, linefirst, packing, perspectives, tokens, urlcascade
+from millrace.llm import decontam, langid, linefirst, packing, perspectives, repeats, tokens, urlcascade
 from millrace.plans.scratch import table
 
 QUERIES = {}
@@ -92,6 +92,11 @@ def op8_url_filter(spark, sf_dir):
     return urlcascade.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, LISTED_LABELS).drop("listed_host")
 
 
+@query()
+def op9_repeated_strings(spark, sf_dir):
+    return repeats.repeats_digest(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_decontaminate(spark, sf_dir):
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
