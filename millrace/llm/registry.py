@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, linefirst, packing, perspectives, repeats, tokens, urlcascade
+from millrace.llm import decontam, langid, linefirst, packing, perspectives, repeats, tokens, urlcascade, wrapper
 from millrace.plans.scratch import table
 
 QUERIES = {}
@@ -45,6 +45,11 @@ def op2_edited_counts(spark, sf_dir):
     )
 
 
+@query()
+def op3_page_text(spark, sf_dir):
+    return wrapper.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query(perspectives.ORACLE)
 def op4_rotate_perspectives(spark, sf_dir):
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
