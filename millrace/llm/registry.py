@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, linefirst, packing, perspectives, repeats, tokens, urlcascade, wrapper
+from millrace.llm import decontam, jaccard, langid, linefirst, packing, perspectives, repeats, tokens, urlcascade, wrapper
 from millrace.plans.scratch import table
 
 QUERIES = {}
@@ -55,6 +55,12 @@ def op4_rotate_perspectives(spark, sf_dir):
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+@query()
+def op5_ngram_join(spark, sf_dir):
+    found = jaccard.link_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query()
 def op6_line_rules(spark, sf_dir):
     judged = linefirst.clean_lines(table(spark, sf_dir, "documents"))
