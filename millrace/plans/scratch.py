@@ -5,10 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Paths of tables, with the owner that was set when they were written.
+_written: list[tuple[str | None, str]] = []
+_owner: str | None = None
+
+
+@contextmanager
+def owned_by(owner: str):
+    """Tables written inside belong to this owner, and can be dropped together."""
+    global _owner
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,22 +53,22 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _written.append(path)
+    remember(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remember(path: str) -> None:
     """Has drop_tables() delete a table that was written by other means."""
-    _written.append(path)
+    _written.append((_owner, path))
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes every table written so far. Only for callers whose results are all stored elsewhere."""
-    while _written:
-        path = _written.pop()
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
+def drop_tables(spark: SparkSession, owner: str) -> None:
+    """Deletes an owner's tables. Only for callers that have stored everything that was made from them."""
+    jvm = spark.sparkContext._jvm
+    for entry in [e for e in _written if e[0] == owner]:
+        target = jvm.org.apache.hadoop.fs.Path(entry[1])
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _written.remove(entry)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
