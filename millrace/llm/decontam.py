@@ -98,48 +98,34 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
         yield block
 
 
-SCAN = "doc_id long, row_key string, n_words long, hits array<struct<start:int,end:int>>, items array<long>"
+_MARKS = ("_n_words", "_spans", "_items")
 
 
-def find_contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    width: int = 13,
-    block_chars: int = 8_000_000,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-) -> DataFrame:
-    """Per document row: id, text, n_words, spans (runs of hit words, [start, end)), items (found, sorted).
-
-    The benchmark passes through the driver one block of block_chars at a time, which bounds both the
-    driver's memory and what is sent to the tasks; further blocks scan the result of those before.
-    """
+def _mark(docs: DataFrame, benchmark: DataFrame, width: int, block_chars: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """docs with the columns _MARKS: number of words, spans of hit words, items found."""
     spark = docs.sparkSession
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = out.select(
-        "doc_id",
-        "text",
-        F.lit(None).cast("long").alias("n_words"),
-        F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"),
-        F.lit(None).cast("array<long>").alias("items"),
+    out = docs.select(
+        "*",
+        F.lit(None).cast("long").alias(_MARKS[0]),
+        F.lit(None).cast("array<struct<start:long,end:long>>").alias(_MARKS[1]),
+        F.lit(None).cast("array<long>").alias(_MARKS[2]),
     )
     blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
     for block in [next(blocks, [])]:
-        out = _scan(out, spark.sparkContext.broadcast((block, width)))
+        out = _scan(out, text_col, spark.sparkContext.broadcast((block, width)))
     for block in blocks:
-        out = _scan(out, spark.sparkContext.broadcast((block, width)))
+        out = _scan(out, text_col, spark.sparkContext.broadcast((block, width)))
     return out
 
 
-def _scan(docs: DataFrame, shared) -> DataFrame:
+def _scan(docs: DataFrame, text_col: str, shared) -> DataFrame:
     schema = docs.schema
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NgramSet(*shared.value)
         for batch in batches:
-            texts, old_spans, old_items = (batch.column(k).to_pylist() for k in (1, 3, 4))
+            texts, old_spans, old_items = (batch.column(x).to_pylist() for x in (text_col, *_MARKS[1:]))
             n_words, spans, items = [], [], []
             for text, before, had in zip(texts, old_spans, old_items, strict=True):
                 words = words_of(text)
@@ -150,23 +136,54 @@ def _scan(docs: DataFrame, shared) -> DataFrame:
                 n_words.append(len(words))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 items.append(sorted(found.union(had or ())))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(items, pa.list_(pa.int64())),
-                ],
-                names=schema.names,
-            )
+            marks = [pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *marks], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def find_contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = 13,
+    block_chars: int = 8_000_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """doc_id, text, n_words, spans (runs of hit words, [start, end)) and items (found, sorted) for every row.
+
+    The benchmark passes through the driver one block of block_chars at a time, which bounds both the
+    driver's memory and what is sent to the tasks; further blocks scan the result of those before.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _mark(rows, benchmark, width, block_chars, "text", item_col, item_text_col)
+    return found.select("doc_id", "text", *(F.col(c).alias(c[1:]) for c in _MARKS))
+
+
+def _n_hit(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = 13,
+    block_chars: int = 8_000_000,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """docs without those of which a twentieth of the words or more is inside of windows of the benchmark."""
+    found = _mark(docs, benchmark, width, block_chars, text_col, item_col, item_text_col)
+    n_hit = _n_hit(_MARKS[1])
+    return found.filter(~((n_hit > 0) & (20 * n_hit >= F.col(_MARKS[0])))).select(*docs.columns)
+
+
 def contamination_digest(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of find_contamination()'s rows."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    n_hit = _n_hit("spans")
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
         "doc_id",

@@ -305,3 +305,11 @@ def link_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     # an id with several texts belongs to one group
     group = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "cls", group.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast_ids: int = 2_000_000) -> DataFrame:
+    """docs with one document of each group, that of the smallest id. Rows without an id stay."""
+    found = link_groups(docs, width, percent, id_col, text_col, max_broadcast_ids)
+    gone = write_table(found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    small = gone.count() <= max_broadcast_ids
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

@@ -20,7 +20,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     """The public vocabulary of the queries; it lies with the public_tokenizers package on each machine."""
     import public_tokenizers
 
@@ -29,7 +29,7 @@ def _tokenizer() -> str:
 
 @query()
 def op1_pack(spark, sf_dir):
-    return packing.pack_digest(packing.pack(table(spark, sf_dir, "documents"), _tokenizer()))
+    return packing.pack_digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 #: What op2 edits: mail addresses, long numbers, and what looks like a key.
@@ -39,7 +39,7 @@ MASKS = [(r"[^\s@]+@[^\s@]+", "<mail>"), (r"\d[\d -]{6,}\d", "<number>"), (r"[A-
 @query()
 def op2_edited_counts(spark, sf_dir):
     edits = tokens.mask_edits(table(spark, sf_dir, "documents"), MASKS)
-    counted = tokens.apply_edits(tokens.build_trees(edits, _tokenizer()), _tokenizer())
+    counted = tokens.apply_edits(tokens.build_trees(edits, tokenizer_path()), tokenizer_path())
     return counted.select(
         "doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_ignored", "n_chars_encoded", F.size("leaf_tokens").cast("long").alias("n_leaves")
     )
