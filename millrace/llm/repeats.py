@@ -367,14 +367,25 @@ class LoserTree:
 _FOUND = "ord long, th long, spans binary, string binary, start long"
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return next((i for i in range(n) if a[i] != b[i]), n)
+
+
 def _merge_range(length: int, splitters: list[bytes]):
-    """Marks of the strings in a range that start earlier elsewhere in it; the first strings at anchors that other ranges share."""
-    common = {s[:ANCHOR] for s in splitters}
+    """Marks of the strings in a range that start earlier elsewhere in it; the first strings that other ranges may have.
+
+    A key shares no more with any key of another range than with the splitter between them, so a string can
+    be in another range only if what it takes of the suffix is within that.
+    """
+    common = {s[:ANCHOR] for s in splitters if len(s) > ANCHOR}
 
     def run(group: pa.Table) -> pa.Table:
         marks: dict[tuple[int, int], list[tuple[int, int]]] = {}
         open_rows: list[tuple] = []
         rows = group.to_pylist()
+        part = rows[0]["part"]
+        borders = splitters[max(0, part - 1) : part + 1]
         runs = [decode_run(r["n"], r["shared"], r["sizes"], r["bytes"], r["docs"], r["strings"]) for r in rows if r["n"]]
 
         def resolve(members: list[tuple[bytes, list]]) -> None:
@@ -383,9 +394,13 @@ def _merge_range(length: int, splitters: list[bytes]):
             if len(members) < 2 and not shared_anchor:
                 return
             first: dict[bytes, tuple] = {}
+            reach: set[bytes] = set()
             for key, (o, th, start, n) in members:
                 before = key[-1]
                 whole = key[len(key) - 1 - before : -1] + key[: len(key) - 1 - before]
+                if shared_anchor:
+                    beyond = max(_shared(key, s) for s in borders)
+                    reach.update(whole[k : k + length] for k in range(n) if length - before + k <= beyond)
                 for k in range(n):
                     string, mine = whole[k : k + length], (o, th, start + k)
                     old = first.setdefault(string, mine)
@@ -395,8 +410,7 @@ def _merge_range(length: int, splitters: list[bytes]):
                         else:
                             old = mine
                         marks.setdefault(old[:2], []).append((old[2], old[2] + length))
-            if shared_anchor:
-                open_rows.extend((o, th, string, start) for string, (o, th, start) in first.items())
+            open_rows.extend((*first[string][:2], string, first[string][2]) for string in reach)
 
         members: list[tuple[bytes, list]] = []
         for key, shared, record in LoserTree(runs):
@@ -448,7 +462,9 @@ def _splitters(texts: DataFrame, length: int, ranges: int, sample_docs: int = 20
 
     sample = texts.filter(F.pmod("th", F.lit(every)) == 0).select("text", "mask").mapInArrow(run, "key binary")
     keys = sorted(sample.toArrow().column("key").to_pylist())
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    # the suffixes of an anchor stay together, unless they are enough for ranges of their own
+    return sorted({c if cuts[i - 1][:ANCHOR] == c[:ANCHOR] and i else c[:ANCHOR] for i, c in enumerate(cuts)})
 
 
 def find_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

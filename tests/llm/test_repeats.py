@@ -60,6 +60,14 @@ def test_against_brute_force(spark):
         check(spark, corpus(seed))
 
 
+def test_an_anchor_in_many_ranges(spark):
+    rnd = random.Random(9)
+    line = "one very common line that stands in nearly all of the texts of this corpus, give or take a few, at some place"
+    tail = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    tails = [tail(60) for _ in range(8)]
+    check(spark, [(i, tail(rnd.randint(0, 30)) + line[rnd.randint(0, 9) :] + rnd.choice(tails)[: rnd.randint(1, 60)] + tail(40)) for i in range(400)])
+
+
 def test_small_pieces_and_runs(spark, monkeypatch):
     found = list(repeats.anchors(b"abc " * 300, 100))
     assert len(found) == 1
