@@ -5,20 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.plans.scratch import table
+from millrace.queries import Registry, algebra, analytics
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL counterpart."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
 
 
 @query("""
@@ -36,3 +25,8 @@ def groupby_count(spark, sf_dir):
         .groupBy("n_name")
         .agg(F.count("*").alias("n_orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("revenue_cents"))
     )
+
+
+_PARTS = [query, algebra.query, analytics.query]
+QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
