@@ -32,6 +32,10 @@ def _terms(query: str, most: int = 12, longest: int = 160) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in plain).split()[:most]
 
 
+def _some_starts(words: str, term: str) -> Column:
+    return F.exists(words, lambda w: F.startswith(w, F.lit(term)))
+
+
 def conjunctive_search(df: DataFrame, query: str, owner: str, title: str, taxonomy: list[str], description: str, id_col: str) -> DataFrame:
     """Rows that match every term, with score and ``approximate``: exact matches, or (if there are none) near ones.
 
@@ -53,7 +57,7 @@ def conjunctive_search(df: DataFrame, query: str, owner: str, title: str, taxono
         for c, w in weights.items():
             best = F.when(F.array_contains(f"_w_{c}", term), w)
             if len(term) >= 3:
-                best = best.when(F.exists(f"_w_{c}", lambda x, t=term: F.startswith(x, F.lit(t))), w * 0.6)
+                best = best.when(_some_starts(f"_w_{c}", term), w * 0.6)
             by_field.append(best.otherwise(0.0))
         exact.append(F.greatest(*by_field))
     rows = rows.withColumn("_words", words)
