@@ -161,7 +161,7 @@ def last_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 def first_of_pipes(text: Column) -> Column:
     """The first item of an ``a | b`` list that isn't blank."""
-    return F.get(F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
 
 
 def strip_tags(text: Column) -> Column:

@@ -91,8 +91,8 @@ def find_unique(df: DataFrame, key: dict[str, Any], or_throw: bool = False) -> D
     row = where(df, key).limit(1)
     if not or_throw:
         return row
-    there = row.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") == 0, F.raise_error("no such row")).alias("_e"))
-    return there.join(row, how="left").drop("_e")
+    there = row.agg(F.count("*").alias("_n")).filter(F.assert_true(F.col("_n") > 0, "no such row").isNull())
+    return there.join(row, how="left").drop("_n")
 
 
 def page(df: DataFrame, order_by: list[dict], number: int, size: int) -> tuple[DataFrame, int, int]:

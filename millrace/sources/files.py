@@ -95,7 +95,7 @@ def page_evidence(html: Column) -> Column:
     """A struct of a page's title (300 characters), headings (30), calls to action (50) and body text (24 000), with a digest."""
     no_code = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>|<!--.*?-->", " ")
     title = F.left(squeeze(strip_tags(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(300))
-    texts = lambda pattern, most: F.slice(F.filter(F.transform(F.regexp_extract_all(no_code, F.lit(pattern), 2), strip_tags), lambda t: t != ""), 1, most)
+    texts = lambda pattern, most: F.slice(F.filter(F.transform(F.regexp_extract_all(no_code, F.lit(pattern), 2), lambda t: strip_tags(t)), lambda t: t != ""), 1, most)
     headings = texts(r"(?is)<(h[1-3])\b[^>]*>(.*?)</h[1-3]>", 30)
     actions = F.slice(F.filter(texts(r"(?is)<(a|button)\b[^>]*>(.*?)</(?:a|button)>", 10_000), lambda t: F.length(t).between(2, 120)), 1, 50)
     body = F.left(strip_tags(F.regexp_replace(no_code, r"(?is)<head\b.*?</head>", " ")), F.lit(24_000))
@@ -106,4 +106,4 @@ def page_evidence(html: Column) -> Column:
 def json_ld(html: Column) -> Column:
     """The texts of a page's JSON-LD blocks; those that aren't JSON are left out."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
-    return F.filter(F.transform(blocks, F.trim), lambda b: F.get_json_object(b, "$").isNotNull())
+    return F.filter(F.transform(blocks, lambda b: F.trim(b)), lambda b: F.get_json_object(b, "$").isNotNull())
