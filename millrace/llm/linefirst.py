@@ -32,8 +32,8 @@ _BOILERPLATE = re.compile(
 REASONS = ("symbols", "capitals", "navigation", "boilerplate", "repeated_word", "repeated_line", "no_end")
 
 
-def judge_line(line: str, words: list[str], seen: set[str], end_words: int = 4) -> str | None:
-    """Why the line fails, if it does. Lines under end_words words may lack an end (headings)."""
+def judge_line(line: str, words: list[str], seen: set[str], end_words: int = 4, long_words: int = 40) -> str | None:
+    """Why the line fails, if it does. Lines under end_words words (headings) or from long_words on (cut off) may lack an end."""
     n = len(words)
     if sum(map(line.count, SYMBOLS)) > 0.3 * n + 1:
         return "navigation" if line.count("|") > 0.3 * n else "symbols"
@@ -48,7 +48,7 @@ def judge_line(line: str, words: list[str], seen: set[str], end_words: int = 4)
         return "boilerplate"
     if line in seen:
         return "repeated_line"
-    if n >= end_words and not _ENDS.search(line.rstrip(BLANKS)):
+    if end_words <= n < long_words and not _ENDS.search(line.rstrip(BLANKS)):
         return "no_end"
     return None
 
