@@ -221,3 +221,25 @@ def _without(text: str | None, spans) -> str | None:
 def items_sha256(items: list[int]) -> str:
     """The digest of a list of items, as contamination_digest() has it."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+
+
+#: find_contamination() and contamination_digest() of documents and benchmark, windows of 13 words.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bn AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+bg AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS g FROM (SELECT *, unnest(range(len(w) - n + 1)) AS i FROM bn)),
+dg AS (
+  SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS g FROM (
+    SELECT doc_id, w, n, unnest(range(greatest(0, len(w) - n + 1))) AS i FROM d, (SELECT DISTINCT n FROM bg))),
+m AS (SELECT doc_id, i, n, item_id FROM dg JOIN bg USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -108,7 +108,7 @@ def op9_repeated_strings(spark, sf_dir):
     return repeats.repeats_digest(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(decontam.ORACLE)
 def op10_decontaminate(spark, sf_dir):
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontam.contamination_digest(found)
