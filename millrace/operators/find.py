@@ -145,3 +145,24 @@ def child_count(parents: DataFrame, key: str, children: DataFrame, child_key: st
 def in_rank_order(df: DataFrame, key: str, ranked: DataFrame) -> DataFrame:
     """The rows of df that ``ranked`` (key, rank) names, in that order."""
     return df.join(ranked, key).orderBy("rank")
+
+
+def two_tiers(df: DataFrame, first: Column, order: list[Column], k: int) -> DataFrame:
+    """k rows: those of the first tier in order, then others in the same order. A condition that is unknown is the second tier."""
+    return df.orderBy(F.coalesce(first, F.lit(False)).desc(), *order).limit(k)
+
+
+def free_slots(bookings: DataFrame, start: str, end: str, begin: Any, horizon: Any, capacity: int, exclude: Column | None = None) -> DataFrame:
+    """One row, ``free``: capacity less the bookings that overlap the time from begin to horizon, 0 at least."""
+    from millrace.functions.numbers import overlaps
+
+    taken = bookings.filter(overlaps(F.col(start), F.col(end), F.lit(begin), F.lit(horizon)))
+    taken = taken if exclude is None else taken.filter(~exclude)
+    return taken.agg(F.greatest(F.lit(0), F.lit(capacity) - F.count("*")).alias("free"))
+
+
+def one_child_each(parents: DataFrame, key: str, children: DataFrame, child_key: str, preferred: Column, order: list[Column], k: int, parent_order: list[Column]) -> DataFrame:
+    """The first k parents, each with its first preferred child, or its first one; parents without children are left out."""
+    rank = F.row_number().over(Window.partitionBy(child_key).orderBy(F.coalesce(preferred, F.lit(False)).desc(), *order))
+    best = children.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return parents.join(best, F.col(key) == F.col(child_key)).orderBy(*parent_order).limit(k)

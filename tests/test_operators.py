@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import numbers, text, urls
+from millrace.functions import numbers, places, text, urls
 from millrace.operators import find, linkage, measure, rank, search
 from millrace.operators.where import Ref, Relation, where
 from millrace.plans import changes
@@ -75,6 +75,15 @@ def test_texts_and_urls(spark):
     assert one(spark, urls.same_site(F.lit("a.b.gr"), F.lit("b.gr"))) and not one(spark, urls.same_site(F.lit("ab.gr"), F.lit("b.gr")))
 
 
+def test_places(spark):
+    line = F.lit("Ερμού 12Α, Αθήνα 105 63, τηλ 2101234567")
+    assert one(spark, places.postal_code(line)) == "10563" and one(spark, places.street_numbers(line)) == ["12Α"]
+    assert one(spark, places.locality(line, [("Πάτρα", "Patras"), ("αθηνα", "Athens")])) == "Athens"
+    assert one(spark, places.region_label(F.lit(" "), F.lit("Αττική"), aliases={"αττικη": "Attica"})) == "Attica"
+    assert [one(spark, places.valid_name(F.lit(x), ["home"], ["shop", "the"])) for x in ("Home", "The shop", "Acme shop", "x", None)] == [False, False, True, False, False]
+    assert one(spark, F.size(places.address_chunks(F.lit("intro Οδός Α 12 Οδός χωρίς Οδός Β 7"), "Οδός"))) == 2
+
+
 CARDS = [
     ("noise", "AAA Gifts", "AAA Gifts", "", "everything but Sephora", True),
     ("sephora", "Sephora", "Sephora card", "Καλλυντικά beauty Γενέθλια birthday", "", False),
