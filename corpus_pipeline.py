@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, jaccard, langid, packing, repeats
+from millrace.llm.batches import bound_batches
 from millrace.llm.registry import tokenizer_path
 from millrace.plans import scratch
 from millrace.plans.scratch import table
@@ -22,6 +23,7 @@ OWNER = "corpus_pipeline"
 def _stage(f):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.drop_tables(spark, OWNER)
+        bound_batches(spark)
         with scratch.owned_by(OWNER):
             return f(spark, docs, sf_dir)
 

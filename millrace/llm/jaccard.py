@@ -4,8 +4,8 @@ A text is the set of its distinct shingles (64-bit hashes). Sets that are equal
 in one global order, rare ones first: by the magnitude of their document frequency, which a fixed-size table of
 counters estimates over all texts, then by hash. Two sets that are similar enough share a shingle among the
 first few of both (their prefixes), so classes meet in one bucket per prefix shingle. Pairs there are tried by
-length, then by the place of the shingle in both sets; pairs that remain are verified once each, first by the
-suffix filter and then exactly.
+length, then by the place of the shingle in both sets, then by how many shingles both prefixes must have in
+common; pairs that remain are verified once each, on whole sets, first by the suffix filter and then exactly.
 
 A bucket never lists all of its pairs. One member, the pivot, is paired with the others; the groups that
 follow from the links so far are worked out; and only where members of a bucket are still in different groups
@@ -21,23 +21,25 @@ rows that repeat an id are one document of whichever texts they have. Other colu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.groups import connected
 from millrace.plans.scratch import write_table
 
-_COUNTER_BITS, _SLICE_BITS = 20, 14
+_COUNTER_BITS, _SLICE_BITS = 22, 16
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 class Shingler:
-    """Distinct shingle hashes of texts, sorted. Word hashes are kept from text to text, up to a million of them."""
+    """Distinct shingle hashes of texts, sorted. Word hashes are kept from text to text, up to 200,000 of them."""
 
     def __init__(self, width: int):
         self.width = width
@@ -47,16 +49,12 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.words) > 1_000_000:
+        if len(self.words) > 200_000:
             self.words.clear()
         known = self.words
-        try:
-            h = np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            h = np.array([known[w] for w in words], np.uint64)
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(self.width, len(words))
         n = len(words) - width + 1
         out = np.full(n, width, np.uint64)
@@ -106,7 +104,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-_SETS = "doc_id long, cls long, n long, part int, at binary, times binary"
+_SETS = "doc_id long, cls long, n long, part int, times binary"
 
 
 def _read_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -115,95 +113,110 @@ def _read_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(width), np.zeros(1 << _COUNTER_BITS, np.uint32)
         for batch in batches:
-            cls, sizes, seen = [], [], set()
+            cls, sizes, seen, new = [], [], set(), []
             for text in batch.column(1).to_pylist():
                 s = shingler(text)
                 cls.append(set_class(s) if len(s) else None)
                 sizes.append(len(s))
                 if len(s) and cls[-1] not in seen:
                     seen.add(cls[-1])
-                    np.add.at(counts, (s >> np.uint64(64 - _COUNTER_BITS)).astype(np.int64), 1)
+                    new.append((s >> np.uint64(64 - _COUNTER_BITS)).astype(np.int32))
+            if new:
+                np.add.at(counts, np.concatenate(new), np.uint32(1))
             none = pa.nulls(len(cls), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(cls), pa.int32()), none, none],
-                names=["doc_id", "cls", "n", "part", "at", "times"],
+                [batch.column(0), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(cls), pa.int32()), none],
+                names=["doc_id", "cls", "n", "part", "times"],
+            )
+        slices = counts.reshape(-1, 1 << _SLICE_BITS)
+        parts = np.flatnonzero(slices.any(axis=1))
+        if len(parts):
+            none = pa.nulls(len(parts), pa.int64())
+            times = [zlib.compress(slices[k].tobytes(), 1) for k in parts]
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, pa.array(parts.astype(np.int32)), pa.array(times, pa.binary())], names=["doc_id", "cls", "n", "part", "times"]
             )
-        rows = []
-        for part in range(1 << (_COUNTER_BITS - _SLICE_BITS)):
-            mine = counts[part << _SLICE_BITS : (part + 1) << _SLICE_BITS]
-            at = np.flatnonzero(mine)
-            if len(at):
-                rows.append((part, at.astype(np.uint16).tobytes(), mine[at].tobytes()))
-        if rows:
-            parts, at, times = zip(*rows, strict=True)
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.int32()), pa.array(at), pa.array(times)], names=["doc_id", "cls", "n", "part", "at", "times"])
 
     return docs.mapInArrow(run, _SETS)
 
 
 def _magnitudes(sets: DataFrame) -> np.ndarray:
-    """The magnitude (a power of two) of each counter over all tasks: a fixed 2^20 bytes, whatever the input."""
+    """The magnitude (a power of two) of each counter over all tasks: a fixed 4 MB, whatever the input."""
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(1 << _SLICE_BITS, np.uint64)
-        for at, times in zip(group.column("at").to_pylist(), group.column("times").to_pylist(), strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(times, np.uint32)
+        for times in group.column("times").to_pylist():
+            total += np.frombuffer(zlib.decompress(times), np.uint32)
         powers = np.floor(np.log2(np.maximum(total, 1).astype(np.float64))).astype(np.uint8)
         return pa.table([group.column("part").slice(0, 1), pa.array([powers.tobytes()], pa.binary())], names=["part", "powers"])
 
     out = np.zeros(1 << _COUNTER_BITS, np.uint8)
-    parts = sets.filter("part is not null").select("part", "at", "times")
+    parts = sets.filter("part is not null").select("part", "times")
     for row in parts.groupBy("part").applyInArrow(add, "part int, powers binary").toLocalIterator():
         out[row["part"] << _SLICE_BITS : (row["part"] + 1) << _SLICE_BITS] = np.frombuffer(row["powers"], np.uint8)
     return out
 
 
-def _prefixes(docs: DataFrame, magnitudes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """token, cls, n, pos for the prefix of each class (once for each batch that has it)."""
+def _heads(docs: DataFrame, magnitudes: np.ndarray, width: int, percent: int) -> DataFrame:
+    """cls, n and head (the prefix, in the global order) of each class, once for each batch that has it."""
     shared = docs.sparkSession.sparkContext.broadcast(magnitudes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, powers = Shingler(width), shared.value
         for batch in batches:
-            tokens, classes, sizes, places, seen = [], [], [], [], set()
+            found: dict[int, tuple[int, np.ndarray]] = {}
             for text in batch.column(1).to_pylist():
                 s = shingler(text)
                 cls = set_class(s) if len(s) else None
-                if cls is None or cls in seen:
-                    continue
-                seen.add(cls)
-                k = prefix_length(len(s), percent)
-                order = np.argsort(powers[(s >> np.uint64(64 - _COUNTER_BITS)).astype(np.int64)], kind="stable")[:k]
-                tokens.append(s[order].view(np.int64))
-                classes.append(np.full(k, cls, np.int64))
-                sizes.append(np.full(k, len(s), np.int32))
-                places.append(np.arange(k, dtype=np.int32))
-            if tokens:
-                columns = [pa.array(np.concatenate(c)) for c in (tokens, classes, sizes, places)]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "cls", "n", "pos"])
-
-    return docs.mapInArrow(run, "token long, cls long, n int, pos int")
+                if cls is not None and cls not in found:
+                    order = np.argsort(powers[(s >> np.uint64(64 - _COUNTER_BITS)).astype(np.int64)], kind="stable")
+                    found[cls] = len(s), s[order[: prefix_length(len(s), percent)]].view(np.int64)
+            sizes, heads = zip(*found.values(), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.keys(), pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["cls", "n", "head"]
+            )
+
+    return docs.mapInArrow(run, "cls long, n int, head array<long>")
 
 
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """cls and the sorted set of each of these documents."""
+    """cls and the sorted set of each of these documents (each class once per batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            sets = [shingler(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"]
-            )
+            sets = {set_class(s): s.tobytes() for s in map(shingler, batch.column(1).to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], names=["cls", "shingles"])
 
     return docs.mapInArrow(run, "cls long, shingles binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked for pairs (a, b) of classes."""
-    of_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = of_b.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
+def _both_sides(pairs: DataFrame, table: DataFrame, columns: list[str], max_broadcast: int) -> DataFrame:
+    """pairs (a, b) with the columns of both classes' rows, as a_... and b_....
+
+    The table is narrowed to the classes in pairs before it is shuffled: while these are few enough, by a
+    broadcast of them.
+    """
+    wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "classes")
+    few = wanted.count() <= max_broadcast
+    narrow = write_table(table.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").select("cls", *columns), "narrow")
+    side = lambda x: narrow.select(F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def _screen(pairs: DataFrame, heads: DataFrame, percent: int, max_broadcast: int) -> DataFrame:
+    """Pairs of which the prefixes share as much as they must: if x and y share k shingles, then their first
+    |x| - k + m and |y| - k + m ones share m."""
+    rows = _both_sides(pairs, heads, ["n", "head"], max_broadcast)
+    n, m = F.col("a_n"), F.col("b_n")
+    need = F.ceil(percent * (n + m) / (100 + percent))
+    least = F.least(F.size("a_head") - n, F.size("b_head") - m) + need
+    return rows.filter(F.size(F.array_intersect("a_head", "b_head")) >= least).select("a", "b").distinct()
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, max_broadcast: int) -> DataFrame:
+    """The pairs that are similar."""
+    both = _both_sides(pairs, sets, ["shingles"], max_broadcast).select("a", "b", "a_shingles", "b_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,9 +224,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
@@ -234,8 +247,6 @@ def _key() -> Column:
 
 def _next_pivots(members: DataFrame, first: int, last: int) -> DataFrame:
     """token and pivot, for the pivots from number first to last (in the order of keys) of each bucket."""
-    from pyspark.sql import Window
-
     distinct = members.select("token", _key().alias("pivot")).distinct()
     share = Window.partitionBy("token", F.pmod("pivot.cls", F.lit(64))).orderBy("pivot")
     few = distinct.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= last)
@@ -243,73 +254,74 @@ def _next_pivots(members: DataFrame, first: int, last: int) -> DataFrame:
     return ranked.filter((F.col("rank") >= first) & (F.col("rank") <= last)).drop("rank")
 
 
-def link_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast_ids: int = 2_000_000) -> DataFrame:
+def link_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, cls (the class of equal sets, null if empty), component_id for every row.
 
     component_id is the smallest doc_id that links lead to; a link is a similarity of percent / 100 or more.
+    max_broadcast bounds the keys (8 bytes each) in a broadcast; beyond it the same joins shuffle.
     """
     texts = _texts(docs, id_col, text_col)
     sets = write_table(_read_sets(texts, width), "sets")
     rows = sets.filter("part is null").select("doc_id", "cls", F.col("n").alias("n_shingles"))
     firsts = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    prefixes = write_table(_prefixes(texts, _magnitudes(sets), width, percent), "prefixes")
-    pivots = prefixes.groupBy("token").agg(F.min(_key()).alias("pivot"), F.min("cls").alias("low"), F.max("cls").alias("high"))
-    pivots = pivots.filter("low != high").select("token", "pivot")
-    members = write_table(prefixes.join(pivots, "token"), "members")
+    heads = write_table(_heads(texts, _magnitudes(sets), width, percent), "heads")
+    prefixes = heads.select("cls", "n", F.posexplode("head").alias("pos", "token"))
+    several = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low != high").select("token")
+    members = write_table(prefixes.join(several, "token"), "members")
 
-    def fetch(pairs: DataFrame, have: DataFrame | None) -> DataFrame:
-        """The sets of the classes in pairs, read from one document of each; of them, those that aren't there yet."""
+    def fetch(pairs: DataFrame, have: list[DataFrame]) -> None:
+        """Adds the sets of those classes in pairs that aren't there yet, read from one document of each."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        if have is not None:
-            wanted = wanted.join(have.select("cls"), "cls", "left_anti")
-        ids = write_table(firsts.filter("doc_id is not null").join(wanted, "cls").select("doc_id"), "wanted")
-        small = ids.count() <= max_broadcast_ids
-        found = texts.join(F.broadcast(ids.distinct()) if small else ids.distinct(), "doc_id", "left_semi")
-        new = _set_rows(found, width).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-        return write_table(new if have is None else new.unionByName(have), "shingles")
-
-    have = tried = links = labels = None
-    top = 0
+        for table in have:
+            wanted = wanted.join(table.select("cls"), "cls", "left_anti")
+        ids = write_table(firsts.filter("doc_id is not null").join(wanted, "cls").select("doc_id", "cls"), "wanted")
+        few = ids.count() <= max_broadcast
+        hint = F.broadcast if few else lambda x: x
+        found = texts.join(hint(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+        have.append(write_table(_set_rows(found, width).join(hint(ids.select("cls")), "cls", "left_semi"), "shingles"))
+
+    have: list[DataFrame] = []
+    tried, links, labels, top = None, None, None, 0
     while True:
-        if top == 0:
-            pairs, top = _candidates(members, percent), 1
+        if labels is None:
+            pivots = members.groupBy("token").agg(F.min(_key()).alias("pivot"))
+            pairs, top = _candidates(members.join(pivots, "token"), percent), 1
         else:
-            # buckets that still have members of different groups, with those members' groups
+            # what is left: buckets with members of different groups, and more of them than pivots so far
             label = F.coalesce("label", "cls")
-            labelled = members.drop("pivot").join(labels, "cls", "left").select("token", "cls", "n", "pos", label.alias("label"))
-            active = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low != high")
-            labelled = write_table(labelled.join(active.filter(F.col("size") > top).select("token"), "token"), "active")
-            first, top = top + 1, 4 * top + 4
-            chosen = _next_pivots(labelled, first, top)
-            if chosen.limit(1).count() == 0:
+            labelled = members.select("token", "cls", "n", "pos").join(labels, "cls", "left").select("token", "cls", "n", "pos", label.alias("label"))
+            active = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+            active = active.filter((F.col("low") != F.col("high")) & (F.col("size") > top)).select("token")
+            members = write_table(labelled.join(active, "token"), "members")
+            if members.limit(1).count() == 0:
                 break
-            chosen = chosen.join(labelled.select("token", F.col("cls").alias("pivot_cls"), F.col("label").alias("pivot_label")).distinct(), (F.col("pivot.cls") == F.col("pivot_cls")) & (labelled.token == chosen.token)).select(chosen.token, "pivot", "pivot_label")
-            met = labelled.join(chosen, "token").filter((F.col("label") != F.col("pivot_label")) & (_key() > F.col("pivot")))
+            first, top = top + 1, 4 * top + 4
+            chosen = _next_pivots(members, first, top)
+            of_pivot = members.select(F.col("cls").alias("pivot_cls"), F.col("label").alias("pivot_label")).distinct()
+            chosen = chosen.join(of_pivot, F.col("pivot.cls") == F.col("pivot_cls")).select("token", "pivot", "pivot_label")
+            met = members.join(chosen, "token").filter((F.col("label") != F.col("pivot_label")) & (_key() > F.col("pivot")))
             pairs = _candidates(met, percent).join(tried, ["a", "b"], "left_anti")
         pairs = write_table(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
-            if top > 1:
-                continue
-            tried, links = pairs, pairs
-        else:
-            have = fetch(pairs, have)
-            verified = write_table(_verify(pairs, have, percent), "verified")
-            found = verified.filter("linked").select("a", "b")
-            tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        close = write_table(_screen(pairs, heads, percent, max_broadcast), "close")
+        if close.limit(1).count():
+            fetch(close, have)
+            found = write_table(_verify(close, reduce(DataFrame.unionByName, have), percent, max_broadcast), "links")
             links = found if links is None else links.unionByName(found)
-        labels = write_table(connected(links), "labels").select(F.col("node").alias("cls"), F.col("group").alias("label"))
+            labels = write_table(connected(links), "labels").select(F.col("node").alias("cls"), F.col("group").alias("label"))
+        elif labels is None:
+            labels = firsts.limit(0).select("cls", F.col("cls").alias("label"))
     named = firsts.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    groups = named.filter("label is not null").join(smallest, "label").select("cls", "component_id")
+    groups = named.join(smallest, "label").select("cls", "component_id")
     out = rows.join(groups, "cls", "left")
-    # an id with several texts belongs to one group
     group = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "cls", group.alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast_ids: int = 2_000_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
     """docs with one document of each group, that of the smallest id. Rows without an id stay."""
-    found = link_groups(docs, width, percent, id_col, text_col, max_broadcast_ids)
+    found = link_groups(docs, width, percent, id_col, text_col, max_broadcast)
     gone = write_table(found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.count() <= max_broadcast_ids
+    small = gone.count() <= max_broadcast
     return docs.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, jaccard, langid, linefirst, packing, perspectives, repeats, tokens, urlcascade, wrapper
+from millrace.llm.batches import bound_batches
 from millrace.plans.scratch import table
 
 QUERIES = {}
@@ -13,9 +16,14 @@ ORACLES = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def bounded(spark, sf_dir):
+            bound_batches(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = bounded
         ORACLES[f.__name__] = sql
-        return f
+        return bounded
 
     return add
 

@@ -41,7 +41,7 @@ from millrace.plans.scratch import shared_dir, write_table
 
 ANCHOR = 32
 _PIECE = 1 << 20
-_RUN = 400_000
+_RUN = 150_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _NO_ID = 2**63 - 1
 
