@@ -50,6 +50,14 @@ def test_counts_and_verdicts(spark):
 # -- language
 
 
+def test_calibration_takes_the_first_different_texts_by_hash(spark):
+    docs = spark.range(6000).selectExpr("concat('text ', id % 1500) AS text", "if(id % 3 = 0, 'aa', 'bb') AS lang")
+    got = langid._first_texts(docs, 100).collect()
+    keys = docs.selectExpr("shiftrightunsigned(xxhash64(text), 1) AS k", "lang", "text").distinct().orderBy("k", "lang").limit(100)
+    assert [(r.text, r.lang) for r in got] == [(r.text, r.lang) for r in keys.collect()]
+    assert langid._first_texts(docs.limit(0), 100).count() == 0 and langid._first_texts(docs, 5000).count() == docs.distinct().count()
+
+
 def test_models_sum_to_one_and_tell_languages_apart(spark):
     rnd = random.Random(1)
     words = {"aa": ["lumo", "tarek", "onu", "sil"], "bb": ["schraz", "wenn", "dorf", "zuck"]}
