@@ -5,12 +5,16 @@ first, and what is shuffled is a row per n-gram, language and task. Lower orders
 from the order above. The interpolated probability of every observed n-gram is worked out once and stored in
 one sorted array of hashes for each order, with a column for each language, so that scoring is a search in
 sorted arrays. A text's language is the one with the lowest cross-entropy per character. It is rejected if that
-entropy is far above what labelled texts of the language have: their mean plus a margin, calibrated on
-``calibration_texts`` of them (the first different ones by hash of the text).
+entropy is far above what labelled texts of the language have: their mean or 99.9th percentile plus a margin, of
+all labelled texts that the model tells right. A language with fewer than ``few_texts`` of them has learnt too
+little to know its own spread: its limit is the widest of all languages, its own included, plus 4 bits by the
+root of its texts' number, so every language has one (but if no labelled text is told right, none is rejected).
 
-The model is broadcast. Its size is bounded: each language keeps at most ``max_grams`` n-grams of the highest
-order (the most frequent, ties by hash), and lower orders can't have more; an n-gram that isn't kept backs off
-to the order below, as any unseen one does. More than ``max_langs`` languages are refused.
+The model is broadcast. Its size is bounded: of each order, each language keeps the n-grams that are found as
+often as the least power of two that ``max_grams`` of them or fewer reach (all, where they are no more). That is
+a share of the corpus, so more texts of the same kind keep the same n-grams. Counts, continuation counts and
+contexts' totals are of all n-grams: what isn't kept leaves its weight to the order below, to which it backs off.
+More than ``max_langs`` languages are refused.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; without any training
 text every text is ``und``; rows without a label don't train. Repeated rows are judged one by one. Texts are
@@ -25,9 +29,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.scratch import write_table
+
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _RUNS = re.compile(r"[\W\d_]+")
@@ -159,17 +166,22 @@ class Model:
         return out
 
 
-def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, discount: float = 0.75) -> Model:
-    """The model of {language: (n-grams of the highest order, their counts)}."""
-    langs = sorted(counts)
-    tables: list[dict[str, tuple]] = [counts]
-    for k in range(order - 1, 0, -1):
-        mask = (1 << (_BITS * k)) - 1
-        tables.insert(0, {x: np.unique(g & mask, return_counts=True) for x, (g, _) in tables[0].items()})
+def _contexts(g: np.ndarray, n: np.ndarray, total: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of sorted n-grams: hashes, totals over all n-grams, weights left to the order below."""
+    ctx, first = np.unique(g >> _BITS, return_index=True)
+    if not len(g):
+        return ctx, np.zeros(0), np.zeros(0)
+    total, kinds = total[first], np.diff(np.append(first, len(g)))
+    return ctx, total, (total - np.add.reduceat(n, first) + discount * kinds) / total
+
+
+def build_model(tables: list[dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]], discount: float = 0.75) -> Model:
+    """The model of, for each order from 1 on, {language: (sorted n-grams, their counts, their contexts' totals)}."""
+    order, langs = len(tables), sorted(tables[-1])
     model = Model(langs)
     for k, table in enumerate(tables, 1):
-        own = [g for g, _ in table.values()]
-        contexts = [g >> _BITS for g, _ in tables[k].values()] if k < order else []
+        own = [g for g, *_ in table.values()]
+        contexts = [g >> _BITS for g, *_ in tables[k].values()] if k < order else []
         keys = np.unique(np.concatenate([*own, *contexts])) if langs else np.zeros(0, np.int64)
         p = np.zeros((len(keys), len(langs)))
         backoff = np.zeros((len(keys), len(langs)))
@@ -179,26 +191,21 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, di
             found = below[at] == keys & ((1 << (_BITS * (k - 1))) - 1)
             lower = np.where(found[:, None], lower[at], 2.0**_FLOOR)
         for j, lang in enumerate(langs):
-            g, n = table[lang]
+            g, n, total = table[lang]
             mine = np.zeros(len(keys))
             mine[np.searchsorted(keys, g)] = n
+            ctx, totals, weights = _contexts(g, n, total, discount)
+            at, known = _search(ctx, keys >> _BITS)
+            c = np.where(known, totals[at], 1) if len(ctx) else np.ones(len(keys))
+            spare = np.where(known, weights[at], 1.0) if len(ctx) else np.ones(len(keys))
             if k == 1:
-                p[:, j] = np.maximum(mine - discount, 0) / max(1, n.sum()) + discount * len(g) / max(1, n.sum()) * 2.0**_FLOOR
-                p[:, j] = np.maximum(p[:, j], 2.0**_FLOOR)
+                p[:, j] = np.maximum(np.maximum(mine - discount, 0) / c + spare * 2.0**_FLOOR, 2.0**_FLOOR)
             else:
-                ctx, first = np.unique(g >> _BITS, return_index=True)
-                total, kinds = np.add.reduceat(n, first) if len(g) else n, np.diff(np.append(first, len(g)))
-                at, known = _search(ctx, keys >> _BITS)
-                c = np.where(known, total[at], 1) if len(ctx) else np.ones(len(keys))
-                spare = np.where(known, discount * kinds[at] / c, 1.0) if len(ctx) else np.ones(len(keys))
                 p[:, j] = np.maximum(mine - discount, 0) / c + spare * lower[:, j]
         if k < order:
             for j, lang in enumerate(langs):
-                g, n = tables[k][lang]
-                ctx, first = np.unique(g >> _BITS, return_index=True)
-                if len(g):
-                    weight = discount * np.diff(np.append(first, len(g))) / np.add.reduceat(n, first)
-                    backoff[np.searchsorted(keys, ctx), j] = np.log2(weight)
+                ctx, _, weights = _contexts(*tables[k][lang], discount)
+                backoff[np.searchsorted(keys, ctx), j] = np.log2(weights)
         model.orders.append((keys, np.log2(np.maximum(p, 2.0**-60)).astype(np.float32), backoff.astype(np.float32)))
     return model
 
@@ -216,33 +223,66 @@ def _first_texts(labelled: DataFrame, n: int) -> DataFrame:
     return few.groupBy("key", "lang").agg(F.min("text").alias("text")).orderBy("key", "lang").limit(n).select("text", "lang")
 
 
-def fit(
-    labelled: DataFrame, order: int = 4, max_grams: int = 250_000, max_langs: int = 100, calibration_texts: int = 2000
-) -> Model:
+def _gram_tables(labelled: DataFrame, order: int, max_grams: int, max_langs: int) -> list[dict[str, tuple]]:
+    """build_model()'s tables. Counts and totals are of all n-grams; those that are kept pass the driver."""
+    highest = write_table(count_grams(labelled, order), "grams")
+    names = [r["lang"] for r in highest.select("lang").distinct().limit(max_langs + 1).collect()]
+    if len(names) > max_langs:
+        raise ValueError(f"more than {max_langs} languages; no more are modelled")
+    counts = [highest]
+    for k in range(order - 1, 0, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << (_BITS * k)) - 1))
+        counts.insert(0, counts[0].groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("n")))
+    tables = []
+    for table in counts:
+        size = F.length(F.bin("n")) - 1  # of the power of two
+        sizes = table.groupBy("lang", size.alias("size")).agg(F.count("*").alias("grams")).collect()  # 64 a language at most
+        least = {}
+        for lang in names:
+            mine = {r["size"]: r["grams"] for r in sizes if r["lang"] == lang}
+            least[lang] = next(1 << t for t in range(65) if sum(v for k, v in mine.items() if k >= t) <= max_grams)
+        context = F.shiftright("gram", _BITS)
+        totals = table.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
+        bound = F.lit(1)
+        for lang, t in least.items():
+            bound = F.when(F.col("lang") == lang, F.lit(t)).otherwise(bound) if t > 1 else bound
+        kept = table.filter(F.col("n") >= bound).withColumn("context", context).join(totals, ["lang", "context"])
+        found = kept.select("lang", "gram", "n", "total").toArrow()
+        tables.append({})
+        for lang in names:
+            mine = found.filter(pc.equal(found.column("lang"), lang)).sort_by("gram")
+            tables[-1][lang] = tuple(mine.column(x).to_numpy().astype(np.int64) for x in ("gram", "n", "total"))
+    return tables
+
+
+def _limits(labelled: DataFrame, model: Model, few_texts: int) -> dict[str, float]:
+    """The bits per character beyond which texts are rejected, from all labelled texts: a row a language passes the driver."""
+    seen = _apply(labelled.select("text", "lang"), model, "lang").filter("bits is not null and lang_pred = lang")
+    step = F.ceil((F.col("bits") - 4 / F.sqrt("size")) * 64)
+    # exact counts by 64ths of a bit (some thousands a language), so the percentile doesn't depend on how tasks merge
+    bins = seen.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.col("bits").cast("decimal(20,12)")).alias("bits"))
+    over = Window.partitionBy("lang")
+    bins = bins.withColumn("texts", F.sum("n").over(over)).withColumn("upto", F.sum("n").over(over.orderBy("step")))
+    top = F.min(F.when(F.col("upto") >= 0.999 * F.col("texts"), F.col("step"))) / 64
+    at = bins.groupBy("lang").agg(F.first("texts").alias("texts"), (F.sum("bits").cast("double") / F.first("texts")).alias("mean"), top.alias("top")).collect()
+    own = {r["lang"]: max(r["mean"] + 1.5, r["top"] + 0.75) for r in at}
+    texts = {r["lang"]: r["texts"] for r in at}
+    enough = [limit for x, limit in own.items() if texts[x] >= few_texts] or [*own.values()]
+    if not enough:
+        return {}
+    return {
+        x: own[x] if texts.get(x, 0) >= few_texts else max(*enough, own.get(x, 0.0), 0.0) + 4 / np.sqrt(texts.get(x, 1))
+        for x in model.langs
+    }
+
+
+def fit(labelled: DataFrame, order: int = 4, max_grams: int = 250_000, max_langs: int = 100, few_texts: int = 30) -> Model:
     """A model of the rows of (text, lang) that have both."""
     if order * _BITS > 60:
         raise ValueError("a hash holds five characters at most")
     labelled = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    rank = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(64))).orderBy(F.desc("n"), "gram"))
-    # the most frequent of each of 64 shares by hash: no task sorts a whole language
-    kept = count_grams(labelled, order).withColumn("rank", rank).filter(F.col("rank") <= max_grams // 64).select("lang", "gram", "n")
-    found = kept.orderBy("lang", "gram").toArrow()
-    langs = found.column("lang").to_numpy()
-    g, n = (found.column(x).to_numpy().astype(np.int64) for x in ("gram", "n"))
-    names, starts = np.unique(langs.astype(str), return_index=True) if len(langs) else ([], [])
-    if len(names) > max_langs:
-        raise ValueError(f"{len(names)} languages; at most {max_langs} are modelled")
-    ends = [*starts[1:], len(g)][: len(names)]
-    model = build_model({str(x): (g[a:b], n[a:b]) for x, a, b in zip(names, starts, ends, strict=True)}, order)
-    sample = _first_texts(labelled.filter(F.length("text") > 0), calibration_texts)
-    seen = _apply(sample.select(F.lit(0).cast("long").alias("id"), "text", "lang"), model, "id", "lang")
-    at = (
-        seen.filter("bits is not null and lang_pred = lang")
-        .groupBy("lang")
-        .agg(F.avg("bits").alias("mean"), F.max(F.col("bits") - 4 / F.sqrt("size")).alias("top"))
-        .collect()
-    )
-    model.limits = {r["lang"]: max(r["mean"] + 1.5, r["top"] + 0.75) for r in at}
+    model = build_model(_gram_tables(labelled, order, max_grams, max_langs))
+    model.limits = _limits(labelled.filter(F.length("text") > 0), model, few_texts)
     return model
 
 

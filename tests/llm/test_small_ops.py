@@ -85,6 +85,36 @@ def test_models_sum_to_one_and_tell_languages_apart(spark):
         langid.fit(docs, max_langs=1)
 
 
+def test_every_language_has_a_limit_that_follows_its_texts(spark):
+    rnd = random.Random(3)
+    words = {"aa": ["lumo", "tarek", "onu", "sil", "mena", "rotu"], "cc": ["gwyzz", "phodd", "xyff", "kwabb", "jhupp", "vyngg"]}
+    text = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    rows = [(f"{text('aa', 12)} {i}", "aa") for i in range(6000)] + [("gwyzz phodd xyff kwabb", "cc")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model.limits) == {"aa", "cc"} and all(np.isfinite(x) for x in model.limits.values())
+    # another text of a language with one text passes, one mostly of letters that it doesn't have fails
+    assert [model.predict([text("cc", 30)])[0][i] for i in (0, 3)] == ["cc", False]
+    assert [model.predict(["gwccq qxcq cqyyc ffcq kwbbqc " * 9])[0][i] for i in (0, 3)] == ["cc", True]
+    assert model.limits["cc"] > model.limits["aa"]
+    assert langid.fit(spark.createDataFrame([], "text string, lang string")).limits == {}
+
+
+def test_pruning_leaves_lower_orders_and_sums_alone(spark):
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([("".join(rnd.choices("abcdefghijkl ", k=400)), "aa") for _ in range(40)], "text string, lang string")
+    whole, few = langid.fit(docs), langid.fit(docs, max_grams=2200)
+    assert len(few.orders[3][0]) < len(whole.orders[3][0]) and len(few.orders[3][0]) > 0
+    for k in (0, 1, 2):
+        assert (few.orders[k][0] == whole.orders[k][0]).all() and np.allclose(few.orders[k][1], whole.orders[k][1], atol=1e-5)
+    counts = {(r.lang, r.gram): r.n for r in langid.count_grams(docs, 4).collect()}
+    kept = {int(g) for g in few.orders[3][0]}
+    least = min(counts["aa", g] for g in kept)
+    assert least > 1 and kept == {g for (_, g), n in counts.items() if n >= least}  # by count alone, no share by hash
+    alphabet = sorted({int(c) for c in langid.codes("abcdefghijkl ")})
+    context = langid.codes("abc")[1:-1]
+    assert 0.97 < sum(2.0 ** few.log2(np.append(context, c))[-1][0] for c in alphabet) <= 1.001
+
+
 def test_long_texts_are_read_in_pieces(monkeypatch, spark):
     docs = spark.createDataFrame([("lumo tarek onu " * 30, "aa"), ("wenn dorf zuck " * 30, "bb")], "text string, lang string")
     model = langid.fit(docs)
