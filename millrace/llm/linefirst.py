@@ -33,7 +33,11 @@ REASONS = ("symbols", "capitals", "navigation", "boilerplate", "repeated_word",
 
 
 def judge_line(line: str, words: list[str], seen: set[str], end_words: int = 4, long_words: int = 40) -> str | None:
-    """Why the line fails, if it does. Lines under end_words words (headings) or from long_words on (cut off) may lack an end."""
+    """Why the line fails, if it does.
+
+    Lines under end_words words (headings) may lack an end; so may lines from long_words words on (cut off) that
+    have a sentence mark inside (a word with a sentence's end) for each full long_words words, as prose does.
+    """
     n = len(words)
     if sum(map(line.count, SYMBOLS)) > 0.3 * n + 1:
         return "navigation" if line.count("|") > 0.3 * n else "symbols"
@@ -48,8 +52,9 @@ def judge_line(line: str, words: list[str], seen: set[str], end_words: int = 4,
         return "boilerplate"
     if line in seen:
         return "repeated_line"
-    if end_words <= n < long_words and not _ENDS.search(line.rstrip(BLANKS)):
-        return "no_end"
+    if n >= end_words and not _ENDS.search(line.rstrip(BLANKS)):
+        if n < long_words or sum(1 for w in words if _ENDS.search(w)) < n // long_words:
+            return "no_end"
     return None
 
 

@@ -47,6 +47,15 @@ def test_counts_and_verdicts(spark):
     assert linefirst.clean_lines(frame.limit(0)).count() == 0
 
 
+def test_long_lines_without_an_end_need_marks_inside():
+    salad = [f"word{i}" for i in range(120)]
+    judge = lambda words: linefirst.judge_line(" ".join(words), words, set())
+    assert [judge(salad[:n]) for n in (3, 39, 41, 120)] == [None, "no_end", "no_end", "no_end"]
+    prose = [w + "." if i % 12 == 11 else w for i, w in enumerate(salad)]
+    assert judge(prose[:119]) is None and judge(prose[:50]) is None and judge([*salad[:119], "end."]) is None
+    assert not linefirst.judge_text(" ".join(salad))[6] and linefirst.judge_text(" ".join(prose[:119]))[6]
+
+
 # -- language
 
 
