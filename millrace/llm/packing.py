@@ -12,8 +12,8 @@ Running totals are sums in blocks that are bounded by construction (rows of a qu
 the rounds of a stretch, which hold as many tokens as windows), then sums of the blocks' totals, so a source may
 hold any part of the rows.
 
-Defined results: null texts are empty and consist of the end token; a null source is the queue ''; more than
-``max_queues`` sources share that many queues by hash; repeated rows and ids are packed one by one; an empty
+Defined results: null texts are empty and consist of the end token; a null source is the queue ''; each
+source is a queue of its own (the queues are broadcast up to ``max_queues``, and joined beyond); repeated rows and ids are packed one by one; an empty
 table gives no rows. Without target shares, a queue's share is its part of all tokens, and all queues last
 until the end. A queue with a target of 0 or none is served after all others. Other columns are ignored.
 """
@@ -74,32 +74,29 @@ def _before(df: DataFrame, key: list[str], block: str, size: str, out: str) -> D
 def layout(lengths: DataFrame, window: int = 2048, shares: dict[str, float] | None = None, max_queues: int = 1024) -> DataFrame:
     """row, round and start (place of the first token in the stream) for rows of (row, source, n_tokens)."""
     totals = lengths.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    many = totals.limit(max_queues + 1).count() > max_queues
-    queue = F.pmod(F.crc32("source"), F.lit(max_queues)).cast("string") if many else F.col("source")
-    totals = totals.groupBy(queue.alias("queue")).agg(F.sum("tokens").alias("tokens")).collect()  # max_queues rows at most
-    everything = sum(r["tokens"] for r in totals)
+    few = totals.limit(max_queues + 1).count() <= max_queues
     if shares is None:
-        shares = {r["queue"]: r["tokens"] / everything for r in totals}
-    whole = sum(max(0.0, shares.get(r["queue"], 0.0)) for r in totals) or 1.0
-    quanta = {r["queue"]: window * max(0.0, shares.get(r["queue"], 0.0)) / whole for r in totals}
-    last = 2 + max([0, *(int(r["tokens"] / quanta[r["queue"]]) for r in totals if quanta[r["queue"]] > 0)])
-    order = {q: i for i, q in enumerate(sorted(quanta))}
-    spark = lengths.sparkSession
-    queues = spark.createDataFrame(
-        [(q, order[q], float(x)) for q, x in quanta.items()], "queue string, queue_no int, quantum double"
-    )
-    rows = lengths.select("row", "n_tokens", queue.alias("queue"), F.expr(f"(row >> 33) * {(1 << 33) // _ROWS} + ((row & {(1 << 33) - 1}) div {_ROWS})").alias("block"))
-    rows = rows.join(F.broadcast(queues), "queue")  # max_queues rows at most
-    within = Window.partitionBy("queue_no", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+        share = F.col("tokens").cast("double")
+    else:
+        spark = lengths.sparkSession
+        targets = spark.createDataFrame([(q, max(0.0, float(x))) for q, x in shares.items()], "source string, share double")
+        totals, share = totals.join(targets, "source", "left"), F.coalesce("share", F.lit(0.0))
+    whole = totals.agg(F.sum(share)).first()[0] or 1.0
+    queues = totals.select(F.col("source").alias("queue"), "tokens", (share / F.lit(whole) * window).alias("quantum"))
+    last = 2 + (queues.filter("quantum > 0").agg(F.max(F.floor(F.col("tokens") / F.col("quantum")))).first()[0] or 0)
+    queues = queues.select("queue", "quantum")
+    rows = lengths.select("row", "n_tokens", F.col("source").alias("queue"), F.expr(f"(row >> 33) * {(1 << 33) // _ROWS} + ((row & {(1 << 33) - 1}) div {_ROWS})").alias("block"))
+    rows = rows.join(F.broadcast(queues) if few else queues.hint("merge"), "queue")
+    within = Window.partitionBy("queue", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("upto", F.sum("n_tokens").over(within)).join(
-        _before(rows, ["queue_no"], "block", "n_tokens", "queue_before"), ["queue_no", "block"]
+        _before(rows, ["queue"], "block", "n_tokens", "queue_before"), ["queue", "block"]
     )
     end = F.col("queue_before") + F.col("upto")
     # a queue without a share follows when all others have ended, at a window's worth for each round
     served = F.when(F.col("quantum") > 0, F.ceil(end / F.col("quantum"))).otherwise(F.lit(last) + F.ceil(end / F.lit(window)))
-    stream = ends.select("row", "queue_no", "n_tokens", served.cast("long").alias("round"))
+    stream = ends.select("row", "queue", "n_tokens", served.cast("long").alias("round"))
     stream = stream.withColumn("stretch", F.floor(F.col("round") / _ROUNDS))
-    within = Window.partitionBy("stretch").orderBy("round", "queue_no", "row").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("stretch").orderBy("round", "queue", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = stream.withColumn("upto", F.sum("n_tokens").over(within)).join(
         _before(stream, [], "stretch", "n_tokens", "stream_before"), "stretch"
     )

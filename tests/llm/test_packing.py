@@ -66,6 +66,17 @@ def test_target_shares_hold_while_queues_last(spark):
     check(packing.pack(docs, PATH, 256, max_queues=1).collect(), rows, 256)
 
 
+def test_shares_hold_for_any_number_of_sources(spark):
+    rows = [(i, "some words here " * 8, "a" if i % 4 else f"b{i % 3}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, start long")
+    for shares in ({"a": 1, "b0": 1}, None):
+        few, many = (packing.pack(docs, PATH, 256, shares=shares, max_queues=n).drop("ids").collect() for n in (1024, 2))
+        assert sorted(few) == sorted(many)
+        if shares:
+            first = [p for p in many if p.sequence_id < 5]
+            assert abs(sum(p.length for p in first if p.source == "b0") / sum(p.length for p in first) - 0.5) < 0.06
+
+
 def test_empty_table(spark):
     docs, _ = corpus(spark)
     assert packing.pack(docs.limit(0), PATH).count() == 0
