@@ -1,74 +1,49 @@
 """Self-join of texts on the Jaccard similarity of their word n-grams, and the groups that its links form.
 
 A text is the set of its distinct shingles (64-bit hashes). Sets that are equal are one class. Shingles are put
-in one global order, rare ones first: by the magnitude of their document frequency, which a fixed-size table of
-counters estimates over all texts, then by hash. Two sets that are similar enough share a shingle among the
-first few of both (their prefixes), so classes meet in one bucket per prefix shingle. Pairs there are tried by
-length, then by the place of the shingle in both sets, then by how many shingles both prefixes must have in
-common; pairs that remain are verified once each, on whole sets, first by the suffix filter and then exactly.
+in one global order, rare ones first, by exact document frequency over all texts, then by hash. Two sets that
+are similar enough share a shingle among the first few of both (their prefixes), so classes meet in one bucket
+per prefix shingle that several texts have. Pairs there are tried by length, then by the place of the shingle in
+both sets, then by how many shingles both prefixes must have in common; pairs that remain are verified once
+each, on whole sets, first by the suffix filter and then exactly.
+
+Frequencies come from one exchange: each batch of texts sends its shingles, packed and sorted, to ranges of
+hashes; a range answers which of them other texts have too, and how many. A prefix takes its places from those
+answers; shingles that no other text has fill its front, and needn't be listed, as no pair shares them.
 
 A bucket never lists all of its pairs. One member, the pivot, is paired with the others; the groups that
-follow from the links so far are worked out; and only where members of a bucket are still in different groups
-the next pivots are paired with members of other groups, four times as many pivots in each round, until every
-pair is either verified or within a group. So near copies by the thousand take a pair each, no link between
-groups is lost, and groups are exact.
+follow from the links so far are worked out; and only where members other than the pivots so far are still in
+different groups the next pivots are paired with members of other groups, sixteen times as many in each round,
+until every pair is either verified or within a group. So near copies by the thousand take a pair each, no link
+between groups is lost, and groups are exact.
 
 Defined results: null or empty texts and texts without words have an empty set, no links, and their own id as
 group; texts with fewer words than a shingle have one shingle, of all of them; rows without an id have no group;
-rows that repeat an id are one document of whichever texts they have. Other columns are ignored.
+rows that repeat an id are one document of whichever texts they have; an empty table gives no rows. Whole texts
+are read, however long: a text takes about ten times its size in one task's memory. Other columns are ignored.
+``docs`` should be a scan or a written table: a batch of texts is one unit of the exchange, and must come out
+the same if a lost executor's task is run again.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.groups import connected
+from millrace.llm.shingles import set_classes, shingle_sets
 from millrace.plans.scratch import write_table
 
-_COUNTER_BITS, _SLICE_BITS = 22, 16
-_MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-
-
-class Shingler:
-    """Distinct shingle hashes of texts, sorted. Word hashes are kept from text to text, up to 200,000 of them."""
-
-    def __init__(self, width: int):
-        self.width = width
-        self.words: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.words) > 200_000:
-            self.words.clear()
-        known = self.words
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(words))
-        n = len(words) - width + 1
-        out = np.full(n, width, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(width):
-                out = (out ^ h[k : k + n]) * _MULT[0]
-                out ^= out >> np.uint64(32)
-            out *= _MULT[1]
-        return np.unique(out ^ (out >> np.uint64(29)))
-
-
-def set_class(shingles: np.ndarray) -> int:
-    """A 64-bit digest of a set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+#: Bytes of text whose shingles a range of hashes takes on average, at most.
+_RANGE_BYTES = 32 << 20
+#: A token is a shingle's upper 48 bits: shingles that share them count as one in the order, not in the verification.
+_DROPPED = np.uint64(16)
 
 
 def needed(nx: int, ny: int, percent: int) -> int:
@@ -76,10 +51,6 @@ def needed(nx: int, ny: int, percent: int) -> int:
     return -(-percent * (nx + ny) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
-
-
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are similar: the suffix filter's bound on what they don't share, then exactly."""
     need = needed(len(x), len(y), percent)
@@ -97,177 +68,238 @@ def _differ_at_least(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     return _differ_at_least(x[:i], y[:j], depth - 1) + _differ_at_least(x[i:], y[j:], depth - 1)
 
 
-# -- jobs over all texts
+# -- document frequencies, and prefixes in their order
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-_SETS = "doc_id long, cls long, n long, part int, times binary"
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted, non-negative 64-bit integers as their differences, of 32 bits where these suffice."""
+    steps = np.diff(values, prepend=0)
+    small = len(steps) < 2 or steps[1:].max() < 1 << 32
+    return bytes((int(small),)) + values[:1].astype("<i8").tobytes() + steps[1:].astype("<u4" if small else "<u8").tobytes()
 
 
-def _read_sets(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each document with its class and size; and of each task, how often it met the shingles of each counter."""
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, "<u4" if packed[0] else "<u8", offset=9) if len(packed) > 1 else np.zeros(0, "<u4")
+    return np.cumsum(np.concatenate((np.frombuffer(packed, "<i8", 1 if len(packed) > 1 else 0, 1), steps.astype(np.int64))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(width), np.zeros(1 << _COUNTER_BITS, np.uint32)
-        for batch in batches:
-            cls, sizes, seen, new = [], [], set(), []
-            for text in batch.column(1).to_pylist():
-                s = shingler(text)
-                cls.append(set_class(s) if len(s) else None)
-                sizes.append(len(s))
-                if len(s) and cls[-1] not in seen:
-                    seen.add(cls[-1])
-                    new.append((s >> np.uint64(64 - _COUNTER_BITS)).astype(np.int32))
-            if new:
-                np.add.at(counts, np.concatenate(new), np.uint32(1))
-            none = pa.nulls(len(cls), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(cls), pa.int32()), none],
-                names=["doc_id", "cls", "n", "part", "times"],
-            )
-        slices = counts.reshape(-1, 1 << _SLICE_BITS)
-        parts = np.flatnonzero(slices.any(axis=1))
-        if len(parts):
-            none = pa.nulls(len(parts), pa.int64())
-            times = [zlib.compress(slices[k].tobytes(), 1) for k in parts]
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(parts.astype(np.int32)), pa.array(times, pa.binary())], names=["doc_id", "cls", "n", "part", "times"]
-            )
-
-    return docs.mapInArrow(run, _SETS)
-
-
-def _magnitudes(sets: DataFrame) -> np.ndarray:
-    """The magnitude (a power of two) of each counter over all tasks: a fixed 4 MB, whatever the input."""
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(1 << _SLICE_BITS, np.uint64)
-        for times in group.column("times").to_pylist():
-            total += np.frombuffer(zlib.decompress(times), np.uint32)
-        powers = np.floor(np.log2(np.maximum(total, 1).astype(np.float64))).astype(np.uint8)
-        return pa.table([group.column("part").slice(0, 1), pa.array([powers.tobytes()], pa.binary())], names=["part", "powers"])
-
-    out = np.zeros(1 << _COUNTER_BITS, np.uint8)
-    parts = sets.filter("part is not null").select("part", "times")
-    for row in parts.groupBy("part").applyInArrow(add, "part int, powers binary").toLocalIterator():
-        out[row["part"] << _SLICE_BITS : (row["part"] + 1) << _SLICE_BITS] = np.frombuffer(row["powers"], np.uint8)
-    return out
-
-
-def _heads(docs: DataFrame, magnitudes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """cls, n and head (the prefix, in the global order) of each class, once for each batch that has it."""
-    shared = docs.sparkSession.sparkContext.broadcast(magnitudes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, powers = Shingler(width), shared.value
-        for batch in batches:
-            found: dict[int, tuple[int, np.ndarray]] = {}
-            for text in batch.column(1).to_pylist():
-                s = shingler(text)
-                cls = set_class(s) if len(s) else None
-                if cls is not None and cls not in found:
-                    order = np.argsort(powers[(s >> np.uint64(64 - _COUNTER_BITS)).astype(np.int64)], kind="stable")
-                    found[cls] = len(s), s[order[: prefix_length(len(s), percent)]].view(np.int64)
-            sizes, heads = zip(*found.values(), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.keys(), pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["cls", "n", "head"]
-            )
+#: What a batch tells of its documents (their id, whether they have one, their class's number or -1) and of its classes.
+_DOC = np.dtype([("id", "<i8"), ("has", "?"), ("at", "<i4")])
+_CLASS = np.dtype([("cls", "<i8"), ("n", "<i4")])
+#: a, b, c: tokens, the numbers of their classes in the batch, their frequencies; or documents and classes.
+_PARTS = "bucket int, batch long, is_docs boolean, a binary, b binary, c binary"
 
-    return docs.mapInArrow(run, "cls long, n int, head array<long>")
+
+def _part_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names=["bucket", "batch", "is_docs", "a", "b", "c"]
+    )
+
+
+def _prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _exchange_tokens(width: int, buckets: int):
+    """Per batch: a row for each range of hashes with the tokens in it, and one with the batch's documents and classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
+            me = (part << 32) + number
+            shingles, sizes = shingle_sets(batch.column(1), width)
+            cls = set_classes(shingles, sizes)
+            full = np.flatnonzero(sizes)
+            _, firsts, which = np.unique(cls[full], return_index=True, return_inverse=True)
+            docs = np.zeros(len(sizes), _DOC)
+            docs["id"] = batch.column(0).fill_null(0).to_numpy()
+            docs["has"] = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            docs["at"] = -1
+            docs["at"][full] = which
+            firsts = full[firsts]  # the first document of each class
+            mine = np.full(len(sizes), -1)
+            mine[firsts] = np.arange(len(firsts))
+            owner = np.repeat(mine, sizes)
+            tokens = (shingles[owner >= 0] >> _DROPPED).astype(np.int64)
+            owner = owner[owner >= 0].astype("<i4")
+            classes = np.zeros(len(firsts), _CLASS)
+            classes["cls"], classes["n"] = cls[firsts], sizes[firsts]
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            bucket = (tokens >> 16) * buckets >> 32
+            cuts = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]))
+            rows = [(int(bucket[i]), me, False, pack_sorted(tokens[i:j]), owner[i:j].tobytes(), None) for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield _part_rows([*rows, (number % buckets, me, True, docs.tobytes(), classes.tobytes(), None)])
+
+    return run
+
+
+def _count_tokens(group: pa.Table) -> pa.Table:
+    """Keeps, of the rows of a range, the tokens that more than one text has, with their frequencies."""
+    out, rows = [], group.to_pylist()
+    parts = [r for r in rows if not r["is_docs"]]
+    found = [unpack_sorted(r["a"]) for r in parts]
+    if parts:
+        _, which, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        at = 0
+        for r, tokens in zip(parts, found, strict=True):
+            n = times[which[at : at + len(tokens)]]
+            at += len(tokens)
+            if (n > 1).any():
+                owner = np.frombuffer(r["b"], "<i4")[n > 1]
+                out.append((r["bucket"], r["batch"], False, pack_sorted(tokens[n > 1]), owner.tobytes(), n[n > 1].astype("<u4").tobytes()))
+    out += [tuple(r.values()) for r in rows if r["is_docs"]]
+    return pa.Table.from_batches([_part_rows(out)])
+
+
+#: A row for each document (doc_id, cls, n), and for each class of a batch whose prefix has tokens that other texts have.
+_FOUND = "is_doc boolean, doc_id long, cls long, n int, tokens array<long>, places array<int>"
+
+
+def _prefixes(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        own = next(r for r in rows if r["is_docs"])
+        docs, classes = np.frombuffer(own["a"], _DOC), np.frombuffer(own["b"], _CLASS)
+        rows = [r for r in rows if not r["is_docs"]]
+        tokens = np.concatenate([np.zeros(0, np.int64), *(unpack_sorted(r["a"]) for r in rows)])
+        owner = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(r["b"], "<i4") for r in rows)])
+        times = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r["c"], "<u4") for r in rows)])
+        order = np.lexsort((tokens, times, owner))
+        tokens, owner = tokens[order], owner[order]
+        n = classes["n"].astype(np.int64)
+        shared = np.bincount(owner, minlength=len(classes))
+        rank = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
+        places = (n - shared)[owner] + rank  # those that no other text has go before
+        kept = places < _prefix_lengths(n, percent)[owner]
+        tokens, owner, places = tokens[kept], owner[kept], places[kept]
+        has = np.bincount(owner, minlength=len(classes))
+        heads = np.flatnonzero(has)
+        offsets = np.concatenate((np.zeros(len(docs), np.int64), np.cumsum([0, *has[heads]]))).astype(np.int32)
+        none, listed = np.arange(len(docs) + len(heads)) < len(docs), docs["at"] >= 0
+        all_cls = np.append(classes["cls"], 0)
+        columns = [
+            pa.array(none),
+            pa.array(np.concatenate((docs["id"], np.zeros(len(heads), np.int64))), mask=np.concatenate((~docs["has"], np.ones(len(heads), bool)))),
+            pa.array(np.concatenate((all_cls[docs["at"]], classes["cls"][heads])), mask=np.concatenate((~listed, np.zeros(len(heads), bool)))),
+            pa.array(np.concatenate((np.append(classes["n"], 0)[docs["at"]], classes["n"][heads])).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32))),
+        ]
+        return pa.table(columns, names=["is_doc", "doc_id", "cls", "n", "tokens", "places"])
+
+    return run
+
+
+def _index(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """_FOUND's rows."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _RANGE_BYTES)
+    sent = texts.mapInArrow(_exchange_tokens(width, buckets), _PARTS)
+    counted = sent.groupBy("bucket").applyInArrow(_count_tokens, _PARTS)
+    return write_table(counted.groupBy("batch").applyInArrow(_prefixes(percent), _FOUND), "prefixes")
+
+
+# -- pairs
 
 
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     """cls and the sorted set of each of these documents (each class once per batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         for batch in batches:
-            sets = {set_class(s): s.tobytes() for s in map(shingler, batch.column(1).to_pylist())}
-            yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], names=["cls", "shingles"])
+            shingles, sizes = shingle_sets(batch.column(1), width)
+            cls, at = np.unique(set_classes(shingles, sizes), return_index=True)
+            ends = np.cumsum(sizes)
+            sets = [shingles[ends[i] - sizes[i] : ends[i]].tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
     return docs.mapInArrow(run, "cls long, shingles binary")
 
 
-def _both_sides(pairs: DataFrame, table: DataFrame, columns: list[str], max_broadcast: int) -> DataFrame:
-    """pairs (a, b) with the columns of both classes' rows, as a_... and b_....
-
-    The table is narrowed to the classes in pairs before it is shuffled: while these are few enough, by a
-    broadcast of them.
-    """
-    wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "classes")
-    few = wanted.count() <= max_broadcast
-    narrow = write_table(table.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").select("cls", *columns), "narrow")
-    side = lambda x: narrow.select(F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+def _both_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with the columns of both classes' rows, as a_... and b_...."""
+    side = lambda x: table.select(F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def _screen(pairs: DataFrame, heads: DataFrame, percent: int, max_broadcast: int) -> DataFrame:
+_PAIR = ["a", "b", "a_label", "b_label"]
+
+
+def _screen(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs of which the prefixes share as much as they must: if x and y share k shingles, then their first
-    |x| - k + m and |y| - k + m ones share m."""
-    rows = _both_sides(pairs, heads, ["n", "head"], max_broadcast)
-    n, m = F.col("a_n"), F.col("b_n")
-    need = F.ceil(percent * (n + m) / (100 + percent))
-    least = F.least(F.size("a_head") - n, F.size("b_head") - m) + need
-    return rows.filter(F.size(F.array_intersect("a_head", "b_head")) >= least).select("a", "b").distinct()
+    |x| - k + m and |y| - k + m ones share m. Shingles that no other text has aren't listed in a prefix; none is shared."""
+    rows = _both_sides(pairs, heads, ["n", "tokens"])
+    need = F.expr(f"({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent}")
+    beyond = lambda n: F.lit(1) - F.expr(f"({percent} * {n} + 99) div 100")  # noqa: E731  the prefix's length less the set's size
+    least = F.least(beyond("a_n"), beyond("b_n")) + need
+    return rows.filter(F.size(F.array_intersect("a_tokens", "b_tokens")) >= least).select(*_PAIR)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, max_broadcast: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar."""
-    both = _both_sides(pairs, sets, ["shingles"], max_broadcast).select("a", "b", "a_shingles", "b_shingles")
+    both = _both_sides(pairs, sets, ["shingles"]).select(*_PAIR, "a_shingles", "b_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = [
                 similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
             ]
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(linked, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long, a_label long, b_label long")
 
 
-def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """a, b (a < b) of the pairs of a pivot and a member that length and place let pass, each pair once.
+def _candidates(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """_PAIR's columns (a < b) of the pairs of a pivot and a later member of another group that length and place let pass.
 
     The bound by place holds at the first shingle that both sets share. A pair that it turns away at a later
     one is in the bucket of the first one too, and is tried there.
     """
     n, m = F.col("n"), F.col("pivot.n")
-    rest = F.least(n - F.col("pos"), m - F.col("pivot.pos"))
-    ok = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m)) & (F.col("cls") != F.col("pivot.cls"))
-    return members.filter(ok).select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct()
+    rest = F.least(n - F.col("place"), m - F.col("pivot.place"))
+    ok = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
+    met = members.join(pivots, "token").filter((F.col("cls") > F.col("pivot.cls")) & (F.col("label") != F.col("pivot.label")) & ok)
+    return met.select(F.col("pivot.cls").alias("a"), F.col("cls").alias("b"), F.col("pivot.label").alias("a_label"), F.col("label").alias("b_label")).distinct()
 
 
 def _key() -> Column:
-    return F.struct("pos", "n", "cls")
+    # by the class, a hash, so that near copies find the same pivot at most of their shingles
+    return F.struct("cls", "n", "place", "label")
 
 
-def _next_pivots(members: DataFrame, first: int, last: int) -> DataFrame:
-    """token and pivot, for the pivots from number first to last (in the order of keys) of each bucket."""
-    distinct = members.select("token", _key().alias("pivot")).distinct()
-    share = Window.partitionBy("token", F.pmod("pivot.cls", F.lit(64))).orderBy("pivot")
-    few = distinct.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= last)
+def _pivots(members: DataFrame, most: int) -> DataFrame:
+    """token and pivot, for the first members of each bucket, at most so many; a hot bucket is ranked in parts first."""
+    if most == 1:
+        return members.groupBy("token").agg(F.min(_key()).alias("pivot"))
+    rows = members.select("token", _key().alias("pivot"))
+    part = Window.partitionBy("token", F.pmod("pivot.cls", F.lit(64))).orderBy("pivot")
+    few = rows.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= most)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("pivot")))
-    return ranked.filter((F.col("rank") >= first) & (F.col("rank") <= last)).drop("rank")
+    return ranked.filter(F.col("rank") <= most).drop("rank")
 
 
-def link_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
+def link_groups(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000
+) -> DataFrame:
     """doc_id, n_shingles, cls (the class of equal sets, null if empty), component_id for every row.
 
     component_id is the smallest doc_id that links lead to; a link is a similarity of percent / 100 or more.
     max_broadcast bounds the keys (8 bytes each) in a broadcast; beyond it the same joins shuffle.
     """
     texts = _texts(docs, id_col, text_col)
-    sets = write_table(_read_sets(texts, width), "sets")
-    rows = sets.filter("part is null").select("doc_id", "cls", F.col("n").alias("n_shingles"))
+    found = _index(texts, width, percent)
+    rows = found.filter("is_doc").select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles"))
     firsts = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    heads = write_table(_heads(texts, _magnitudes(sets), width, percent), "heads")
-    prefixes = heads.select("cls", "n", F.posexplode("head").alias("pos", "token"))
-    several = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low != high").select("token")
-    members = write_table(prefixes.join(several, "token"), "members")
+    heads = write_table(found.filter("not is_doc").select("cls", "n", "tokens", "places").dropDuplicates(["cls"]), "heads")
+    zipped = F.explode(F.arrays_zip("tokens", "places")).alias("z")
+    left = heads.select("cls", "n", zipped).select("cls", "n", F.col("z.tokens").alias("token"), F.col("z.places").alias("place"), F.col("cls").alias("label"))
 
     def fetch(pairs: DataFrame, have: list[DataFrame]) -> None:
         """Adds the sets of those classes in pairs that aren't there yet, read from one document of each."""
@@ -275,53 +307,58 @@ def link_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         for table in have:
             wanted = wanted.join(table.select("cls"), "cls", "left_anti")
         ids = write_table(firsts.filter("doc_id is not null").join(wanted, "cls").select("doc_id", "cls"), "wanted")
-        few = ids.count() <= max_broadcast
-        hint = F.broadcast if few else lambda x: x
-        found = texts.join(hint(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-        have.append(write_table(_set_rows(found, width).join(hint(ids.select("cls")), "cls", "left_semi"), "shingles"))
+        hint = F.broadcast if ids.count() <= max_broadcast else lambda x: x
+        chosen = texts.join(hint(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+        have.append(write_table(_set_rows(chosen, width).join(hint(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]), "shingles"))
 
     have: list[DataFrame] = []
-    tried, links, labels, top = None, None, None, 0
+    tried: list[DataFrame] = []
+    labels, most = None, 1
     while True:
+        # what is left: buckets with members of different groups, without the pivots so far
+        active = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token")
+        members = write_table(left.join(active, "token"), "members")
+        if not members.limit(1).count():
+            break
+        pivots = write_table(_pivots(members, most), "pivots") if most > 1 else _pivots(members, 1)
+        pairs = _candidates(members, pivots, percent)
+        for table in tried:
+            pairs = pairs.join(table, ["a", "b"], "left_anti")
+        pairs = write_table(pairs, "pairs")
+        tried.append(pairs.select("a", "b"))
+        last = pivots.groupBy("token").agg(F.max("pivot.cls").alias("last"))
+        left = members.join(last, "token").filter("cls > last").drop("last")
+        most *= 16
+        close = write_table(_screen(pairs, heads, percent), "close")
+        if not close.limit(1).count():
+            continue
+        fetch(close, have)
+        links = write_table(_verify(close, reduce(DataFrame.unionByName, have), percent), "links")
+        if not links.limit(1).count():
+            continue
+        # only what the new links change is worked out: groups of the groups so far
+        new = connected(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
         if labels is None:
-            pivots = members.groupBy("token").agg(F.min(_key()).alias("pivot"))
-            pairs, top = _candidates(members.join(pivots, "token"), percent), 1
+            labels = new.select(F.col("node").alias("cls"), F.col("group").alias("label"))
         else:
-            # what is left: buckets with members of different groups, and more of them than pivots so far
-            label = F.coalesce("label", "cls")
-            labelled = members.select("token", "cls", "n", "pos").join(labels, "cls", "left").select("token", "cls", "n", "pos", label.alias("label"))
-            active = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-            active = active.filter((F.col("low") != F.col("high")) & (F.col("size") > top)).select("token")
-            members = write_table(labelled.join(active, "token"), "members")
-            if members.limit(1).count() == 0:
-                break
-            first, top = top + 1, 4 * top + 4
-            chosen = _next_pivots(members, first, top)
-            of_pivot = members.select(F.col("cls").alias("pivot_cls"), F.col("label").alias("pivot_label")).distinct()
-            chosen = chosen.join(of_pivot, F.col("pivot.cls") == F.col("pivot_cls")).select("token", "pivot", "pivot_label")
-            met = members.join(chosen, "token").filter((F.col("label") != F.col("pivot_label")) & (_key() > F.col("pivot")))
-            pairs = _candidates(met, percent).join(tried, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        close = write_table(_screen(pairs, heads, percent, max_broadcast), "close")
-        if close.limit(1).count():
-            fetch(close, have)
-            found = write_table(_verify(close, reduce(DataFrame.unionByName, have), percent, max_broadcast), "links")
-            links = found if links is None else links.unionByName(found)
-            labels = write_table(connected(links), "labels").select(F.col("node").alias("cls"), F.col("group").alias("label"))
-        elif labels is None:
-            labels = firsts.limit(0).select("cls", F.col("cls").alias("label"))
+            known = labels.unionByName(new.select(F.col("node").alias("cls"), F.col("node").alias("label"))).distinct()
+            joined = known.join(new.withColumnRenamed("node", "label"), "label", "left")
+            labels = write_table(joined.select("cls", F.coalesce("group", "label").alias("label")), "labels")
+        left = left.join(new.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("group", "label")).drop("group")
+    if labels is None:
+        labels = firsts.limit(0).select("cls", F.col("cls").alias("label"))
     named = firsts.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     groups = named.join(smallest, "label").select("cls", "component_id")
-    out = rows.join(groups, "cls", "left")
     group = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "cls", group.alias("component_id"))
+    linked = rows.filter("cls is not null").join(groups, "cls").select("doc_id", "n_shingles", "cls", group.alias("component_id"))
+    return linked.unionByName(rows.filter("cls is null").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
-    """docs with one document of each group, that of the smallest id. Rows without an id stay."""
+    """docs with one document of each group, that of the smallest id. Rows without an id stay. No column name is reserved."""
     found = link_groups(docs, width, percent, id_col, text_col, max_broadcast)
-    gone = write_table(found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.count() <= max_broadcast
-    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = write_table(found.filter("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
+    packed = docs.select(F.struct("*").alias("row"))
+    return packed.join(gone, F.col(f"row.`{id_col}`").cast("long") == F.col("gone"), "left_anti").select("row.*")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.llm import jaccard
 from millrace.llm.groups import connected
@@ -79,3 +80,35 @@ def test_connected(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r.node: r.group for r in connected(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90}
+
+
+def test_sets_of_a_batch():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices("aAbÉé \n\t\x0b\x1c　", k=rnd.randint(0, 40))) for _ in range(400)] + [None, "", " ", "x"]
+    for width in (1, 2, 5):
+        found, sizes = jaccard.shingle_sets(pa.array([*texts, "y"])[:-1], width)
+        parts, at = np.split(found, np.cumsum(sizes)[:-1]), {}
+        for text, own in zip(texts, parts, strict=True):
+            want = shingles(text, width)
+            assert len(own) == len(want) and list(own) == sorted(set(own.tolist()))
+            assert at.setdefault(tuple(own.tolist()), want) == want  # equal hashes only for equal sets
+        classes = jaccard.set_classes(found, sizes)
+        assert len(set(classes.tolist())) == len(at)
+
+
+def test_packed_tokens():
+    rnd = np.random.default_rng(0)
+    for top in (3, 1 << 20, 1 << 47):
+        for n in (0, 1, 2, 500):
+            values = np.sort(rnd.integers(0, top, n))
+            assert jaccard.unpack_sorted(jaccard.pack_sorted(values)).tolist() == values.tolist()
+
+
+def test_one_word_without_blanks_and_clashing_columns(spark):
+    long = "日" * 1_000_000
+    rows = [(1, long, 1), (2, long + " x", 2), (3, long, 3), (4, "a b c d e f", 4), (None, "a b c d e f", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, gone long")
+    left = jaccard.drop_near_copies(frame.withColumn("row", frame.gone).withColumn("label", frame.gone))
+    assert left.columns == ["doc_id", "text", "gone", "row", "label"]
+    assert sorted((r.gone, r.row) for r in left.collect()) == [(1, 1), (2, 2), (4, 4), (5, 5)]
+    assert jaccard.drop_near_copies(frame.limit(0)).count() == 0
