@@ -3,9 +3,10 @@
 A text is the set of its distinct shingles (64-bit hashes). Sets that are equal are one class. Shingles are put
 in one global order, rare ones first, by exact document frequency over all texts, then by hash. Two sets that
 are similar enough share a shingle among the first few of both (their prefixes), so classes meet in one bucket
-per prefix shingle that several texts have. Pairs there are tried by length, then by the place of the shingle in
-both sets, then by how many shingles both prefixes must have in common; pairs that remain are verified once
-each, on whole sets, first by the suffix filter and then exactly.
+per prefix shingle that several texts have. Pairs there are tried by length, by the place of the shingle in both
+sets, by 256 bits of each set (whether the shingles that fall on a bit are odd in number: where bits differ, so do
+the sets), then by how many shingles both prefixes must have in common; pairs that remain are verified once each, on whole sets,
+first by the suffix filter and then exactly.
 
 Frequencies come from one exchange: each batch of texts sends its shingles, packed and sorted, to ranges of
 hashes; a range answers which of them other texts have too, and how many. A prefix takes its places from those
@@ -40,8 +41,10 @@ from millrace.llm.groups import connected
 from millrace.llm.shingles import set_classes, shingle_sets
 from millrace.plans.scratch import write_table
 
-#: Bytes of text whose shingles a range of hashes takes on average, at most.
-_RANGE_BYTES = 32 << 20
+#: Bytes of text whose shingles a range of hashes takes on average, at most; and ranges for each shuffle partition, at least.
+_RANGE_BYTES, _RANGES = 32 << 20, 4
+#: 64-bit numbers that hold a set's bits.
+_BITS = ["bits0", "bits1", "bits2", "bits3"]
 #: A token is a shingle's upper 48 bits: shingles that share them count as one in the order, not in the verification.
 _DROPPED = np.uint64(16)
 
@@ -89,7 +92,7 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 
 #: What a batch tells of its documents (their id, whether they have one, their class's number or -1) and of its classes.
 _DOC = np.dtype([("id", "<i8"), ("has", "?"), ("at", "<i4")])
-_CLASS = np.dtype([("cls", "<i8"), ("n", "<i4")])
+_CLASS = np.dtype([("cls", "<i8"), ("n", "<i4"), ("bits", "<i8", 4)])
 #: a, b, c: tokens, the numbers of their classes in the batch, their frequencies; or documents and classes.
 _PARTS = "bucket int, batch long, is_docs boolean, a binary, b binary, c binary"
 
@@ -129,6 +132,8 @@ def _exchange_tokens(width: int, buckets: int):
             owner = owner[owner >= 0].astype("<i4")
             classes = np.zeros(len(firsts), _CLASS)
             classes["cls"], classes["n"] = cls[firsts], sizes[firsts]
+            times = np.bincount(owner.astype(np.int64) * 256 + (tokens & 255), minlength=len(firsts) * 256)
+            classes["bits"] = np.packbits((times & 1).astype(bool)).view("<i8").reshape(-1, 4)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             bucket = (tokens >> 16) * buckets >> 32
@@ -158,7 +163,7 @@ def _count_tokens(group: pa.Table) -> pa.Table:
 
 
 #: A row for each document (doc_id, cls, n), and for each class of a batch whose prefix has tokens that other texts have.
-_FOUND = "is_doc boolean, doc_id long, cls long, n int, tokens array<long>, places array<int>"
+_FOUND = "is_doc boolean, doc_id long, cls long, n int, bits0 long, bits1 long, bits2 long, bits3 long, tokens array<long>, places array<int>"
 
 
 def _prefixes(percent: int):
@@ -188,10 +193,11 @@ def _prefixes(percent: int):
             pa.array(np.concatenate((docs["id"], np.zeros(len(heads), np.int64))), mask=np.concatenate((~docs["has"], np.ones(len(heads), bool)))),
             pa.array(np.concatenate((all_cls[docs["at"]], classes["cls"][heads])), mask=np.concatenate((~listed, np.zeros(len(heads), bool)))),
             pa.array(np.concatenate((np.append(classes["n"], 0)[docs["at"]], classes["n"][heads])).astype(np.int32)),
+            *(pa.array(np.concatenate((np.zeros(len(docs), np.int64), classes["bits"][heads, k]))) for k in range(4)),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32))),
         ]
-        return pa.table(columns, names=["is_doc", "doc_id", "cls", "n", "tokens", "places"])
+        return pa.table(columns, names=["is_doc", "doc_id", "cls", "n", *_BITS, "tokens", "places"])
 
     return run
 
@@ -199,7 +205,7 @@ def _prefixes(percent: int):
 def _index(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """_FOUND's rows."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _RANGE_BYTES)
+    buckets = max(_RANGES * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _RANGE_BYTES)
     sent = texts.mapInArrow(_exchange_tokens(width, buckets), _PARTS)
     counted = sent.groupBy("bucket").applyInArrow(_count_tokens, _PARTS)
     return write_table(counted.groupBy("batch").applyInArrow(_prefixes(percent), _FOUND), "prefixes")
@@ -257,21 +263,24 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """_PAIR's columns (a < b) of the pairs of a pivot and a later member of another group that length and place let pass.
+    """_PAIR's columns (a < b) of the pairs of a pivot and a later member of another group that length, place and bits let pass.
 
     The bound by place holds at the first shingle that both sets share. A pair that it turns away at a later
-    one is in the bucket of the first one too, and is tried there.
+    one is in the bucket of the first one too, and is tried there. A bit that differs
+    is a shingle at least that one set has and the other doesn't.
     """
     n, m = F.col("n"), F.col("pivot.n")
     rest = F.least(n - F.col("place"), m - F.col("pivot.place"))
     ok = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
+    apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"pivot.{c}"))) for c in _BITS)
+    ok &= (100 + percent) * apart <= (100 - percent) * (n + m)
     met = members.join(pivots, "token").filter((F.col("cls") > F.col("pivot.cls")) & (F.col("label") != F.col("pivot.label")) & ok)
     return met.select(F.col("pivot.cls").alias("a"), F.col("cls").alias("b"), F.col("pivot.label").alias("a_label"), F.col("label").alias("b_label")).distinct()
 
 
 def _key() -> Column:
     # by the class, a hash, so that near copies find the same pivot at most of their shingles
-    return F.struct("cls", "n", "place", "label")
+    return F.struct("cls", "n", "place", "label", *_BITS)
 
 
 def _pivots(members: DataFrame, most: int) -> DataFrame:
@@ -297,9 +306,10 @@ def link_groups(
     found = _index(texts, width, percent)
     rows = found.filter("is_doc").select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles"))
     firsts = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    heads = write_table(found.filter("not is_doc").select("cls", "n", "tokens", "places").dropDuplicates(["cls"]), "heads")
-    zipped = F.explode(F.arrays_zip("tokens", "places")).alias("z")
-    left = heads.select("cls", "n", zipped).select("cls", "n", F.col("z.tokens").alias("token"), F.col("z.places").alias("place"), F.col("cls").alias("label"))
+    heads = write_table(found.filter("not is_doc").drop("is_doc", "doc_id").dropDuplicates(["cls"]), "heads")
+    own = ["cls", "n", *_BITS]
+    left = heads.select(*own, F.explode(F.arrays_zip("tokens", "places")).alias("z"))
+    left = left.select(*own, F.col("z.tokens").alias("token"), F.col("z.places").alias("place"), F.col("cls").alias("label"))
 
     def fetch(pairs: DataFrame, have: list[DataFrame]) -> None:
         """Adds the sets of those classes in pairs that aren't there yet, read from one document of each."""
@@ -322,8 +332,8 @@ def link_groups(
             break
         pivots = write_table(_pivots(members, most), "pivots") if most > 1 else _pivots(members, 1)
         pairs = _candidates(members, pivots, percent)
-        for table in tried:
-            pairs = pairs.join(table, ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         pairs = write_table(pairs, "pairs")
         tried.append(pairs.select("a", "b"))
         last = pivots.groupBy("token").agg(F.max("pivot.cls").alias("last"))
