@@ -3,7 +3,11 @@
 Counting keeps a segment tree for each document. Its leaves are stretches of about ``leaf_chars`` characters
 that end where a pre-token is bound to end (before white space that follows something else), so the leaves'
 tokens are the text's tokens. An edit encodes the leaves that it touches, and one more where it reaches a leaf's
-border, and updates the sums on the way to the root; the rest of the text is never encoded again.
+border, and updates the sums on the way to the root; the rest of the text is never encoded again. Edits that
+touch a common leaf encode it once, all together.
+
+Ids are those that the tokenizers library gives without special tokens around a text: an added token's string
+in a text is that token. Whole texts are encoded, however long; a text without any blank is one leaf.
 
 Defined results: a null text is empty and has no tokens; edits refer to the text before all edits of the batch;
 edits that overlap an earlier one, are out of order, or lie outside of the text are ignored and counted
@@ -34,19 +38,21 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """Ids of a byte-level BPE tokenizer file (JSON), by tiktoken's merging where its ids follow the order of merges.
 
-    Any other file is left to the tokenizers library. Special tokens' strings are ordinary text.
+    Any other file is left to the tokenizers library. An added token's string in a text is that token, as there.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens", ())
+        special = {t["content"]: t["id"] for t in added}
+        plain = not any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip", "normalized"))
         vocab = {k: v for k, v in model["vocab"].items() if k not in special}
-        self.size = 1 + max([*model["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", ()))])
+        self.size = 1 + max([*model["vocab"].values(), *special.values()])
         merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
         ranks = [vocab.get("".join(m), -1) for m in merges]
-        by_rank = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        by_rank = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.fast = self.slow = None
         if by_rank and all(a < b for a, b in zip(ranks, ranks[1:], strict=False)) and len(vocab) == 256 + len(merges):
             import tiktoken
@@ -54,21 +60,20 @@ class Encoder:
 
             letters = _byte_letters()
             ranked = {bytes(letters[c] for c in word): i for word, i in vocab.items()}
-            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranked, special_tokens={})
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranked, special_tokens=special)
         else:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(path)
-            self.slow.encode_special_tokens = True
 
     def ids(self, text: str) -> np.ndarray:
-        """The text's ids, without special tokens, as unsigned 32-bit integers."""
+        """The text's ids, without special tokens around it, as unsigned 32-bit integers."""
         if self.fast:
-            return self.fast.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+            return self.fast.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def count(self, text: str) -> int:
-        return len(self.fast.encode_ordinary(text)) if self.fast else len(self.ids(text))
+        return len(self.ids(text))
 
 
 @lru_cache(maxsize=4)
@@ -126,21 +131,41 @@ class SegmentTree:
                 sums[i] += change
                 i //= 2
 
-    def edit(self, start: int, end: int, new: str, enc: Encoder) -> int:
-        """Replaces characters [start, end); returns the number of characters that were encoded again."""
+    def _touched(self, start: int, end: int) -> tuple[int, int, int]:
+        """The first and last leaf that an edit of [start, end) bears on, and where the first one starts."""
         first, at = self.find(start)
         last, last_at = self.find(end)
         if start == at and first:
             first, at = self.find(at - 1)
         if end >= last_at + len(self.parts[last]) - 1 and last_at + len(self.parts[last]) < self.chars[1]:
-            last, last_at = self.find(last_at + len(self.parts[last]))
-        old = "".join(self.parts[first : last + 1])
-        part = old[: start - at] + new + old[end - at :]
-        self.put(first, part, enc.count(part))
-        for leaf in range(first + 1, last + 1):
-            if self.parts[leaf]:
-                self.put(leaf, "", 0)
-        return len(part)
+            last, _ = self.find(last_at + len(self.parts[last]))
+        return first, last, at
+
+    def edit(self, edits: list[tuple[int, int, str]], enc: Encoder) -> int:
+        """Replaces characters [start, end) by new ones, for each of some edits (in order, disjoint, all of the text
+        as it is); returns the number of characters that were encoded again."""
+        groups: list[list] = []  # first leaf, last leaf, start of the first, edits
+        for e in edits:
+            first, last, at = self._touched(e[0], e[1])
+            if groups and first <= groups[-1][1]:
+                groups[-1][1] = max(last, groups[-1][1])
+                groups[-1][3].append(e)
+            else:
+                groups.append([first, last, at, [e]])
+        encoded = 0
+        for first, last, at, own in groups:
+            old = "".join(self.parts[first : last + 1])
+            pieces, upto = [], 0
+            for start, end, new in own:
+                pieces += [old[upto : start - at], new]
+                upto = end - at
+            part = "".join([*pieces, old[upto:]])
+            self.put(first, part, enc.count(part))
+            encoded += len(part)
+            for leaf in range(first + 1, last + 1):
+                if self.parts[leaf]:
+                    self.put(leaf, "", 0)
+        return encoded
 
 
 TREE = "doc_id long, text string, edits array<struct<start:long,end:long,replacement:string>>, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long"
@@ -197,7 +222,7 @@ def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
                     if e["start"] is not None and e["end"] is not None and upto <= e["start"] <= e["end"] <= len(text):
                         kept.append(e)
                         upto = e["end"]
-                again = sum(tree.edit(e["start"], e["end"], e["replacement"] or "", enc) for e in reversed(kept))
+                again = tree.edit([(e["start"], e["end"], e["replacement"] or "") for e in kept], enc)
                 n = len(tree.parts)
                 rows.append(
                     (
@@ -219,10 +244,11 @@ def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
     return trees.select("doc_id", "text", "edits", "leaf_chars", "leaf_tokens", "n_tokens").mapInArrow(run, EDITED)
 
 
-
-
 def mask_edits(docs: DataFrame, patterns: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, edits: an edit for every match of the first pattern that starts at its place."""
+    """doc_id, text, edits: an edit for every match of the first pattern that starts at its place.
+
+    A pattern should give up on a long run of characters once, not once for each place in it.
+    """
     joined = "|".join(f"({p})" for p, _ in patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,6 @@ def corpus(spark, n=60):
 
 def check(pieces, rows, window):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     whole = defaultdict(list)
     for i, t, *_ in rows:
         whole[i].append(tok.encode(t or "", add_special_tokens=False).ids + [1])

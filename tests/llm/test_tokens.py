@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -6,17 +7,18 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from millrace.llm import tokens
+from millrace.llm.registry import MASKS
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ALPHABET = " \n\t  aé'ts,.1½\x1c　日ж🙂"
+ALPHABET = [*" \n\t  aé'ts,.1½\x1c　日ж🙂", "<|endoftext|>", "<|endof", "text|>"]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text())
 def test_ids_are_those_of_the_library(text):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    assert tokens.encoder(PATH).ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    for t in (text, f"{text}<|endoftext|>{text}", f"<|endoftext|>  {text}"):
+        assert tokens.encoder(PATH).ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_other_files_use_the_library():
@@ -33,11 +35,11 @@ def test_trees_follow_edits():
         tree = tokens.SegmentTree(parts, [enc.count(p) for p in parts])
         assert tree.tokens[1] == enc.count(text)
         for _ in range(3):
-            a = rnd.randint(0, len(text))
-            b = rnd.randint(a, min(len(text), a + 9))
-            new = "".join(rnd.choices(ALPHABET, k=rnd.randint(0, 5)))
-            tree.edit(a, b, new, enc)
-            text = text[:a] + new + text[b:]
+            at = sorted(rnd.randint(0, len(text)) for _ in range(2 * rnd.randint(1, 4)))
+            edits = [(a, b, "".join(rnd.choices(ALPHABET, k=rnd.randint(0, 5)))) for a, b in zip(at[::2], at[1::2], strict=True)]
+            tree.edit(edits, enc)
+            for a, b, new in reversed(edits):
+                text = text[:a] + new + text[b:]
             assert "".join(tree.parts) == text and tree.tokens[1] == enc.count(text) and tree.chars[1] == len(text)
 
 
@@ -58,3 +60,14 @@ def test_edits_of_a_table(spark):
     one = next(r for r in out if r.doc_id == 1)
     assert 0 < one.n_chars_encoded < 200 and one.n_tokens == enc.count(one.text)
     assert tokens.apply_edits(tokens.build_trees(docs.limit(0), PATH), PATH).count() == 0
+
+
+def test_long_texts_without_blanks(spark):
+    rows = [(1, "日本語" * 350_000), (2, "a" * 1_000_000), (3, "日12345678本" * 100_000), (4, "x@" * 500_000), (5, "1-" * 500_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    start = time.perf_counter()
+    masked = tokens.mask_edits(docs, MASKS)
+    out = {r.doc_id: r for r in tokens.apply_edits(tokens.build_trees(masked, PATH), PATH).collect()}
+    assert time.perf_counter() - start < 60
+    assert out[3].n_edits == 100_000 and out[3].text == "日<number>本" * 100_000 and out[3].n_chars_encoded <= 2 * len(out[3].text)
+    assert out[1].n_tokens == tokens.encoder(PATH).count(rows[0][1]) and out[1].n_edits == 0
