@@ -3,16 +3,20 @@
 The n-grams of a benchmark are normalised into a hash set that every task receives; each document's
 tokens are scanned once, window by window, and hits are verified word by word. The set is never
 broadcast unchecked: a benchmark is dealt into blocks of at most ``block_chars`` characters, each block is
-scanned in a pass of its own, and the hits of all passes are merged by document.
+scanned in a pass of its own, and the hits of all passes are merged by document. A pass is written before the
+next block is read, so one block at a time is in the driver and in the tasks; a Python worker keeps the set from
+one task to the next.
 
 Defined results: a null text has no words; a document without words is never contaminated; items
-without words match nothing; equal items are all reported; an empty benchmark reports nothing; rows
-that repeat a doc_id are judged one by one. Other columns of either table are ignored.
+without words match nothing; equal items are all reported; words of an item without an id are hit, but no item is
+reported; an empty benchmark reports nothing; rows that repeat a doc_id are judged one by one. Whole texts are
+scanned, however long. Other columns of either table are ignored, or kept whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import unused
+from millrace.plans.scratch import write_table
+
 #: Upper- to lower-case ASCII, ASCII letters and digits kept, all other ASCII to spaces.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -36,7 +43,7 @@ def words_of(text: str | None) -> list[bytes]:
 class NgramSet:
     """The windows of some benchmark items: word ids, a hash set by window length, and the exact windows."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
         self.ids: dict[bytes, int] = {}
         windows: dict[int, dict[bytes, set[int]]] = {}
         for item, text in items:
@@ -44,7 +51,7 @@ class NgramSet:
             n = min(width, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
                 key = np.array(ids[i : i + n], np.int32).tobytes()
-                windows.setdefault(n, {}).setdefault(key, set()).add(item)
+                windows.setdefault(n, {}).setdefault(key, set()).update(() if item is None else (item,))
         self.windows = {n: {k: tuple(v) for k, v in w.items()} for n, w in windows.items()}
         self.hashes = {
             n: np.unique(_hashes(np.frombuffer(b"".join(w), np.int32), n)[::n]) for n, w in self.windows.items()
@@ -66,7 +73,7 @@ class NgramSet:
             hashes = _hashes(ids, n)[starts]
             at = np.minimum(np.searchsorted(self.hashes[n], hashes), len(self.hashes[n]) - 1)
             for start in starts[self.hashes[n][at] == hashes]:
-                if items := exact.get(ids[start : start + n].tobytes()):  # verified word by word
+                if (items := exact.get(ids[start : start + n].tobytes())) is not None:  # verified word by word
                     found.update(items)
                     hit[start] += 1
                     hit[start + n] -= 1
@@ -86,8 +93,6 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
     """Items in blocks of at most block_chars characters each; a longer item is a block of its own."""
     block, size = [], 0
     for row in benchmark.select(item_col, text_col).toLocalIterator():
-        if row[0] is None:
-            continue
         n = 1 + len(row[1] or "")
         if block and size + n > block_chars:
             yield block
@@ -98,34 +103,44 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
         yield block
 
 
-_MARKS = ("_n_words", "_spans", "_items")
+#: The set that a Python worker has built last, under its block's key.
+_built: dict[str, NgramSet] = {}
+
 
+def _set_of(key: str, shared) -> NgramSet:
+    if key not in _built:
+        _built.clear()
+        _built[key] = NgramSet(*shared.value)
+    return _built[key]
 
-def _mark(docs: DataFrame, benchmark: DataFrame, width: int, block_chars: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """docs with the columns _MARKS: number of words, spans of hit words, items found."""
+
+def _mark(docs: DataFrame, marks: tuple[str, str, str], benchmark: DataFrame, width: int, block_chars: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """docs with three more columns: number of words, spans of hit words, items found."""
     spark = docs.sparkSession
     out = docs.select(
         "*",
-        F.lit(None).cast("long").alias(_MARKS[0]),
-        F.lit(None).cast("array<struct<start:long,end:long>>").alias(_MARKS[1]),
-        F.lit(None).cast("array<long>").alias(_MARKS[2]),
+        F.lit(None).cast("long").alias(marks[0]),
+        F.lit(None).cast("array<struct<start:long,end:long>>").alias(marks[1]),
+        F.lit(None).cast("array<long>").alias(marks[2]),
     )
-    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
-    for block in [next(blocks, [])]:
-        out = _scan(out, text_col, spark.sparkContext.broadcast((block, width)))
-    for block in blocks:
-        out = _scan(out, text_col, spark.sparkContext.broadcast((block, width)))
-    return out
+    before = None
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
+        if before is not None:
+            out = write_table(out, "scanned")
+            before.destroy()
+        before = spark.sparkContext.broadcast((block, width))
+        out = _scan(out, text_col, marks, uuid.uuid4().hex, before)
+    return out if before is not None else _scan(out, text_col, marks, "", spark.sparkContext.broadcast(([], width)))
 
 
-def _scan(docs: DataFrame, text_col: str, shared) -> DataFrame:
+def _scan(docs: DataFrame, text_col: str, marks: tuple[str, str, str], key: str, shared) -> DataFrame:
     schema = docs.schema
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = NgramSet(*shared.value)
+        grams = _set_of(key, shared)
         for batch in batches:
-            texts, old_spans, old_items = (batch.column(x).to_pylist() for x in (text_col, *_MARKS[1:]))
+            texts, old_spans, old_items = (batch.column(x).to_pylist() for x in (text_col, *marks[1:]))
             n_words, spans, items = [], [], []
             for text, before, had in zip(texts, old_spans, old_items, strict=True):
                 words = words_of(text)
@@ -136,8 +151,8 @@ def _scan(docs: DataFrame, text_col: str, shared) -> DataFrame:
                 n_words.append(len(words))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 items.append(sorted(found.union(had or ())))
-            marks = [pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *marks], names=schema.names)
+            new = [pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -155,11 +170,10 @@ def find_contamination(
     """doc_id, text, n_words, spans (runs of hit words, [start, end)) and items (found, sorted) for every row.
 
     The benchmark passes through the driver one block of block_chars at a time, which bounds both the
-    driver's memory and what is sent to the tasks; further blocks scan the result of those before.
+    driver's memory and what is sent to the tasks; further blocks scan the written result of those before.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _mark(rows, benchmark, width, block_chars, "text", item_col, item_text_col)
-    return found.select("doc_id", "text", *(F.col(c).alias(c[1:]) for c in _MARKS))
+    return _mark(rows, ("n_words", "spans", "items"), benchmark, width, block_chars, "text", item_col, item_text_col)
 
 
 def _n_hit(spans: str):
@@ -176,9 +190,10 @@ def drop_contaminated(
     item_text_col: str = "text",
 ) -> DataFrame:
     """docs without those of which a twentieth of the words or more is inside of windows of the benchmark."""
-    found = _mark(docs, benchmark, width, block_chars, text_col, item_col, item_text_col)
-    n_hit = _n_hit(_MARKS[1])
-    return found.filter(~((n_hit > 0) & (20 * n_hit >= F.col(_MARKS[0])))).select(*docs.columns)
+    marks = unused(docs.columns, "n_words", "spans", "items")
+    found = _mark(docs, marks, benchmark, width, block_chars, text_col, item_col, item_text_col)
+    n_hit = _n_hit(marks[1])
+    return found.filter(~((n_hit > 0) & (20 * n_hit >= F.col(marks[0])))).drop(*marks)
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ def brute(text, items, width=13):
             for j in range(len(w) - n + 1):
                 if w[j : j + n] == b[i : i + n]:
                     hit.update(range(j, j + n))
-                    found.add(item)
+                    if item is not None:
+                        found.add(item)
     return len(w), hit, found
 
 
@@ -40,7 +41,7 @@ def tables(spark):
         spark.createDataFrame(docs, "doc_id long, text string, items string"),
         spark.createDataFrame(items, "item_id long, text string"),
         docs,
-        [x for x in items if x[0] is not None],
+        items,
     )
 
 
@@ -66,3 +67,14 @@ def test_spans_and_empty_tables(spark):
     assert texts == {"pre  post", "clean text"}
     assert decontam.find_contamination(docs.limit(0), bench).count() == 0
     assert decontam.contamination_digest(decontam.find_contamination(docs, bench.limit(0))).filter("n_hit > 0").count() == 0
+
+
+def test_clashing_names_and_a_long_text(spark):
+    docs, bench, rows, _ = tables(spark)
+    docs = docs.withColumn("n_words", docs.doc_id).withColumn("spans", docs.doc_id).unionByName(
+        spark.createDataFrame([(50, "日" * 1_000_000 + " w " + "b " * 200_000, "z", 1, 1)], docs.withColumn("n_words", docs.doc_id).withColumn("spans", docs.doc_id).schema)
+    )
+    for block in (8_000_000, 20):
+        left = decontam.drop_contaminated(docs, bench, block_chars=block)
+        assert left.columns == docs.columns
+        assert sorted(r.items for r in left.collect() if r.items) == ["b", "d", "g", "z"]
