@@ -19,8 +19,9 @@ place; one position in about thirty is an anchor. So:
 
 Defined results: a null text is empty; rows without an id come last; repeated rows of one id and text are one
 document, and are cut alike; texts under ``length`` bytes stay as they are; an empty table gives no rows. Other
-columns are ignored. Long texts are read in pieces of bounded size, and nothing grows with how often a string
-occurs but the number of its marks.
+columns are ignored, or kept whatever their names. Long texts are read in pieces of bounded size, and nothing
+grows with how often a string occurs but the number of its marks. Ranges of hashes and of suffixes are as many
+as the data ask for, so what a task holds doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,9 @@ from millrace.plans.scratch import shared_dir, write_table
 ANCHOR = 32
 _PIECE = 1 << 20
 _RUN = 150_000
+#: Bytes of text whose anchors a range of hashes takes on average, and suffixes in a range, at most; keys of the
+#: sample that ranges are cut by: for each range, and in all.
+_HASH_BYTES, _RANGE, _SAMPLE, _MOST_SAMPLE = 32 << 20, 250_000, 100, 1_000_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _NO_ID = 2**63 - 1
 
@@ -174,8 +179,10 @@ def _batch_masks(group: pa.Table) -> pa.Table:
     for x in group.column("places").to_pylist():
         flags[np.frombuffer(x, np.uint32)] = True
     masks = [np.packbits(flags[e - n : e]).tobytes() if flags[e - n : e].any() else None for e, n in zip(ends, docs[:, 2], strict=True)]
+    hits = [int(flags[e - n : e].sum()) for e, n in zip(ends, docs[:, 2], strict=True)]
     digests = [b[at][16 * i : 16 * i + 16] for i in range(len(docs))]
-    return pa.table([pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array(digests, pa.binary()), pa.array(masks, pa.binary())], names=["ord", "th", "digest", "mask"])
+    columns = [pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array(digests, pa.binary()), pa.array(masks, pa.binary()), pa.array(hits, pa.int64())]
+    return pa.table(columns, names=["ord", "th", "digest", "mask", "hits"])
 
 
 # -- sorted runs of suffixes
@@ -449,18 +456,23 @@ def _merge_range(length: int, splitters: list[bytes]):
     return run
 
 
-def _splitters(texts: DataFrame, length: int, ranges: int, sample_docs: int = 2000) -> list[bytes]:
-    """Keys that cut the suffixes into ranges of like size, from those of about sample_docs documents. They decide nothing but sizes."""
-    total = texts.count()
-    every = max(1, total // sample_docs)
+def _splitters(texts: DataFrame, length: int, parts: int) -> list[bytes]:
+    """Keys that cut the suffixes into ranges of like size, from a sample of them. They decide nothing but sizes.
+
+    The sample has _SAMPLE keys for each range, of about half as many documents, and no more than _MOST_SAMPLE.
+    """
+    docs, hits = texts.agg(F.count("*"), F.sum("hits")).first()
+    ranges = max(2 * parts, (hits or 0) // _RANGE)
+    docs_share = min(1.0, 0.5 * _SAMPLE * ranges / max(1, docs))
+    keys_share = min(1.0, min(_SAMPLE * ranges, _MOST_SAMPLE) / max(1.0, docs_share * (hits or 0)))
+    limit = int(keys_share * (1 << 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [k[:64] for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, _, _ in _suffixes(t, m, length)]
-            keys = sorted(keys)[:: max(1, len(keys) // 50_000)]
+            keys = [k[:64] for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, _, _ in _suffixes(t, m, length) if zlib.crc32(k) <= limit]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
 
-    sample = texts.filter(F.pmod("th", F.lit(every)) == 0).select("text", "mask").mapInArrow(run, "key binary")
+    sample = texts.filter(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < int(docs_share * (1 << 20)) + 1).select("text", "mask").mapInArrow(run, "key binary")
     keys = sorted(sample.toArrow().column("key").to_pylist())
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     # the suffixes of an anchor stay together, unless they are enough for ranges of their own
@@ -477,10 +489,12 @@ def find_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs, id_col, text_col)
     long_ones = keyed.filter(F.octet_length("text") >= length)
-    sent = long_ones.select("ord", "th", "digest", "text").mapInArrow(_exchange_anchors(length, 4 * parts), _ANCHORS)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(4 * parts, size // _HASH_BYTES)
+    sent = long_ones.select("ord", "th", "digest", "text").mapInArrow(_exchange_anchors(length, buckets), _ANCHORS)
     answers = sent.groupBy("bucket").applyInArrow(_repeated_in_bucket, _ANCHORS)
-    masks = answers.groupBy("batch").applyInArrow(_batch_masks, "ord long, th long, digest binary, mask binary")
-    firsts = masks.groupBy("digest").agg(F.min(F.struct("ord", "th", "mask")).alias("first")).select("first.*").filter("mask is not null")
+    masks = answers.groupBy("batch").applyInArrow(_batch_masks, "ord long, th long, digest binary, mask binary, hits long")
+    firsts = masks.groupBy("digest").agg(F.min(F.struct("ord", "th", "mask", "hits")).alias("first")).select("first.*").filter("mask is not null")
     # the same document may have come in several batches
     joined = long_ones.select("ord", "th", "text").join(firsts, ["ord", "th"]).dropDuplicates(["ord", "th"])
     name = f"millrace_repeats_{uuid.uuid4().hex}"
@@ -488,7 +502,8 @@ def find_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     joined.write.option("compression", "zstd").option("path", path).bucketBy(parts, "ord", "th").saveAsTable(name)
     scratch.remember(path)
     texts = spark.table(name)
-    splitters = _splitters(texts, length, 2 * parts)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and are what texts reads; the catalog keeps no entry
+    splitters = _splitters(texts, length, parts)
     runs = texts.select("ord", "th", "text", "mask").mapInArrow(_runs(length, splitters), _RUNS)
     merged = write_table(runs.groupBy("part").applyInArrow(_merge_range(length, splitters), _FOUND), "marks")
     strings = merged.filter("string is not null").select("string", F.struct("ord", "th", "start").alias("at"))
@@ -521,12 +536,18 @@ def _cut(length: int):
     return run
 
 
-def _first_copies(keyed: DataFrame) -> DataFrame:
-    return keyed.groupBy("digest").agg(F.min("ord").alias("first_ord"))
+def _copies(keyed: DataFrame, length: int, max_broadcast: int) -> DataFrame:
+    """digest and first_ord of texts of length bytes or more that several rows have, with a hint to broadcast if they are few."""
+    several = keyed.filter(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("ord").alias("first_ord"), F.count("*").alias("rows"))
+    found = write_table(several.filter("rows > 1").drop("rows"), "copies")
+    return F.broadcast(found) if found.count() <= max_broadcast else found
 
 
-def repeats_digest(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
+def repeats_digest(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 500_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+
+    max_broadcast bounds the digests (24 bytes each) in a broadcast; beyond it the same join shuffles.
+    """
     found = find_repeats(docs, length, id_col, text_col)
     lost = found.select(
         "ord",
@@ -535,11 +556,13 @@ def repeats_digest(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         F.octet_length("kept").cast("long").alias("kept_bytes"),
         F.sha2("kept", 256).alias("sha_here"),
     )
-    keyed = _keyed(docs, id_col, text_col).select(
-        "doc_id", "ord", "th", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")
-    )
-    rows = keyed.join(_first_copies(keyed), "digest").join(lost, ["ord", "th"], "left")
-    copy = (F.col("ord") > F.col("first_ord")) & (F.col("n_bytes") >= length)
+    keyed = _keyed(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    copies = _copies(keyed, length, max_broadcast)
+    # short texts are nobody's copies; a key of their own keeps the many empty ones apart
+    key = F.when(F.col("n_bytes") >= length, F.col("digest")).otherwise(F.col("ord").cast("string").cast("binary"))
+    keyed = keyed.select("doc_id", "ord", "th", key.alias("digest"), "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    rows = keyed.join(copies, "digest", "left").join(lost, ["ord", "th"], "left")
+    copy = F.col("ord") > F.col("first_ord")
     return rows.select(
         "doc_id",
         "n_bytes",
@@ -549,22 +572,17 @@ def repeats_digest(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 500_000) -> DataFrame:
     """docs with the repeated bytes cut from their texts; a character that loses some of its bytes goes too.
 
     Documents that lose their whole text are dropped; all other rows and columns stay.
     """
-    found = find_repeats(docs, length, id_col, text_col).select(
-        F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.decode("kept_text", "utf-8").alias("_kept")
-    )
+    found = find_repeats(docs, length, id_col, text_col).select("ord", "th", F.decode("kept_text", "utf-8").alias("kept"))
+    copies = _copies(_keyed(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text")), length, max_broadcast)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.select(
-        "*",
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_ord"),
-        F.xxhash64(text).alias("_th"),
-        F.unhex(F.md5(text)).alias("_digest"),
-    )
-    firsts = marked.groupBy("_digest").agg(F.min("_ord").alias("_first"))
-    rows = marked.join(firsts, "_digest").filter((F.col("_ord") == F.col("_first")) | (F.octet_length(text) < length))
-    rows = rows.join(found, ["_ord", "_th"], "left").filter("_kept is null or _kept != ''")
-    return rows.select(*(F.coalesce("_kept", text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    key = F.when(F.octet_length(text) >= length, F.unhex(F.md5(text))).otherwise(order.cast("string").cast("binary"))
+    marked = docs.select(F.struct("*").alias("row"), order.alias("ord"), F.xxhash64(text).alias("th"), key.alias("digest"))
+    rows = marked.join(copies, "digest", "left").filter("first_ord is null or ord = first_ord")
+    rows = rows.join(found, ["ord", "th"], "left").filter("kept is null or kept != ''")
+    return rows.select(*(F.coalesce("kept", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
