@@ -18,7 +18,8 @@ More than ``max_langs`` languages are refused.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; without any training
 text every text is ``und``; rows without a label don't train. Repeated rows are judged one by one. Texts are
-read as a whole, in pieces of bounded size. Other columns are ignored.
+read as a whole, in pieces of bounded size that leave no trace in the result. Other columns are ignored, or kept
+whatever their names.
 """
 
 from __future__ import annotations
@@ -43,11 +44,31 @@ _BITS = 12
 _FLOOR = -16.0  # log2 probability of a character that no language has
 
 
+def code_pieces(text: str, carry: int) -> Iterator[np.ndarray]:
+    """Lower-cased letters, hashed to 12 bits; whatever stands between letters is one 0, as are both ends.
+
+    A long text comes in pieces, each of which begins with the last ``carry`` codes of the one before; so the runs
+    of carry + 1 codes that pieces hold are those of the whole text.
+    """
+    size = _PIECE
+    kept, cut = np.zeros(0, np.int64), False  # cut: whether the codes so far end within what stands between letters
+    for at in range(0, max(1, len(text)), size):
+        piece = text[at : at + size].replace("Σ", "σ").lower()  # the one letter that is lower-cased by what follows it
+        spaced = _RUNS.sub("\0", f"{'' if at else chr(0)}{piece}{'' if at + size < len(text) else chr(0)}")
+        if cut and spaced.startswith("\0"):
+            spaced = spaced[1:]
+        if not spaced:
+            continue
+        c = np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        found = np.concatenate((kept, np.where(c < 4096, c, 1 + (c * 2654435761 >> 7) % 4095)))
+        cut = spaced.endswith("\0")
+        yield found
+        kept = found[max(0, len(found) - carry) :]
+
+
 def codes(text: str) -> np.ndarray:
-    """Lower-cased letters, hashed to 12 bits; whatever stands between letters is one 0, as are both ends."""
-    spaced = _RUNS.sub("\0", f"\0{text.lower()}\0")
-    c = np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(c < 4096, c, 1 + (c * 2654435761 >> 7) % 4095)
+    """All codes of a text."""
+    return np.concatenate(list(code_pieces(text, 0)))
 
 
 def grams(chars: np.ndarray, order: int) -> np.ndarray:
@@ -59,11 +80,6 @@ def grams(chars: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def _pieces(text: str) -> Iterator[str]:
-    for i in range(0, len(text), _PIECE):
-        yield text[i : i + _PIECE]
-
-
 def count_grams(labelled: DataFrame, order: int) -> DataFrame:
     """lang, gram, n over all rows of (text, lang)."""
 
@@ -72,7 +88,7 @@ def count_grams(labelled: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             parts: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(lang, []).extend(grams(codes(x), order) for x in _pieces(text))
+                parts.setdefault(lang, []).extend(grams(x, order) for x in code_pieces(text, order - 1))
             for lang, found in parts.items():
                 new = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
                 counts[lang] = _add(counts[lang], new) if lang in counts else new
@@ -131,12 +147,14 @@ class Model:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character of each text in each language, and its characters."""
         bits, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        queue: list[tuple[int, np.ndarray]] = []
-        held = 0
+        queue: list[tuple[int, np.ndarray, int]] = []
+        held, carry = 0, len(self.orders) - 1
         for i, text in enumerate(texts):
-            for piece in _pieces(text):
-                queue.append((i, codes(piece)))
-                held += len(queue[-1][1])
+            known = 1  # codes of a piece that aren't predicted: the first 0, or those of the piece before
+            for piece in code_pieces(text, carry):
+                queue.append((i, piece, known))
+                known = min(len(piece), carry)
+                held += len(piece)
                 if held >= _PIECE // 4:
                     self._score(queue, bits, sizes)
                     queue, held = [], 0
@@ -144,14 +162,15 @@ class Model:
         return bits / np.maximum(sizes, 1)[:, None], sizes
 
     def _score(self, queue: list, bits: np.ndarray, sizes: np.ndarray) -> None:
-        """Adds some pieces' bits to their texts' ones. A piece's first 0 follows the last 0 of the one before."""
+        """Adds some pieces' bits to their texts' ones. A text's first 0 follows the last 0 of the one before."""
         if queue:
-            starts = np.cumsum([0, *(len(c) for _, c in queue)])[:-1]
-            score = np.concatenate((np.zeros((1, len(self.langs)), np.float32), self.log2(np.concatenate([c for _, c in queue]))))
-            score[starts] = 0
+            starts = np.cumsum([0, *(len(c) for _, c, _ in queue)])[:-1]
+            score = np.concatenate((np.zeros((1, len(self.langs)), np.float32), self.log2(np.concatenate([c for _, c, _ in queue]))))
+            for start, (_, _, known) in zip(starts, queue, strict=True):
+                score[start : start + known] = 0
             sums = np.add.reduceat(score, starts, axis=0, dtype=np.float64)
-            np.subtract.at(bits, [i for i, _ in queue], sums)
-            np.add.at(sizes, [i for i, _ in queue], [len(c) - 1 for _, c in queue])
+            np.subtract.at(bits, [i for i, _, _ in queue], sums)
+            np.add.at(sizes, [i for i, _, _ in queue], [len(c) - known for _, c, known in queue])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """(language, score, bits per character, rejected) of each text."""
@@ -210,19 +229,6 @@ def build_model(tables: list[dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]
     return model
 
 
-def _first_texts(labelled: DataFrame, n: int) -> DataFrame:
-    """text and lang of the first n of the different (text, lang), by hash of the text.
-
-    Tasks keep what the hash lets pass, about 2n texts of all of them together, and copies are put together before
-    they are exchanged; so what the last task sees is bounded by n, whatever the number of rows and tasks.
-    """
-    key = F.shiftrightunsigned(F.xxhash64("text"), 1)
-    different = labelled.agg(F.approx_count_distinct(key)).first()[0]
-    share = min(1.0, 2 * n / max(1, different))
-    few = labelled.withColumn("key", key).filter(F.col("key") <= int(share * (2**63 - 1024)) if share < 1 else F.lit(True))
-    return few.groupBy("key", "lang").agg(F.min("text").alias("text")).orderBy("key", "lang").limit(n).select("text", "lang")
-
-
 def _gram_tables(labelled: DataFrame, order: int, max_grams: int, max_langs: int) -> list[dict[str, tuple]]:
     """build_model()'s tables. Counts and totals are of all n-grams; those that are kept pass the driver."""
     highest = write_table(count_grams(labelled, order), "grams")

@@ -5,8 +5,11 @@ boilerplate phrases, one word over and over, a repetition of an earlier line, or
 fail are removed, and a document that loses more than ``max_loss`` of its words' characters is rejected.
 Before that, two rules on the whole text reject texts that are too short or repeat themselves.
 
+An end is any script's sentence mark; lines mostly in scripts that write none (Thai, Lao) needn't have one.
+
 Defined results: a null or empty text has no words and is rejected; blank lines are dropped and count for
-nothing; repeated rows are judged one by one. Other columns are ignored.
+nothing; repeated rows are judged one by one; an empty table gives no rows. Whole texts are read, however long, in
+time that grows with their length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +24,26 @@ from pyspark.sql import functions as F
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
-_ENDS = re.compile(r"""[.!?…:;。！？]["'”’»)\]]*$""")
+# Sentence marks by script (Latin and Greek, CJK, Devanagari, Arabic and Urdu, Armenian, Ethiopic, Khmer,
+# Burmese, Tibetan), letters of scripts without any, and phrases of boilerplate in the languages that are common on the web.
+_ENDS = re.compile(r"""[.!?…:;;。！？．｡।॥؟۔؛։።፧។၊။།]["'”’»)\]」』）]*$""")
+_UNMARKED = re.compile("[\u0e00-\u0eff]")
 _LINKS = re.compile(r"[|»›·•>]|\s/\s|\s-\s")
-_BOILERPLATE = re.compile(
+BOILERPLATE = (
     r"all rights reserved|©|copyright \(?c?\)?\s?\d{4}|terms (of (use|service)|and conditions)|privacy policy|cookie"
-    r"|javascript|lorem ipsum|click here|subscribe|sign (in|up)|log ?in|spdx-license-identifier|licensed under",
-    re.IGNORECASE,
+    r"|javascript|lorem ipsum|click here|subscribe|sign (in|up)|log ?in|spdx-license-identifier|licensed under"
+    r"|alle rechte vorbehalten|datenschutzerkl|impressum|nutzungsbedingungen|hier klicken|newsletter abonnieren"
+    r"|tous droits réservés|mentions légales|politique de confidentialité|cliquez ici|s'abonner"
+    r"|todos los derechos reservados|aviso legal|política de privacidad|haga clic|suscríbete"
+    r"|todos os direitos reservados|política de privacidade|tutti i diritti riservati|informativa sulla privacy"
+    r"|все права защищены|политика конфиденциальности|版权所有|隐私政策|無断転載|プライバシーポリシー|जुमला अधिकार|جميع الحقوق محفوظة"
 )
+_BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE)
 #: A line's verdicts, in the order in which they are tried.
 REASONS = ("symbols", "capitals", "navigation", "boilerplate", "repeated_word", "repeated_line", "no_end")
 
 
-def judge_line(line: str, words: list[str], seen: set[str], end_words: int = 4, long_words: int = 40) -> str | None:
+def judge_line(line: str, words: list[str], seen: set[str], end_words: int = 4, long_words: int = 40, boilerplate: re.Pattern = _BOILERPLATE) -> str | None:
     """Why the line fails, if it does.
 
     Lines under end_words words (headings) may lack an end; so may lines from long_words words on (cut off) that
@@ -48,11 +59,11 @@ def judge_line(line: str, words: list[str], seen: set[str], end_words: int = 4,
             return "navigation"
         if n >= 6 and max(sum(a == b for a, b in zip(words, words[1:], strict=False)), n - 3 * len(set(words))) > 0.3 * n:
             return "repeated_word"
-    if n <= 20 and _BOILERPLATE.search(line):
+    if n <= 20 and boilerplate.search(line):
         return "boilerplate"
     if line in seen:
         return "repeated_line"
-    if n >= end_words and not _ENDS.search(line.rstrip(BLANKS)):
+    if n >= end_words and not _ENDS.search(line.rstrip(BLANKS)) and 2 * len(_UNMARKED.findall(line)) < sum(map(len, words)):
         if n < long_words or sum(1 for w in words if _ENDS.search(w)) < n // long_words:
             return "no_end"
     return None
@@ -78,7 +89,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def judge_text(text: str | None, max_loss: float = 0.5) -> tuple:
+def judge_text(text: str | None, max_loss: float = 0.5, boilerplate: re.Pattern = _BOILERPLATE) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean text, removed lines)."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -90,7 +101,7 @@ def judge_text(text: str | None, max_loss: float = 0.5) -> tuple:
         own = [w for w in re.split("[ \t\v\f\r]+", line) if w]
         if not own:
             continue
-        why = judge_line(line, own, seen)
+        why = judge_line(line, own, seen, boilerplate=boilerplate)
         dup_lines += line in seen
         seen.add(line)
         if why:
@@ -110,13 +121,17 @@ SCHEMA = (
 )
 
 
-def clean_lines(docs: DataFrame, max_loss: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA's columns for every row: counts, verdict, the text of the lines that pass, and why others failed."""
+def clean_lines(docs: DataFrame, max_loss: float = 0.5, boilerplate: str = BOILERPLATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """SCHEMA's columns for every row: counts, verdict, the text of the lines that pass, and why others failed.
+
+    boilerplate is a regular expression, of phrases that give a short line away whatever their case.
+    """
     types = [pa.int64()] * 6 + [pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile(boilerplate, re.IGNORECASE)
         for batch in batches:
-            rows = [(i, *judge_text(t, max_loss)) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [(i, *judge_text(t, max_loss, pattern)) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             columns = zip(*rows, strict=True) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")]
