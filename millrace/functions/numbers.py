@@ -80,3 +80,16 @@ def coordinates_state(lat: Column, lon: Column, box: tuple[float, float, float,
         .when(lat.between(south, north) & lon.between(west, east), "OK")
         .otherwise("OUTSIDE")
     )
+
+
+def month_start(at: Column, zone: str = "UTC") -> Column:
+    """The first instant of the calendar month, as a zone's clocks have it, that a moment is in."""
+    local = F.from_utc_timestamp(at, zone)
+    return F.to_utc_timestamp(F.date_trunc("month", local), zone)
+
+
+def reporting_windows(today: Column, days: int, lag: int) -> Column:
+    """A struct of start, end, before_start, before_end: ``days`` whole days up to today less the lag of the data, bounds
+    included, and as many before them."""
+    end = F.date_sub(today.cast("date"), lag)
+    return F.struct(F.date_sub(end, days - 1).alias("start"), end.alias("end"), F.date_sub(end, 2 * days - 1).alias("before_start"), F.date_sub(end, days).alias("before_end"))

@@ -97,9 +97,63 @@ def allowed_typos(word: Column, long_from: int, shortest: int) -> Column:
     return F.when(n < shortest, 0).when(n >= long_from, 2).otherwise(1)
 
 
+def collated(text: Column, locale: str = "el") -> Column:
+    """A text that compares as a locale's dictionaries sort (Greek before Latin letters in ``el``), for ordering."""
+    return F.collate(text, locale)
+
+
+# Words of three letters or more that don't tell a brand.
+PLAIN_BRAND_WORDS = ["the", "and", "hotels", "hotel", "resorts", "resort"]
+
+
+def brand_tokens(text: Column) -> Column:
+    """The words of a shop's name that can tell the brand: three letters or more, none of the plain ones."""
+    return F.filter(F.split(shop_name(text), " "), lambda w: (F.length(w) >= 3) & ~w.isin(PLAIN_BRAND_WORDS))
+
+
+# What names, titles and logos of shops look like that were taken from the wrong place.
+NAME_NUMBER = r"^\d+$"
+NAME_PRODUCT = r"(?iu)\b(?:gift ?card|gift ?voucher|voucher|δωροκαρτ|δωροεπιταγ)\b"
+NAME_URL = r"(?i)https?://|www\.|\.gr\b|\.com\b"
+NAME_PARTS = r"\||::"
+TITLE_URL = r"(?i)https?://|www\."
+TITLE_SITE = r"(?i)\|\s*(?:home|official|eshop|e-shop|online)"
+TITLE_SERIAL = r"(?iu)\b(?:gift ?card|δωροκαρτ)[-_ ]?\d{4,}\b"
+TITLE_PARTS = r"::|\s{3,}"
+LOGO_ICON = r"favicon|apple-touch-icon|mstile|browserconfig|site-icon"
+LOGO_PLACEHOLDER = r"placeholder|dummy|default[-_ ]?logo|sample[-_ ]?logo|generated|mock[-_ ]?logo"
+
+
+def _any_of(text: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in patterns])
+
+
+def name_polluted(name: Column) -> Column:
+    """Whether a shop's name is empty, a number, a product's name, a URL or several parts."""
+    own = F.coalesce(name, F.lit(""))
+    plain = catalog_form(own)
+    return (F.length(plain) < 2) | F.rlike(plain, F.lit(NAME_NUMBER)) | _any_of(own, [NAME_PRODUCT, NAME_URL, NAME_PARTS])
+
+
+def title_polluted(title: Column) -> Column:
+    """Whether a title is empty, has a URL, a site's part, a serial number or several parts."""
+    own = F.coalesce(title, F.lit(""))
+    return (catalog_form(own) == "") | _any_of(own, [TITLE_URL, TITLE_SITE, TITLE_SERIAL, TITLE_PARTS])
+
+
+def logo_problem(url: Column) -> Column:
+    """MISSING, FAVICON_OR_SITE_ICON, PLACEHOLDER_OR_GENERATED, or null."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    icon, made = F.rlike(low, F.lit(LOGO_ICON)), F.rlike(low, F.lit(LOGO_PLACEHOLDER))
+    return F.when(low == "", "MISSING").when(icon, "FAVICON_OR_SITE_ICON").when(made, "PLACEHOLDER_OR_GENERATED")
+
+
 @F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edits with adjacent swaps as one (each place edited once); null if either is null."""
+    """Edits with adjacent swaps as one (each place edited once); null if either is null.
+
+    It runs in Python: let F.levenshtein() (a swap is two edits there) leave only the pairs that can be near.
+    """
     return pd.Series([None if x is None or y is None else _osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 

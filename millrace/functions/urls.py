@@ -31,6 +31,20 @@ def site_root(name: Column) -> Column:
     return F.split(registrable(name), r"\.")[0]
 
 
+# URLs that lead to one amount.
+AMOUNT_PATHS = [
+    r"(?iu)(?:gift|voucher|δωρο|doro)[-_/ ]*(?:card|voucher|καρτ|επιταγ)?[-_/ ]*(?:€|eur)?\s*\d{1,4}",
+    r"(?:^|[-_/])(?:10|15|20|25|30|40|50|60|75|100|150|200|250|300|500)(?:[-_/]|$)",
+]
+AMOUNT_PARAMETERS = r"(?i)(?:amount|value|denomination|price)=\d+"
+
+
+def names_amount(url: Column) -> Column:
+    """Whether a URL's path or parameters fix the amount of what it sells."""
+    path, query = (F.lower(F.coalesce(F.try_url_decode(F.try_parse_url(url, F.lit(x))), F.lit(""))) for x in ("PATH", "QUERY"))
+    return reduce(lambda a, b: a | b, [F.rlike(path, F.lit(p)) for p in AMOUNT_PATHS]) | F.rlike(query, F.lit(AMOUNT_PARAMETERS))
+
+
 def _parameters(url: Column) -> Column:
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
     return F.filter(F.split(query, "&"), lambda p: p != "")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.rank import first_per_key
-from millrace.plans.scratch import write_table
+from millrace.plans.graph import connected
 
 
 def dedupe_fingerprint(df: DataFrame, digest: Column, order: list[Column]) -> DataFrame:
@@ -48,21 +49,19 @@ def two_key_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]
 
 
 def duplicate_clusters(df: DataFrame, id_col: str, strong: str, weak: str) -> DataFrame:
-    """kind, key, n, ids: groups of two or more by the strong key; and by the weak key, unless one strong group covers them."""
+    """kind, key, n, id: a row for each member of a group of two or more by the strong key; and by the weak key, unless
+    one strong group covers the whole group. A group is never gathered."""
+
     def groups(column: str, kind: str) -> DataFrame:
-        ids = F.array_join(F.array_sort(F.collect_set(F.col(id_col).cast("string"))), " | ")
-        return (
-            df.filter(F.col(column).isNotNull() & (F.col(column) != ""))
-            .groupBy(F.lit(kind).alias("kind"), F.col(column).alias("key"))
-            .agg(F.count("*").alias("n"), ids.alias("ids"), F.min(strong).alias("_low"), F.max(strong).alias("_high"))
-            .filter("n > 1")
-        )
+        rows = df.filter(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(F.lit(kind).alias("kind"), F.col(column).alias("key"))
+        return rows.agg(F.count("*").alias("n"), F.min(strong).alias("_low"), F.max(strong).alias("_high")).filter("n > 1")
 
     by_strong = groups(strong, "strong")
     covered = (F.col("_low") == F.col("_high")) & F.col("_strong").isNotNull()
     by_weak = groups(weak, "weak").join(by_strong.select(F.col("key").alias("_strong")), F.col("_low") == F.col("_strong"), "left")
     by_weak = by_weak.filter(~F.coalesce(covered, F.lit(False)))
-    return by_strong.drop("_low", "_high").unionByName(by_weak.drop("_low", "_high", "_strong"))
+    members = lambda found, column: df.select(F.col(column).alias("key"), F.col(id_col).alias("id")).join(found.select("kind", "key", "n"), "key")
+    return members(by_strong, strong).unionByName(members(by_weak, weak)).select("kind", "key", "n", "id")
 
 
 def pairs_in_block(df: DataFrame, id_col: str, block: str, columns: list[str], keep: Callable[[Callable, Callable], Column]) -> DataFrame:
@@ -76,22 +75,87 @@ def pairs_in_block(df: DataFrame, id_col: str, block: str, columns: list[str], k
     return both.filter(keep(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, group: the least node that links (a, b) lead to.
+def _suffixes(host: Column) -> Column:
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def site_pairs(left: DataFrame, right: DataFrame, left_host: str, right_host: str) -> DataFrame:
+    """Rows of left and right whose hosts are equal or one below the other: an equal join on each host's suffixes.
 
-    Each round gives every node the least group among its neighbours' and its own, then the group of that
-    group, until nothing changes; rounds are written to the shared folder.
+    Columns of both sides must have different names.
     """
-    edges = write_table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    groups = write_table(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("group")), "groups")
-    while True:
-        near = edges.join(groups.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("_near"))
-        nearer = groups.join(near, "node").select("node", F.col("group").alias("_old"), F.least("group", "_near").alias("_g"))
-        jump = groups.select(F.col("node").alias("_g"), F.col("group").alias("_jump"))
-        moved = write_table(nearer.join(jump, "_g", "left").select("node", F.coalesce("_jump", "_g").alias("group"), "_old"), "groups")
-        groups = moved.select("node", "group")
-        if moved.filter("group != _old").limit(1).count() == 0:
-            return groups
+    below = left.withColumn("_suffix", F.explode(_suffixes(F.col(left_host)))).join(right, F.col("_suffix") == F.col(right_host)).drop("_suffix")
+    above = right.withColumn("_suffix", F.explode(_suffixes(F.col(right_host)))).filter(F.col("_suffix") != F.col(right_host))
+    above = above.join(left, F.col("_suffix") == F.col(left_host)).drop("_suffix")
+    return below.unionByName(above)
+
+
+def registrable_domains(df: DataFrame, host: str, rules: DataFrame) -> DataFrame:
+    """df with ``site``: the label below the public suffix, with it; null if the host is a suffix itself.
+
+    rules (rule) are those of a public suffix list: ``co.uk``, ``*.ck`` (each label below is one too), ``!www.ck``
+    (but not this one). The longest that fits counts, exceptions first; without any the last label is the suffix.
+    Each distinct host is looked up once.
+    """
+    plain = F.regexp_replace(F.lower("rule"), r"^(\*\.|!)", "")
+    kind = F.when(F.startswith("rule", F.lit("!")), -1).when(F.startswith("rule", F.lit("*.")), 1).otherwise(0)
+    listed = rules.select(plain.alias("_suffix"), kind.alias("_more")).distinct()
+    hosts = df.select(F.col(host).alias("_host")).distinct().filter("_host != ''")
+    found = hosts.select("_host", F.explode(_suffixes(F.col("_host"))).alias("_suffix")).join(listed, "_suffix")
+    size = F.size(F.split("_suffix", r"\.")) + F.col("_more")
+    labels = F.split("_host", r"\.")
+    found = found.filter(size <= F.size(labels)).groupBy("_host").agg(F.max(F.struct((F.col("_more") == -1).alias("first"), size.alias("size"))).alias("_best"))
+    n = F.coalesce("_best.size", F.lit(1))
+    sites = hosts.join(found, "_host", "left").select("_host", F.when(F.size(labels) > n, F.array_join(F.slice(labels, -(n + 1), n + 1), ".")).alias("site"))
+    return df.join(sites, F.col(host) == F.col("_host"), "left").drop("_host")
+
+
+def similar_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, percent: int = 92) -> DataFrame:
+    """left_id, right_id, similarity of the pairs of names whose edits are few enough: 1 - edits / the longer length, in
+    percent or more.
+
+    Exact, without comparing all pairs: of a name cut into one piece more than it may have edits, one piece stands
+    unchanged in any similar name, moved by no more places than edits. Pairs meet on such pieces, with their lengths.
+    """
+    edits = lambda n: F.floor((100 - percent) * n / percent).cast("int")  # noqa: E731  with the longer name n * 100 / percent letters at most
+    own = right.filter(F.length(name) > 0).select(F.col(right_id).alias("_b"), F.col(name).alias("_y"), F.length(name).alias("_m"))
+    own = own.select("*", (edits(F.col("_m")) + 1).alias("_k")).select("*", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
+    start = lambda i: F.floor(F.col("_m") * i / F.col("_k")).cast("int")
+    own = own.select("_b", "_y", "_m", "_i", F.substring("_y", start(F.col("_i")) + 1, start(F.col("_i") + 1) - start(F.col("_i"))).alias("_piece"))
+    mine = left.filter(F.length(name) > 0).select(F.col(left_id).alias("_a"), F.col(name).alias("_x"), F.length(name).alias("_n"))
+    spread = F.ceil(F.col("_n") * (100 - percent) / 100).cast("int") + edits(F.col("_n"))
+    mine = mine.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_n") - spread), F.col("_n") + spread)).alias("_m"))
+    mine = mine.select("*", (edits(F.col("_m")) + 1).alias("_k")).select("*", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
+    at = F.explode(F.sequence(F.greatest(F.lit(0), start(F.col("_i")) - (F.col("_k") - 1)), start(F.col("_i")) + F.col("_k") - 1)).alias("_at")
+    mine = mine.select("_a", "_x", "_n", "_m", "_i", (start(F.col("_i") + 1) - start(F.col("_i"))).alias("_size"), at)
+    mine = mine.filter(F.col("_at") + F.col("_size") <= F.col("_n")).select("_a", "_x", "_n", "_m", "_i", F.substring("_x", F.col("_at") + 1, F.col("_size")).alias("_piece")).distinct()
+    met = mine.join(own, ["_m", "_i", "_piece"]).select("_a", "_b", "_x", "_y").distinct()
+    longest = F.greatest(F.length("_x"), F.length("_y"))
+    near = met.withColumn("_d", F.levenshtein("_x", "_y")).filter(100 * (longest - F.col("_d")) >= percent * longest)
+    return near.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), (F.lit(1.0) - F.col("_d") / longest).alias("similarity"))
+
+
+def match_confidence(same_domain: Column, same_root: Column, same_name: Column, similarity: Column, percent: int = 92) -> Column:
+    """How sure a match of two rows is: 100 by domain, 98 by the domain's root, 97 by name, 92 by a similar name; else null."""
+    return F.when(same_domain, 100).when(same_root, 98).when(same_name, 97).when(100 * similarity >= percent, 92)
+
+
+def duplicate_audit(new: DataFrame, known: DataFrame, new_id: str, known_id: str, domain: str, root: str, name: str, percent: int = 92) -> DataFrame:
+    """new_id, known_id, confidence: each pair of a new and a known row that match, with the surest reason.
+
+    Pairs meet on equal keys, and by similar_names(); empty keys match nothing. Both frames have the three columns.
+    """
+    ids = lambda df, i, c: df.filter(F.col(c).isNotNull() & (F.col(c) != "")).select(i, c)
+    found = [ids(new, new_id, c).join(ids(known, known_id, c), c).select(new_id, known_id, F.lit(points).alias("confidence")) for c, points in ((domain, 100), (root, 98), (name, 97))]
+    near = similar_names(ids(new, new_id, name), ids(known, known_id, name), new_id, known_id, name, percent)
+    every = reduce(DataFrame.unionByName, [*found, near.select(new_id, known_id, F.lit(92).alias("confidence"))])
+    return every.groupBy(new_id, known_id).agg(F.max("confidence").alias("confidence"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, group: the least node that links (a, b) lead to."""
+    return connected(links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")))
 
 
 def greedy_groups(df: DataFrame, keys: list[str], id_col: str, text: str, order: str, threshold: float) -> DataFrame:

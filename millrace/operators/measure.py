@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import change, in_window, percent
+from millrace.functions.urls import is_public_http
+from millrace.operators.rank import first_per_key
 
 
 def rollup_with_unknown(counts: DataFrame, n: str, dims: dict[str, tuple[DataFrame, str, str]], unknown: str = "unknown") -> DataFrame:
@@ -128,3 +130,29 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
 def union_entities(parts: list[DataFrame]) -> DataFrame:
     """Frames of different columns as one, absent ones null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def owner_profiles(cards: DataFrame, owner: str, id_col: str, verified: Column, url: str, topics: DataFrame) -> DataFrame:
+    """owner, verified_count, official_count (verified cards with a public URL that no card before has), topics (distinct).
+
+    topics: owner and slug of what the owner's cards are about, one row for each card and topic.
+    """
+    shown = cards.filter(verified & is_public_http(F.col(url)))
+    official = first_per_key(shown, [owner, url], [F.col(id_col)]).groupBy(owner).agg(F.count("*").alias("official_count"))
+    counts = cards.groupBy(owner).agg(F.count_if(verified).alias("verified_count"))
+    about = topics.select(owner, "slug").distinct().groupBy(owner).agg(F.count("*").alias("topics"))
+    return counts.join(official, owner, "left").join(about, owner, "left").fillna(0, ["official_count", "topics"])
+
+
+def media_summary(cards: DataFrame, media: DataFrame, key: str, alt: str) -> DataFrame:
+    """media_count, with_media, missing_media, missing_alt (cards with media, none of which has a text) in one row."""
+    by_card = media.groupBy(key).agg(F.count("*").alias("_n"), F.count_if(F.coalesce(alt, F.lit("")) != "").alias("_alt"))
+    has = F.col("_n").isNotNull()
+    found = cards.join(by_card, key, "left").agg(F.count_if(has).alias("with_media"), F.count_if(~has).alias("missing_media"), F.count_if(has & (F.col("_alt") == 0)).alias("missing_alt"))
+    return found.join(F.broadcast(media.agg(F.count("*").alias("media_count")))).select("media_count", "with_media", "missing_media", "missing_alt")
+
+
+def remediation_queues(df: DataFrame, id_col: str, queues: list[tuple[str, Column]]) -> DataFrame:
+    """queue, id_col: a row for each queue whose condition a row meets; queues may overlap."""
+    named = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in queues]))
+    return df.select(F.explode(named).alias("queue"), id_col)

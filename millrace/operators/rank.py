@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +28,15 @@ def keepers(df: DataFrame, keys: list[str], order: list[Column], id_col: str) ->
 
 
 def winner_margin(df: DataFrame, key: str, candidate: str, score: str, least: float, margin: float) -> DataFrame:
-    """key, winner, top, second, decided: whether the top score is high enough and far enough above the next one."""
-    two = F.slice(F.sort_array(F.collect_list(F.struct(F.col(score), F.col(candidate))), asc=False), 1, 2)
-    top = df.groupBy(key).agg(two.alias("_two"))
-    second = F.coalesce(F.get("_two", F.lit(1))[score], F.lit(0))
-    first = F.get("_two", F.lit(0))
-    return top.select(
-        key,
-        first[candidate].alias("winner"),
-        first[score].alias("top"),
-        second.alias("second"),
-        ((first[score] >= least) & (first[score] - second >= margin)).alias("decided"),
-    )
+    """key, winner, top, second, decided: whether the top score is high enough and far enough above the next one.
+
+    Only two rows of a key are kept from each task on.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), F.desc(candidate)))
+    two = df.select(key, candidate, score, rank.alias("_rank")).filter("_rank <= 2")
+    of = lambda c, n: F.max(F.when(F.col("_rank") == n, F.col(c)))
+    top = two.groupBy(key).agg(of(candidate, 1).alias("winner"), of(score, 1).alias("top"), F.coalesce(of(score, 2), F.lit(0)).alias("second"))
+    return top.select("*", ((F.col("top") >= least) & (F.col("top") - F.col("second") >= margin)).alias("decided"))
 
 
 def hash_changes(df: DataFrame, key: str, at: str, digest: str) -> DataFrame:
@@ -70,14 +70,30 @@ def first_k(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
 
 
 def numbered_slugs(df: DataFrame, slug: str, order: list[Column], taken: DataFrame | None = None) -> DataFrame:
-    """Adds ``unique_slug``: the slug, or the slug with -2, -3 and so on after rows (or taken slugs) that have it."""
+    """Adds ``unique_slug``: the slug for its first row (if it isn't taken), else the slug with the least free number from 2 on.
+
+    A number isn't free if the slug with it is taken, or is the slug of any row. So no two rows get one slug.
+    """
+    names = df.select(F.col(slug).alias("_name"))
+    if taken is not None:
+        gone = taken.select(F.col(slug).alias("_name")).distinct()
+        names = names.unionByName(gone)
+    used = names.distinct().select(F.regexp_extract("_name", "^(.*)-([1-9][0-9]{0,8})$", 1).alias(slug), F.regexp_extract("_name", "^(.*)-([1-9][0-9]{0,8})$", 2).try_cast("bigint").alias("_n"))
+    used = used.filter("_n >= 2").join(df.select(slug).distinct(), slug, "left_semi")
+    # the j-th used number u has u - j - 1 free ones below it; the r-th row that needs a number passes those with fewer than r
+    passed = F.col("_n") - F.row_number().over(Window.partitionBy(slug).orderBy("_n")) - 1
+    used = used.select(slug, passed.cast("double").alias("_at"))
     rank = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    if taken is None:
-        number = rank
-    else:
-        df = df.join(taken.select(F.col(slug), F.lit(1).alias("_taken")).distinct(), slug, "left")
-        number = rank + F.coalesce("_taken", F.lit(0))
-    return df.withColumn("unique_slug", F.when(number == 1, F.col(slug)).otherwise(F.concat_ws("-", slug, number.cast("string")))).drop("_taken")
+    rows = df.select(F.struct("*").alias("_row"), F.col(slug), rank.alias("_rank"))
+    if taken is not None:
+        rows = rows.join(gone.select(F.col("_name").alias(slug), F.lit(1).alias("_taken")), slug, "left")
+        rows = rows.withColumn("_rank", F.col("_rank") + F.coalesce("_taken", F.lit(0))).drop("_taken")
+    needs = (F.col("_rank") - 1).cast("double")
+    both = rows.select(slug, "_row", "_rank", needs.alias("_at")).unionByName(used.select(slug, (F.col("_at") + 0.5).alias("_at")), allowMissingColumns=True)
+    skipped = F.count_if(F.col("_row").isNull()).over(Window.partitionBy(slug).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
+    number = F.col("_rank") + skipped
+    named = both.withColumn("_number", number).filter("_row is not null")
+    return named.select("_row.*", F.when(F.col("_rank") == 1, F.col(slug)).otherwise(F.concat_ws("-", slug, F.col("_number").cast("string"))).alias("unique_slug"))
 
 
 def merge_ranked(preferred: DataFrame, fallback: DataFrame, id_col: str, owner: str, rank: str, most: int) -> DataFrame:
@@ -92,24 +108,25 @@ def merge_ranked(preferred: DataFrame, fallback: DataFrame, id_col: str, owner:
 def accepted(df: DataFrame, keys: list[str], at: str, id_col: str, window_seconds: int) -> DataFrame:
     """The rows that count: those without an accepted one of their (null-safe) key in the window before, bounds included.
 
-    The window starts at the last *accepted* row, so this is neither a tumbling nor a session window. A key
-    whose rows are all further apart than the window, or follow a gap longer than it, starts anew: rows are
-    first cut into such stretches, and only a stretch is folded.
+    The window starts at the last *accepted* row, so this is neither a tumbling nor a session window. Keys are
+    dealt to tasks and sorted there; a task walks through its rows batch by batch and holds one time, however many
+    rows a key has.
     """
-    window = Window.partitionBy(*keys).orderBy(at, id_col)
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    gap = micros - F.lag(micros).over(window)
-    cut = df.withColumn("_at", micros).withColumn("_stretch", F.sum(F.when(gap > window_seconds * 1_000_000, 1).otherwise(0)).over(window))
-    rows = F.array_sort(F.collect_list(F.struct("_at", id_col)))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{df.schema[id_col].dataType.simpleString()}>").alias("ids"))
-    fold = F.aggregate(
-        rows,
-        start,
-        lambda acc, row: F.when(
-            acc["last"].isNull() | (row["_at"] - acc["last"] > window_seconds * 1_000_000),
-            F.struct(row["_at"].alias("last"), F.array_append(acc["ids"], row[id_col]).alias("ids")),
-        ).otherwise(acc),
-        lambda acc: acc["ids"],
-    )
-    ids = cut.groupBy(*keys, "_stretch").agg(fold.alias("_ids")).select(F.explode("_ids").alias(id_col))
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.to_json(F.struct(*keys)).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(id_col).alias("id"))
+    rows = rows.filter("at is not null").repartition("key").sortWithinPartitions("key", "at", "id")
+    gap = window_seconds * 1_000_000
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            kept = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = k != key or t - last > gap
+                if counts:
+                    key, last = k, t
+                kept.append(counts)
+            yield batch.select([2]).filter(pa.array(kept, pa.bool_()))
+
+    ids = rows.mapInArrow(walk, f"id {kind}").withColumnRenamed("id", id_col)
     return df.join(ids, id_col, "left_semi")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import allowed_typos, catalog_form, greek_to_latin, match_strength, osa_distance, search_form
+from millrace.functions.text import catalog_form, greek_to_latin, match_strength, osa_distance, search_form
 from millrace.operators.rank import first_per_key
 
 
@@ -25,85 +25,129 @@ def weighted_search(df: DataFrame, query: str, fields: dict[str, float], least:
     return scored.filter(tested >= least).withColumn("score", F.floor(F.col("_raw") + extra + 0.5)).drop("_raw")
 
 
-def _terms(query: str, most: int = 12, longest: int = 160) -> list[str]:
+def suggestions(df: DataFrame, query: str, fields: dict[str, float], label: str, id_col: str, boosts: list[tuple[Column, float]] | None = None, k: int = 7) -> DataFrame:
+    """The k best rows while one types, by weighted_search() with boosts counted before the threshold; nothing below two characters."""
+    asked = query.strip()
+    found = weighted_search(df, asked, fields, boosts=boosts, boost_first=True)
+    return (found if len(asked) >= 2 else found.limit(0)).orderBy(F.desc("score"), label, id_col).limit(k)
+
+
+def _terms(query: str) -> list[str]:
+    """The distinct words of a query in catalogue form; none of a query that is too long or has too many."""
     import unicodedata
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", query[:longest]) if not unicodedata.combining(c)).lower().replace("ς", "σ")
-    return "".join(c if c.isalnum() else " " for c in plain).split()[:most]
+    plain = "".join(c for c in unicodedata.normalize("NFD", query) if not unicodedata.combining(c)).lower().replace("ς", "σ")
+    words = "".join(c if c.isalnum() else " " for c in plain).split()
+    terms = list(dict.fromkeys(words))
+    return terms if len(" ".join(words)) <= 160 and len(terms) <= 12 else []
 
 
-def _some_starts(words: str, term: str) -> Column:
-    return F.exists(words, lambda w: F.startswith(w, F.lit(term)))
+def _without_blanks(c: Column) -> Column:
+    return F.replace(c, F.lit(" "), F.lit(""))
 
 
 def conjunctive_search(df: DataFrame, query: str, owner: str, title: str, taxonomy: list[str], description: str, id_col: str) -> DataFrame:
-    """Rows that match every term, with score and ``approximate``: exact matches, or (if there are none) near ones.
+    """Rows that match every term, with score and ``approximate``: exact matches, or (if there are none) near ones as well.
 
-    A term scores by the best field: owner 120, title 95, taxonomy 90, description 8; by prefix 0.6 of that from
-    three letters on; near 0.35 of that, never in the description. A row whose owner is the query gains 1000,
-    one whose title is it 400; archives lose 50. Queries of more than 160 characters match nothing.
+    A term scores by its best field: owner 120, title 95, taxonomy 90, description 8; by prefix 0.6 of that from
+    three letters on; near (four letters or more, one edit off, from eight letters two) 0.35 of that, never in the
+    description. A row whose owner is the query, blanks aside, needn't match the terms and gains 1000; one whose
+    title is it gains 400; headings of archives lose 50, unless the owner is the query.
     """
-    terms = _terms(query) if len(query) <= 160 else []
-    empty = df.limit(0).withColumn("score", F.lit(0.0)).withColumn("approximate", F.lit(False))
+    terms = _terms(query)
     if not terms:
-        return empty
-    weights = {owner: 120.0, title: 95.0, **{t: 90.0 for t in taxonomy}, description: 8.0}
-    forms = {c: catalog_form(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in weights}
-    rows = df.select("*", *[F.filter(F.split(f, " "), lambda w: w != "").alias(f"_w_{c}") for c, f in forms.items()])
-    words = F.array_distinct(F.flatten(F.array(*[F.col(f"_w_{c}") for c in weights if c != description])))
-    exact, fuzzy = [], []
-    for term in terms:
-        by_field = []
-        for c, w in weights.items():
-            best = F.when(F.array_contains(f"_w_{c}", term), w)
-            if len(term) >= 3:
-                best = best.when(_some_starts(f"_w_{c}", term), w * 0.6)
-            by_field.append(best.otherwise(0.0))
-        exact.append(F.greatest(*by_field))
-    rows = rows.withColumn("_words", words)
+        return df.limit(0).withColumn("score", F.lit(0.0)).withColumn("approximate", F.lit(False))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    weights = {"owner": 120.0, "title": 95.0, "taxonomy": 90.0, "description": 8.0}
+    sources = {"owner": text(owner), "title": text(title), "taxonomy": F.concat_ws(" ", *[text(c) for c in taxonomy]), "description": text(description)}
+    forms = {c: catalog_form(x) for c, x in sources.items()}
+    split = F.struct(*[F.filter(F.split(f, " "), lambda w: w != "").alias(c) for c, f in forms.items()]).alias("_words")
     whole = catalog_form(F.lit(query))
-    is_owner, is_title = forms[owner] == whole, forms[title] == whole
-    extra = F.when(is_owner, 1000.0).when(is_title, 400.0).otherwise(0.0) - F.when(F.rlike(forms[owner], F.lit("^archives?\\b")), 50.0).otherwise(0.0)
-    total = reduce(lambda a, b: a + b, exact)
-    all_terms = reduce(lambda a, b: a & b, [e > 0 for e in exact]) | is_owner
-    rows = rows.select("*", total.alias("_score"), all_terms.alias("_exact"), extra.alias("_extra"))
-    found = rows.filter("_exact").withColumn("score", F.col("_score") + F.col("_extra")).withColumn("approximate", F.lit(False))
-    # the near tier: distances are worked out once per distinct word of the catalogue
-    vocabulary = rows.select(F.explode("_words").alias("word")).distinct()
-    for k, term in enumerate(terms):
-        t = F.lit(term)
-        near = (allowed_typos(t, 8, 4) > 0) & (F.abs(F.length("word") - F.length(t)) <= allowed_typos(t, 8, 4))
-        hits = vocabulary.filter(near).withColumn("_d", osa_distance(F.col("word"), t)).filter(F.col("_d") <= allowed_typos(t, 8, 4))
-        ids = rows.select(id_col, F.explode("_words").alias("word")).join(hits.select("word"), "word").select(id_col, F.lit(k).alias("term"))
-        fuzzy.append(ids)
-    near_rows = reduce(DataFrame.unionByName, fuzzy).distinct()
-    kept = rows.select(id_col, F.explode(F.array(*[F.when(e > 0, F.lit(k)) for k, e in enumerate(exact)])).alias("term")).filter("term is not null")
-    matched = near_rows.unionByName(kept).distinct().groupBy(id_col).agg(F.count("*").alias("_n")).filter(F.col("_n") == len(terms))
-    close = rows.join(matched, id_col).withColumn("score", F.col("_score") + F.col("_extra") + 0.35 * 95).withColumn("approximate", F.lit(True)).drop("_n")
-    none_exact = found.agg(F.count("*").alias("_found")).filter("_found = 0").select(F.lit(1).alias("_only"))
-    close = close.join(F.broadcast(none_exact)).drop("_only")
-    drop = [f"_w_{c}" for c in weights] + ["_words", "_score", "_exact", "_extra"]
-    return found.unionByName(close).drop(*drop)
-
-
-def instant_search(df: DataFrame, query: str, title: str, owner: str, context: str, id_col: str, limit: int = 8) -> DataFrame:
-    """The best rows as one types: titles 1650, owners 1580, context 760, and 420 if exact, 330 for a prefix, 250 for a word's, 170 inside."""
-    asked = search_form(F.lit(query))
-    one = F.length(asked) <= 1
-
-    def field(column: str, base: int) -> Column:
+    is_owner = _without_blanks(forms["owner"]) == _without_blanks(whole)
+    archive = ~is_owner & F.rlike(text(owner), F.lit(r"(?iu)^(archives|αρχεία)\s*[-–|:]"))
+    extra = F.when(is_owner, 1000.0).otherwise(0.0) + F.when(forms["title"] == whole, 400.0).otherwise(0.0) - F.when(archive, 50.0).otherwise(0.0)
+    rows = df.select("*", split, is_owner.alias("_is_owner"), extra.alias("_extra"))
+
+    def plain(term: str) -> Column:
+        def field(c: str, w: float) -> Column:
+            words = F.col("_words")[c]
+            best = F.when(F.array_contains(words, term), w)
+            if len(term) >= 3:
+                best = best.when(F.exists(words, lambda x: F.startswith(x, F.lit(term))), w * 0.6)
+            return best.otherwise(0.0)
+
+        return F.greatest(*[field(c, w) for c, w in weights.items()])
+
+    def ranked(found: DataFrame, scores: list[Column], approximate: bool) -> DataFrame:
+        every = reduce(lambda a, b: a & b, [x > 0 for x in scores]) | F.col("_is_owner")
+        total = reduce(lambda a, b: a + b, scores) + F.col("_extra")
+        return found.filter(every).select(*[F.col(f"`{c}`") for c in df.columns], total.alias("score"), F.lit(approximate).alias("approximate"))
+
+    exact = ranked(rows, [plain(t) for t in terms], False)
+    # the near tier: distances are worked out once per distinct word of the catalogue that can be near
+    fields = [c for c in weights if c != "description"]
+    weighed = lambda c: F.transform(F.col("_words")[c], lambda w: F.struct(w.alias("word"), F.lit(weights[c]).alias("weight")))
+    listed = F.concat(*[weighed(c) for c in fields])
+    words = rows.select(F.col(id_col).alias("_id"), F.inline(listed)).filter(F.length("word") >= 4)
+    asked = df.sparkSession.createDataFrame([(k, t, 2 if len(t) >= 8 else 1) for k, t in enumerate(terms) if len(t) >= 4], "_term int, _text string, _limit int")
+    can = F.levenshtein("word", "_text") <= 2 * F.col("_limit")  # a swap is one edit, or two without swaps
+    near = words.select("word").distinct().join(F.broadcast(asked), can).withColumn("_d", osa_distance(F.col("word"), F.col("_text"))).filter("_d <= _limit")
+    best = words.join(near.select("word", "_term"), "word").groupBy("_id").agg(*[F.max(F.when(F.col("_term") == k, F.col("weight") * 0.35)).alias(f"_near{k}") for k in range(len(terms))])
+    close = rows.join(best, F.col(id_col) == F.col("_id"), "left")
+    close = ranked(close, [F.greatest(plain(t), F.coalesce(f"_near{k}", F.lit(0.0))) for k, t in enumerate(terms)], True)
+    none_exact = exact.agg(F.count("*").alias("_found")).filter("_found = 0").select(F.lit(1).alias("_only"))
+    return exact.unionByName(close.join(F.broadcast(none_exact)).drop("_only"))
+
+
+def instant_search(
+    df: DataFrame,
+    query: str,
+    title: str,
+    owner: str,
+    context: str,
+    id_col: str,
+    limit: int = 8,
+    forms: list[str] | None = None,
+    bonuses: list[tuple[Column, float]] | None = None,
+) -> DataFrame:
+    """The best rows as one types, with their score.
+
+    Titles 1650, owners 1580, context 760, and 420 if exact, 330 for a prefix, 250 for a word's, 170 inside. From
+    three characters on, while fewer than ``limit`` rows match so, rows whose title or owner begins with the query's
+    letter may be near: 1180 and 1120, and 110 less 45 for each edit, plus the shorter word's letters; words of three
+    letters or more, one edit apart, from eight letters two. forms: other ways to write the query (synonyms), of
+    which the best counts; bonuses are added to any score.
+    """
+    asked = [search_form(F.lit(query.strip())), greek_to_latin(F.lit(query.strip())), *[search_form(F.lit(f)) for f in forms or ()]]
+    size = F.length(asked[0])
+
+    def plain(column: str, base: int, q: Column) -> Column:
         text = search_form(F.coalesce(F.col(column), F.lit("")))
-        return (
-            F.when(asked == "", None)
-            .when(text == asked, base + 420)
-            .when(F.startswith(text, asked), base + 330)
-            .when(one, None)
-            .when(F.contains(text, F.concat(F.lit(" "), asked)), base + 250)
-            .when(F.contains(text, asked), base + 170)
-        )
-
-    scored = df.withColumn("score", F.greatest(field(title, 1650), field(owner, 1580), field(context, 760)))
-    return scored.filter("score is not null").orderBy(F.desc("score"), title, id_col).limit(limit)
+        inside = F.exists(F.split(text, " "), lambda w: F.startswith(w, q))
+        return F.when((q == "") | (text == ""), 0).when(text == q, base + 420).when(F.startswith(text, q), base + 330).when(inside, base + 250).when(F.contains(text, q), base + 170).otherwise(0)
+
+    def near(column: str, base: int, q: Column) -> Column:
+        own, theirs = (F.filter(F.split(t, " "), lambda w: F.length(w) >= 3) for t in (search_form(F.coalesce(F.col(column), F.lit(""))), q))
+
+        def points(a: Column, b: Column) -> Column:
+            d = F.levenshtein(a, b)
+            allowed = F.when(F.greatest(F.length(a), F.length(b)) >= 8, 2).otherwise(1)
+            return F.when((F.abs(F.length(a) - F.length(b)) <= 2) & (d <= allowed), base + 110 - 45 * d + F.least(F.length(a), F.length(b))).otherwise(0)
+
+        best = F.array_max(F.flatten(F.transform(theirs, lambda a: F.transform(own, lambda b: points(a, b)))))
+        return F.when(F.length(q) >= 3, F.coalesce(best, F.lit(0))).otherwise(0)
+
+    greatest = lambda xs: F.greatest(*xs) if len(xs) > 1 else xs[0]
+    exact = greatest([plain(c, b, q) for q in asked for c, b in ((title, 1650), (owner, 1580))] + [F.when(size > 1, plain(context, 760, q)).otherwise(0) for q in asked])
+    fuzzy = greatest([near(c, b, q) for q in asked for c, b in ((title, 1180), (owner, 1120))])
+    begins = reduce(lambda a, b: a | b, [F.substring(search_form(F.coalesce(F.col(c), F.lit(""))), 1, 1) == F.substring(q, 1, 1) for c in (title, owner) for q in asked])
+    more = reduce(lambda a, b: a + b, [F.when(c, b).otherwise(0.0) for c, b in bonuses or []], F.lit(0.0))
+    scored = df.select("*", exact.alias("_exact"), more.alias("_more"))
+    found = scored.filter("_exact > 0").withColumn("score", F.col("_exact") + F.col("_more"))
+    full = found.limit(limit).agg(F.count("*").alias("_n"), F.max(size).alias("_size")).filter(F.col("_n") < limit).select(F.lit(1).alias("_only"))
+    close = scored.filter((F.col("_exact") == 0) & (size >= 3) & begins).withColumn("_near", fuzzy).filter("_near > 0")
+    close = close.join(F.broadcast(full)).withColumn("score", F.col("_near") + F.col("_more")).drop("_only", "_near")
+    return found.unionByName(close).drop("_exact", "_more").orderBy(F.desc("score"), owner, title, id_col).limit(limit)
 
 
 def related(df: DataFrame, current: dict, links: dict[str, tuple[DataFrame, float]], id_col: str, owner: str, same_owner: float, k: int) -> DataFrame:

@@ -21,13 +21,13 @@ def events(spark, sf):
 
 @query("""
 WITH c AS (SELECT nullif(user_id % 40, 7) AS who, event_type AS kind, 1 AS n FROM events),
-k AS (SELECT who, kind, n, CASE WHEN who IN (SELECT c_custkey FROM customer WHERE c_custkey < 30) THEN CAST(who AS VARCHAR) ELSE 'unknown' END AS customer,
+k AS (SELECT who, kind, n, CASE WHEN who IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') THEN CAST(who AS VARCHAR) ELSE 'unknown' END AS customer,
  CASE WHEN kind IN ('view', 'click') THEN kind ELSE 'unknown' END AS k FROM c)
 SELECT 'customer' AS dimension, customer AS id, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL UNION ALL SELECT 'kind', k, CAST(sum(n) AS BIGINT) FROM k GROUP BY ALL""")
 def rollup_unknown_bucket(spark, sf):
     counts = events(spark, sf).groupBy(F.nullif(F.col("user_id") % 40, F.lit(7)).alias("who"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
     kinds = spark.createDataFrame([("view",), ("click",)], "kind string")
-    customers = table(spark, sf, "customer").filter("c_custkey < 30")
+    customers = table(spark, sf, "customer").filter("c_mktsegment != 'BUILDING'")
     return measure.rollup_with_unknown(counts, "n", {"customer": (customers, "who", "c_custkey"), "kind": (kinds, "kind", "kind")})
 
 
@@ -172,16 +172,30 @@ def hash_change_state(spark, sf):
     return rank.hash_changes(events(spark, sf), "user_id", "ts", "event_type").select("event_id", "state")
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events QUALIFY k <= 12),
+f AS (SELECT user_id, k, t AS last, 1 AS n FROM s WHERE k = 1 UNION ALL
+ SELECT s.user_id, s.k, CASE WHEN n < 3 AND last - t >= 21600000000 THEN t ELSE last END, CASE WHEN n < 3 AND last - t >= 21600000000 THEN n + 1 ELSE n END FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1)
+SELECT user_id, max(n) AS n FROM f GROUP BY 1""")
 def spaced_selection(spark, sf):
     return rank.spaced_selection(events(spark, sf), "user_id", "ts", 6 * 3600).select("user_id", F.size("kept").alias("n"))
 
 
-@query("""SELECT p_partkey, CASE WHEN k = 1 THEN slug ELSE slug || '-' || CAST(k AS VARCHAR) END AS unique_slug FROM (
- SELECT p_partkey, replace(p_name, ' ', '-') AS slug, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)""")
+@query("""
+WITH r AS (SELECT p_partkey, replace(p_name, ' ', '-') || CASE p_size % 10 WHEN 0 THEN '-2' WHEN 1 THEN '-3' ELSE '' END AS slug FROM part),
+t AS (SELECT replace(p_name, ' ', '-') || '-2' AS slug FROM part WHERE p_brand = 'Brand#1' UNION SELECT replace(p_name, ' ', '-') FROM part WHERE p_brand = 'Brand#2'),
+u AS (SELECT slug FROM r UNION SELECT slug FROM t),
+k AS (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) + CASE WHEN slug IN (SELECT slug FROM t) THEN 1 ELSE 0 END AS k FROM r),
+x AS (SELECT slug, unnest(range(2, 12 + max(k))) AS x FROM k GROUP BY slug),
+f AS (SELECT slug, x, row_number() OVER (PARTITION BY slug ORDER BY x) AS i FROM x WHERE slug || '-' || CAST(x AS VARCHAR) NOT IN (SELECT slug FROM u))
+SELECT p_partkey, CASE WHEN k = 1 THEN k.slug ELSE k.slug || '-' || CAST(x AS VARCHAR) END AS unique_slug FROM k LEFT JOIN f ON f.slug = k.slug AND i = k - 1""")
 def numbered_slugs(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", text.slugify(F.col("p_name")).alias("slug"))
-    return rank.numbered_slugs(rows, "slug", [F.col("p_partkey")]).select("p_partkey", "unique_slug")
+    part = table(spark, sf, "part")
+    slug = text.slugify(F.col("p_name"))
+    end = F.when(F.col("p_size") % 10 == 0, "-2").when(F.col("p_size") % 10 == 1, "-3").otherwise("")
+    second = part.filter("p_brand = 'Brand#1'").select(F.concat(slug, F.lit("-2")).alias("slug"))
+    taken = second.unionByName(part.filter("p_brand = 'Brand#2'").select(slug.alias("slug")))
+    return rank.numbered_slugs(part.select("p_partkey", F.concat(slug, end).alias("slug")), "slug", [F.col("p_partkey")], taken).select("p_partkey", "unique_slug")
 
 
 @query("""SELECT 'nation' AS kind, CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(0.6 AS DOUBLE) AS priority FROM nation UNION ALL SELECT 'region', r_regionkey, r_name, CAST(0.8 AS DOUBLE) FROM region
@@ -204,18 +218,20 @@ def reconcile_sets(spark, sf):
 
 
 @query("""
-WITH b AS (SELECT p_brand, list_distinct(list(p_type)) AS types FROM part WHERE p_size < 12 GROUP BY 1)
+WITH b AS (SELECT p_brand, list_distinct(list(p_name)) AS types FROM part GROUP BY 1)
 SELECT a.p_brand AS a, b.p_brand AS b, len(list_intersect(a.types, b.types)) / len(list_distinct(list_concat(a.types, b.types))) AS jaccard,
  len(list_intersect(a.types, b.types)) / least(len(a.types), len(b.types)) AS overlap FROM b AS a JOIN b ON a.p_brand < b.p_brand""")
 def jaccard_tokens(spark, sf):
     """All pairs of the 25 brands: the set is fixed by the catalogue."""
-    brands = table(spark, sf, "part").filter("p_size < 12").groupBy("p_brand").agg(F.collect_set("p_type").alias("types"))
+    brands = table(spark, sf, "part").groupBy("p_brand").agg(F.collect_set("p_name").alias("types"))
     a, b = (brands.select(F.col("p_brand").alias(x), F.col("types").alias(f"t{x}")) for x in "ab")
     pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))
     return pairs.select("a", "b", text.token_overlap(F.col("ta"), F.col("tb")).alias("jaccard"), text.token_overlap(F.col("ta"), F.col("tb"), "coefficient").alias("overlap"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT p_partkey, p_brand, CASE WHEN p_size > 40 THEN 0 ELSE 1 END AS list FROM part), t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY list, p_partkey) > 1 AS again FROM l)
+SELECT p_partkey, p_brand, p_partkey AS place FROM t ORDER BY again, list, p_partkey LIMIT 9""")
 def merge_ranked_lists(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_partkey").alias("place"))
     return rank.merge_ranked(parts.filter("p_size > 40"), parts.filter("p_size <= 40"), "p_partkey", "p_brand", "place", 9)
@@ -229,3 +245,43 @@ f AS (SELECT user_id, event_type, event_id, t, k, t AS last, true AS ok FROM s W
 SELECT event_id, user_id, event_type FROM f WHERE ok""")
 def view_accept_window(spark, sf):
     return rank.accepted(events(spark, sf), ["user_id", "event_type"], "ts", "event_id", 7200).select("event_id", "user_id", "event_type")
+
+
+@query("""
+WITH c AS (SELECT p_brand, p_partkey, 'https://a.example/' || p_name AS url, p_size % 3 = 0 AS ok FROM part WHERE p_size % 5 <> 1 UNION ALL SELECT p_brand, p_partkey, 'ftp://a.example/x', true FROM part WHERE p_size % 5 = 1)
+SELECT p_brand, count(*) FILTER (ok) AS verified_count, count(DISTINCT url) FILTER (ok AND starts_with(url, 'http')) AS official_count, (SELECT count(DISTINCT p_type) FROM part p WHERE p.p_brand = c.p_brand) AS topics FROM c GROUP BY 1""")
+def owner_profiles(spark, sf):
+    part, odd = table(spark, sf, "part"), F.col("p_size") % 5 == 1
+    cards = part.select("p_brand", "p_partkey", F.when(odd, "ftp://a.example/x").otherwise(F.concat(F.lit("https://a.example/"), F.replace("p_name", F.lit(" "), F.lit("_")))).alias("url"), (odd | (F.col("p_size") % 3 == 0)).alias("ok"))
+    return measure.owner_profiles(cards, "p_brand", "p_partkey", F.col("ok"), "url", part.select("p_brand", F.col("p_type").alias("slug")))
+
+
+@query("""
+WITH m AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS alt FROM orders GROUP BY 1)
+SELECT (SELECT count(*) FROM orders) AS media_count, count(n) AS with_media, count(*) - count(n) AS missing_media, count(*) FILTER (alt = 0) AS missing_alt FROM customer LEFT JOIN m ON c_custkey = o_custkey""")
+def media_summary(spark, sf):
+    media = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") == "P", "text").otherwise("").alias("alt"))
+    return measure.media_summary(table(spark, sf, "customer"), media, "c_custkey", "alt")
+
+
+@query("""SELECT q AS queue, c_custkey FROM customer, (VALUES ('debt'), ('rich'), ('far')) AS v(q)
+ WHERE (q = 'debt' AND c_acctbal < 0) OR (q = 'rich' AND c_acctbal > 9000) OR (q = 'far' AND c_nationkey > 20)""")
+def remediation_queues(spark, sf):
+    return measure.remediation_queues(table(spark, sf, "customer"), "c_custkey", [("debt", F.col("c_acctbal") < 0), ("rich", F.col("c_acctbal") > 9000), ("far", F.col("c_nationkey") > 20)])
+
+
+@query("""SELECT event_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS utc, CAST(date_trunc('month', ts + INTERVAL 2 HOUR) - INTERVAL 2 HOUR AS TIMESTAMP) AS athens,
+ CAST(ts AS DATE) - 9 AS start, CAST(ts AS DATE) - 3 AS "end", CAST(ts AS DATE) - 16 AS before_start, CAST(ts AS DATE) - 10 AS before_end FROM events""")
+def months_and_windows(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    months = [numbers.month_start(ts, zone).cast("timestamp_ntz").alias(name) for zone, name in (("UTC", "utc"), ("Europe/Athens", "athens"))]
+    return events(spark, sf).select("event_id", *months, numbers.reporting_windows(ts, 7, 3).alias("w")).select("event_id", "utc", "athens", "w.*")
+
+
+WORDS = ["άλφα", "Άλφα", "αλφάβητο", "Ωμέγα", "ψάρι", "beta", "Alpha", "zeta", "alpha"]
+
+
+@query("""SELECT p_partkey, w AS word FROM (SELECT p_partkey, ['άλφα', 'Άλφα', 'αλφάβητο', 'Ωμέγα', 'ψάρι', 'beta', 'Alpha', 'zeta', 'alpha'][CAST(p_size % 9 AS INT) + 1] AS w FROM part) ORDER BY w COLLATE el, p_partkey LIMIT 90""")
+def order_collated(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("p_size") % 9 + 1).cast("int")).alias("word"))
+    return rows.orderBy(text.collated(F.col("word")), "p_partkey").limit(90)

@@ -32,9 +32,9 @@ def canonicalize(spark, sf):
 
 
 @query("""SELECT s_suppkey AS id, s_name AS url, c_name AS old_url, CASE WHEN c_custkey IS NULL THEN 'CREATE' WHEN c_custkey % 2 = 0 THEN 'KEEP' ELSE 'FLAG_URL_CHANGE' END AS action
- FROM supplier LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE c_name END AS c_name FROM customer WHERE c_custkey < 60) ON c_custkey = s_suppkey""")
+ FROM supplier LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE c_name END AS c_name FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = s_suppkey""")
 def promote(spark, sf):
-    known = table(spark, sf, "customer").filter("c_custkey < 60").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).otherwise(F.col("c_name")).alias("url"))
+    known = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).otherwise(F.col("c_name")).alias("url"))
     return curation.promote(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("url")), known, "id", "url")
 
 
@@ -122,11 +122,11 @@ def issuer_groups(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS n, min(o_orderstatus) AS s FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1)
-SELECT o_custkey, t AS "to" FROM c JOIN (VALUES ('F', 'done'), ('F', 'paid'), ('O', 'open')) AS r(s, t) USING (s) WHERE n = 1""")
+WITH c AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n, min(l_returnflag) AS s FROM lineitem GROUP BY 1)
+SELECT l_orderkey, t AS "to" FROM c JOIN (VALUES ('A', 'done'), ('A', 'paid'), ('N', 'open')) AS r(s, t) USING (s) WHERE n = 1""")
 def expand_primary(spark, sf):
-    rules = spark.createDataFrame([("F", "done"), ("F", "paid"), ("O", "open")], "o_orderstatus string, to string")
-    return curation.expand_primary(table(spark, sf, "orders").filter("o_orderkey % 4 = 0"), "o_custkey", "o_orderstatus", rules)[0]
+    rules = spark.createDataFrame([("A", "done"), ("A", "paid"), ("N", "open")], "l_returnflag string, to string")
+    return curation.expand_primary(table(spark, sf, "lineitem"), "l_orderkey", "l_returnflag", rules)[0]
 
 
 @query("""
@@ -159,7 +159,10 @@ def capability_rows(spark, sf):
     return curation.capabilities(n, places, "n_nationkey", found)
 
 
-@query()
+@query("""
+WITH r AS (SELECT user_id, epoch_ms(max(ts)) AS stage_at, epoch_ms(max(ts) FILTER (event_type = 'click')) AS sent_at, count(*) FILTER (event_type = 'signup') AS sent FROM events GROUP BY 1),
+a AS (SELECT *, greatest(0, floor((epoch_ms(TIMESTAMP '2024-02-02') - stage_at) / 86400000)) AS age, greatest(0, floor((epoch_ms(TIMESTAMP '2024-02-02') - sent_at) / 86400000)) AS waited FROM r)
+SELECT user_id, CASE WHEN sent > 10 THEN 'LATE' ELSE 'EARLY' END AS stage, CAST(age AS BIGINT) AS age, sent < 6 AND CASE WHEN sent_at IS NULL THEN age >= 2 ELSE waited >= 4 END AS due FROM a""")
 def follow_up_list(spark, sf):
     kind = F.col("event_type")
     rows = table(spark, sf, "events").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("stage_at"), F.max(F.when(kind == "click", F.col("ts").cast("timestamp"))).alias("last_sent"), F.count_if(kind == "signup").alias("sent"))

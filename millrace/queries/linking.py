@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import numbers, text
+from millrace.functions import numbers, text, urls
 from millrace.operators import classify, linkage, search
 from millrace.operators.rank import first_per_key, hash_changes
 from millrace.plans.changes import Plan, upsert
@@ -48,13 +48,12 @@ def two_key_match(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_brand || '#' || CAST(p_size AS VARCHAR) AS strong, p_name || CAST(p_size AS VARCHAR) AS weak FROM part WHERE p_partkey < 1500),
-s AS (SELECT strong FROM p GROUP BY 1 HAVING count(*) > 1)
-SELECT 'strong' AS kind, strong AS key, count(*) AS n FROM p GROUP BY strong HAVING count(*) > 1 UNION ALL
-SELECT 'weak', weak, count(*) FROM p GROUP BY weak HAVING count(*) > 1 AND NOT (min(strong) = max(strong) AND min(strong) IN (SELECT strong FROM s))""")
+WITH p AS (SELECT p_partkey, p_brand || '#' || CAST(p_size AS VARCHAR) AS strong, p_name || CAST(p_size AS VARCHAR) AS weak FROM part),
+s AS (SELECT strong, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1), w AS (SELECT weak, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1 AND NOT (min(strong) = max(strong) AND min(strong) IN (SELECT strong FROM s)))
+SELECT 'strong' AS kind, strong AS key, n, p_partkey AS id FROM p JOIN s USING (strong) UNION ALL SELECT 'weak', weak, n, p_partkey FROM p JOIN w USING (weak)""")
 def clusters_exact(spark, sf):
-    rows = part(spark, sf).filter("p_partkey < 1500").select("p_partkey", F.concat("p_brand", F.lit("#"), F.col("p_size").cast("string")).alias("strong"), F.concat("p_name", F.col("p_size").cast("string")).alias("weak"))
-    return linkage.duplicate_clusters(rows, "p_partkey", "strong", "weak").drop("ids")
+    rows = part(spark, sf).select("p_partkey", F.concat("p_brand", F.lit("#"), F.col("p_size").cast("string")).alias("strong"), F.concat("p_name", F.col("p_size").cast("string")).alias("weak"))
+    return linkage.duplicate_clusters(rows, "p_partkey", "strong", "weak")
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE abs(a.p_size - b.p_size) <= 3")
@@ -127,23 +126,66 @@ def quality_issues(spark, sf):
     return classify.issue_histogram(classify.issues(part(spark, sf), "p_partkey", rules), "p_partkey")
 
 
-@query()
+#: Strength times weight of 'blue bolt' in name, type and brand, as SQL.
+STRENGTHS = """
+WITH f AS (SELECT p_partkey, p_name, p_size, unnest([lower(p_name), lower(p_type), regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ')]) AS f, unnest([300, 250, 100]) AS weight FROM part),
+s AS (SELECT *, weight * CASE WHEN f = 'blue bolt' THEN 1 WHEN starts_with(f, 'blue bolt') THEN 0.88 WHEN contains(f, 'blue bolt') THEN 0.7
+ ELSE greatest(len(list_intersect(['blue', 'bolt'], string_split(f, ' '))) / 2 * 0.76, coalesce(list_max([CASE WHEN levenshtein(x, 'blue bolt') <= 2 THEN 0.46 + (2 - levenshtein(x, 'blue bolt')) * 0.08 ELSE 0 END for x in string_split(f, ' ')]), 0)) END AS x FROM f),
+raw AS (SELECT p_partkey, p_name, p_size, max(x) AS raw FROM s GROUP BY ALL)
+"""
+FIELDS = {"p_name": 300, "p_type": 250, "p_brand": 100}
+
+
+@query(STRENGTHS + "SELECT p_partkey, CAST(floor(raw + CASE WHEN p_size > 40 THEN 55 ELSE 0 END + 0.5) AS BIGINT) AS score FROM raw WHERE raw >= 110")
 def search_weighted(spark, sf):
-    found = search.weighted_search(part(spark, sf), "blue bolt", {"p_name": 300, "p_type": 250, "p_brand": 100}, boosts=[(F.col("p_size") > 40, 55.0)])
+    found = search.weighted_search(part(spark, sf), "blue bolt", FIELDS, least=110, boosts=[(F.col("p_size") > 40, 55.0)])
     return found.select("p_partkey", "score")
 
 
-@query()
+@query(STRENGTHS + """, b AS (SELECT *, raw + CASE WHEN p_size > 40 THEN 55 ELSE 0 END AS boosted FROM raw)
+SELECT p_partkey, CAST(floor(boosted + 0.5) AS BIGINT) AS score FROM b WHERE boosted >= 240 ORDER BY score DESC, p_name, p_partkey LIMIT 7""")
+def search_suggestions(spark, sf):
+    return search.suggestions(part(spark, sf), " blue bolt", FIELDS, "p_name", "p_partkey", boosts=[(F.col("p_size") > 40, 55.0)]).select("p_partkey", "score")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, 95.0 AS weight FROM part UNION ALL SELECT p_partkey, lower(p_type), 90.0 FROM part),
+t(term) AS (VALUES ('bleu'), ('econmoy')), s AS (SELECT p_partkey, term, max(CASE WHEN word = term THEN weight WHEN starts_with(word, term) THEN 0.6 * weight
+ WHEN length(word) >= 4 AND damerau_levenshtein(word, term) <= 1 THEN 0.35 * weight ELSE 0 END) AS x FROM w, t GROUP BY ALL)
+SELECT p_partkey, CAST(sum(x) AS DOUBLE) AS score, true AS approximate FROM s GROUP BY 1 HAVING min(x) > 0""")
 def search_tiered_fallback(spark, sf):
-    found = search.conjunctive_search(part(spark, sf), "bleu bolt economy", "p_brand", "p_name", ["p_type"], "p_name", "p_partkey")
+    found = search.conjunctive_search(part(spark, sf), "bleu econmoy", "p_brand", "p_name", ["p_type"], "p_name", "p_partkey")
     return found.select("p_partkey", "score", "approximate")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_name = 'red ring' THEN 2070 WHEN starts_with(p_name, 'red ring') THEN 1980 ELSE 1820 END AS score FROM part WHERE contains(p_name, 'red ring') ORDER BY score DESC, p_name, p_partkey LIMIT 8""")
+@query("""
+SELECT p_partkey, CAST(95.0 + 0.6 * 90 AS DOUBLE) AS score, false AS approximate FROM part WHERE starts_with(p_name, 'blue ') AND p_type = 'ECONOMY'""")
+def search_conjunctive(spark, sf):
+    return search.conjunctive_search(part(spark, sf), "BLUE eco", "p_brand", "p_name", ["p_type"], "p_brand", "p_partkey").select("p_partkey", "score", "approximate")
+
+
+#: Scores of instant search for a query of two words, as SQL: first letter, then words, as parameters.
+INSTANT = """
+WITH f AS (SELECT *, regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ') AS brand FROM part),
+e AS (SELECT *, CASE WHEN p_name = '{q}' THEN 2070 WHEN starts_with(p_name, '{q}') THEN 1980 WHEN contains(p_name, '{q}') THEN 1820 ELSE 0 END AS exact FROM f),
+w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, 1180 AS base FROM e UNION ALL SELECT p_partkey, unnest(string_split(brand, ' ')), 1120 FROM e),
+n AS (SELECT p_partkey, max(base + 110 - 45 * levenshtein(word, q) + least(length(word), length(q))) AS near FROM w, (SELECT unnest(string_split('{q}', ' ')) AS q) WHERE length(word) >= 3 AND length(q) >= 3
+ AND abs(length(word) - length(q)) <= 2 AND levenshtein(word, q) <= CASE WHEN greatest(length(word), length(q)) >= 8 THEN 2 ELSE 1 END GROUP BY 1)
+SELECT p_partkey, CAST(CASE WHEN exact > 0 THEN exact ELSE near END AS INT) AS score FROM e LEFT JOIN n USING (p_partkey)
+WHERE exact > 0 OR (near > 0 AND '{q}'[1] IN (p_name[1], brand[1]) AND (SELECT count(*) FROM e WHERE exact > 0) < 8) ORDER BY score DESC, p_brand, p_name, p_partkey LIMIT 8
+"""
+
+
+@query(INSTANT.replace("{q}", "red ring"))
 def instant_topk(spark, sf):
     return search.instant_search(part(spark, sf), "Red Ring", "p_name", "p_brand", "p_type", "p_partkey").select("p_partkey", F.col("score").cast("int").alias("score"))
 
 
+@query(INSTANT.replace("{q}", "redd rinng"))
+def instant_typos(spark, sf):
+    return search.instant_search(part(spark, sf), "Redd Rinng", "p_name", "p_brand", "p_type", "p_partkey").select("p_partkey", F.col("score").cast("int").alias("score"))
+
+
 @query("""
 WITH me AS (SELECT * FROM part WHERE p_partkey = 7), s AS (SELECT p.p_partkey, p.p_brand, 12 * CAST(p.p_brand = me.p_brand AS INT) + 8 * CAST(p.p_type = me.p_type AS INT) + CAST(p.p_name = me.p_name AS INT) AS score FROM part p, me WHERE p.p_partkey <> 7),
 o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS k FROM s WHERE score > 0)
@@ -172,11 +214,11 @@ def override_join(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal FROM supplier), p AS (SELECT c_custkey AS id, c_acctbal FROM customer WHERE c_custkey < 50)
+WITH c AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal FROM supplier), p AS (SELECT c_custkey AS id, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT c.id, CASE WHEN p.id IS NULL THEN 'CREATE' WHEN abs(p.c_acctbal - c.s_acctbal) > 5000 THEN 'FLAG' ELSE 'UPDATE' END AS action FROM c LEFT JOIN p ON c.id = p.id""")
 def promote_actions(spark, sf):
     new = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
-    old = table(spark, sf, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("id"), "c_acctbal", F.lit(True).alias("there"))
+    old = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), "c_acctbal", F.lit(True).alias("there"))
     action = F.when(F.col("there").isNull(), "CREATE").when(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) > 5000, "FLAG").otherwise("UPDATE")
     return new.join(old, "id", "left").select("id", action.alias("action"))
 
@@ -212,18 +254,18 @@ def plan_and_apply(spark, sf):
     return Plan(actions, target, ["s_suppkey"]).apply(target)
 
 
-@query("SELECT coalesce(a.c_custkey, b.k) AS c_custkey, coalesce(b.bal, a.c_acctbal) AS c_acctbal FROM (SELECT * FROM customer WHERE c_custkey < 100) a FULL JOIN (SELECT o_custkey AS k, max(o_totalprice) AS bal FROM orders WHERE o_custkey < 120 AND o_orderstatus = 'F' GROUP BY 1) b ON a.c_custkey = b.k")
+@query("SELECT coalesce(a.c_custkey, b.k) AS c_custkey, coalesce(b.bal, a.c_acctbal) AS c_acctbal FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') a FULL JOIN (SELECT o_custkey AS k, max(o_totalprice) AS bal FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b ON a.c_custkey = b.k")
 def upsert_rows(spark, sf):
-    old = table(spark, sf, "customer").filter("c_custkey < 100").select("c_custkey", "c_acctbal")
-    new = table(spark, sf, "orders").filter("o_custkey < 120 AND o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    old = table(spark, sf, "customer").filter("c_mktsegment != 'BUILDING'").select("c_custkey", "c_acctbal")
+    new = table(spark, sf, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
     return upsert(old, new, ["c_custkey"])
 
 
 @query()
 def greedy_address_groups(spark, sf):
     words = F.concat_ws(" ", F.split("p_name", " ")[0], "p_type", F.concat(F.lit("s"), (F.col("p_size") % 4).cast("string")))
-    rows = part(spark, sf).select("p_brand", "p_partkey", words.alias("words"), F.col("p_size").alias("place"))
-    return linkage.greedy_groups(rows, ["p_brand"], "p_partkey", "words", "place", 0.6)
+    rows = part(spark, sf).select("p_brand", "p_type", "p_partkey", words.alias("words"), F.col("p_size").alias("place"))
+    return linkage.greedy_groups(rows, ["p_brand", "p_type"], "p_partkey", "words", "place", 0.6)
 
 
 @query("""SELECT c_nationkey, CASE WHEN n_cust >= 60 AND n_big > 0 THEN 'COVERED' WHEN n_cust > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS coverage FROM (SELECT n_nationkey AS c_nationkey, count(c_custkey) AS n_cust, count(*) FILTER (c_acctbal > 9000) AS n_big FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)""")
@@ -249,3 +291,36 @@ def rule_mapping_minus_existing(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(kinds).alias("kind")).join(existing, ["doc_id", "kind"], "left_anti")
 
 
+@query("""
+WITH a AS (SELECT p_partkey AS a, p_name || ' of ' || lower(p_type) || CASE WHEN p_size % 3 = 0 THEN 's' ELSE '' END AS x FROM part WHERE p_size > 45),
+b AS (SELECT p_partkey AS b, p_name || ' of ' || lower(p_type) AS x FROM part WHERE p_size < 4)
+SELECT a, b, round(1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 6) AS similarity FROM a, b WHERE 1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) >= 0.85""")
+def similar_names(spark, sf):
+    name = F.concat("p_name", F.lit(" of "), F.lower("p_type"))
+    left = part(spark, sf).filter("p_size > 45").select(F.col("p_partkey").alias("a"), F.concat(name, F.when(F.col("p_size") % 3 == 0, "s").otherwise("")).alias("x"))
+    right = part(spark, sf).filter("p_size < 4").select(F.col("p_partkey").alias("b"), name.alias("x"))
+    return linkage.similar_names(left, right, "a", "b", "x", 85).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS a, 'd' || CAST(s_suppkey % 50 AS VARCHAR) AS domain, 'r' || CAST(s_suppkey % 20 AS VARCHAR) AS root, 'firm number ' || CAST(s_suppkey AS VARCHAR) AS name FROM supplier),
+c AS (SELECT c_custkey AS b, 'd' || CAST(c_custkey % 70 AS VARCHAR) AS domain, 'r' || CAST(c_custkey % 90 AS VARCHAR) AS root, 'firm number ' || CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT a, b, CASE WHEN s.domain = c.domain THEN 100 WHEN s.root = c.root THEN 98 WHEN s.name = c.name THEN 97 ELSE 92 END AS confidence FROM s, c
+WHERE s.domain = c.domain OR s.root = c.root OR s.name = c.name OR 1 - levenshtein(s.name, c.name) / greatest(length(s.name), length(c.name)) >= 0.92""")
+def duplicate_audit(spark, sf):
+    def rows(df, key, out, domains, roots):
+        kind = lambda letter, n: F.concat(F.lit(letter), (F.col(key) % n).cast("string"))
+        return df.select(F.col(key).alias(out), kind("d", domains).alias("domain"), kind("r", roots).alias("root"), F.concat(F.lit("firm number "), F.col(key).cast("string")).alias("name"))
+
+    new = rows(table(spark, sf, "supplier"), "s_suppkey", "a", 50, 20)
+    known = rows(table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'"), "c_custkey", "b", 70, 90)
+    return linkage.duplicate_audit(new, known, "a", "b", "domain", "root", "name")
+
+
+@query(r"""
+WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages), d AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS site FROM h UNION SELECT 'a.b.' || host FROM h)
+SELECT page_id, site FROM h, d WHERE host = site OR ends_with(host, '.' || site) OR ends_with(site, '.' || host)""")
+def site_pairs(spark, sf):
+    hosts = table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    sites = hosts.select(F.array_join(F.slice(F.split("host", r"\."), -3, 3), ".").alias("site")).unionByName(hosts.select(F.concat(F.lit("a.b."), "host").alias("site"))).distinct()
+    return linkage.site_pairs(hosts, sites, "host", "site").select("page_id", "site")

@@ -67,7 +67,7 @@ def search_index(spark, sf):
     return materialise(rows.select("c_custkey", F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("words"), "n_name"), "search_index")
 
 
-@query()
+@query("""SELECT c_custkey, '105' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS postal, CAST(c_custkey % 90 + 1 AS VARCHAR) AS numbers, 'Athens' AS place FROM customer""")
 def address_parts(spark, sf):
     line = F.concat(F.lit("Ermou "), (F.col("c_custkey") % 90 + 1).cast("string"), F.lit(", Athina 105 "), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"))
     return table(spark, sf, "customer").select("c_custkey", places.postal_code(line).alias("postal"), F.array_join(places.street_numbers(line), ",").alias("numbers"), places.locality(line, [("αθήνα", "Athens"), ("athina", "Athens")]).alias("place"))

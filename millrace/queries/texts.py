@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text, urls
+from millrace.operators import linkage
 from millrace.plans.scratch import table
 from millrace.queries import Registry
 from millrace.sources import files
@@ -70,7 +71,7 @@ def fingerprint_sha256(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.fingerprint(F.col("lang"), F.col("source"), F.col("text")).alias("digest"))
 
 
-@query()
+@query("SELECT p_partkey, CAST(p_size + 0.5 AS DOUBLE) || ',' || CAST(p_size + 10 AS DOUBLE) AS amounts FROM part")
 def amounts_extract(spark, sf):
     priced = F.concat(F.lit("from €"), (F.col("p_size") + 10).cast("string"), F.lit(" to "), F.col("p_size").cast("string"), F.lit(",50 euro"))
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(numbers.amounts(priced), lambda x: x.cast("string")), ",").alias("amounts"))
@@ -96,12 +97,16 @@ def keyword_flags(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(text.keywords(F.lower("text"), WORDS), ",").alias("found"))
 
 
-@query()
+@query(r"""SELECT doc_id, regexp_extract(text, '(?is)((?:\bthe\b).{0,20}?(?:\bof\b)|(?:\bof\b).{0,20}?(?:\bthe\b))', 1) AS snippet,
+ len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda x: trim(x) <> '')) AS sentences FROM documents""")
 def proximity_snippets(spark, sf):
     return documents(spark, sf).select("doc_id", text.near(F.col("text"), r"\bthe\b", r"\bof\b", 20).alias("snippet"), F.size(text.sentences(F.col("text"))).alias("sentences"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS f, string_split(p_name, ' ') AS w FROM part)
+SELECT f AS p_name, round(CASE WHEN f = 'blue bolt' THEN 1 WHEN starts_with(f, 'blue bolt') THEN 0.88 WHEN contains(f, 'blue bolt') THEN 0.7
+ ELSE greatest(len(list_intersect(['blue', 'bolt'], w)) / 2 * 0.76, coalesce(list_max([CASE WHEN levenshtein(x, 'blue bolt') <= 2 THEN 0.46 + (2 - levenshtein(x, 'blue bolt')) * 0.08 ELSE 0 END for x in w]), 0)) END, 4) AS strength FROM n""")
 def match_strengths(spark, sf):
     asked = text.search_form(F.lit("blue bolt"))
     return table(spark, sf, "part").select("p_name").distinct().select("p_name", F.round(text.match_strength(text.search_form(F.col("p_name")), asked), 4).alias("strength"))
@@ -117,12 +122,45 @@ def days_and_rounding(spark, sf):
     )
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS plain FROM pages),
+t AS (SELECT page_id, plain, replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&nbsp;', ' '), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM c)
+SELECT page_id, left(trim(regexp_replace(title, '\s+', ' ', 'g')), 300) AS title,
+ CAST(least(30, len(list_filter(regexp_extract_all(plain, '(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', ' ', 'g')) <> ''))) AS INT) AS headings,
+ CAST(least(50, len(list_filter(regexp_extract_all(plain, '(?is)<(?:a|button)\b[^>]*>(.*?)</(?:a|button)>', 1), lambda x: length(trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) BETWEEN 2 AND 120))) AS INT) AS actions FROM t""")
 def page_evidence(spark, sf):
-    found = files.page_evidence(F.col("html"))
-    return pages(spark, sf).select("page_id", found["evidence"]["title"].alias("title"), F.size(found["evidence"]["headings"]).alias("headings"), F.size(found["evidence"]["actions"]).alias("actions"), found["digest"].alias("digest"))
+    found = files.page_evidence(F.col("html"))["evidence"]
+    return pages(spark, sf).select("page_id", found["title"].alias("title"), F.size(found["headings"]).alias("headings"), F.size(found["actions"]).alias("actions"))
 
 
 @query(r"""SELECT page_id, href, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)</a>', 2)) AS label, unnest(range(len(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)</a>', 1)))) AS i FROM pages) QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY i DESC) = 1""")
 def page_links(spark, sf):
     return pages(spark, sf).select("page_id", F.inline(files.page_links(F.col("html"))))
+
+
+@query(r"""
+WITH n AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'www.' || p_name || '.gr' WHEN 1 THEN '12345' WHEN 2 THEN 'Gift Card 12345' WHEN 3 THEN p_name || ' | Home' ELSE p_name END AS x FROM part)
+SELECT p_partkey, regexp_matches(x, '^www|^12345|^Gift Card|Home$') AS bad_name, regexp_matches(x, '^www|^Gift Card|Home$') AS bad_title,
+ CASE p_partkey % 4 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'FAVICON_OR_SITE_ICON' WHEN 2 THEN 'PLACEHOLDER_OR_GENERATED' END AS logo, p_size % 5 IN (1, 2, 3) AS amount FROM n JOIN part USING (p_partkey)""")
+def pollution_flags(spark, sf):
+    kind, key, n = F.col("p_size") % 6, F.col("p_partkey") % 4, F.col("p_size") % 5
+    name = F.when(kind == 0, F.concat(F.lit("www."), "p_name", F.lit(".gr"))).when(kind == 1, "12345").when(kind == 2, "Gift Card 12345").when(kind == 3, F.concat("p_name", F.lit(" | Home"))).otherwise(F.col("p_name"))
+    logo = F.when(key == 1, "/FavIcon.ico").when(key == 2, "/img/default_logo.png").when(key == 3, "/img/brand.png")
+    url = F.when(n == 1, "https://a.gr/gift-card-50").when(n == 2, "https://a.gr/x?amount=7").when(n == 3, "https://a.gr/kit/100/").otherwise("https://a.gr/gifts?x=7")
+    return table(spark, sf, "part").select("p_partkey", text.name_polluted(name).alias("bad_name"), text.title_polluted(name).alias("bad_title"), text.logo_problem(logo).alias("logo"), urls.names_amount(url).alias("amount"))
+
+
+@query("""SELECT DISTINCT s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'supplier' ELSE 'acme' END AS tokens FROM supplier""")
+def brand_tokens(spark, sf):
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("The Official "), F.split("s_name", "#")[0], F.lit(" & Hotels"))).otherwise("Acme e-shop of AE")
+    return table(spark, sf, "supplier").select("s_name", F.array_join(text.brand_tokens(name), ",").alias("tokens"))
+
+
+@query(r"""
+WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS l FROM h),
+n AS (SELECT *, CASE WHEN host = 'm.example.net' OR ends_with(host, '.m.example.net') THEN 2 WHEN ends_with(host, '.example.net') THEN 3 WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 2 ELSE 1 END AS n FROM l)
+SELECT page_id, CASE WHEN len(l) > n THEN array_to_string(l[-(n + 1):], '.') END AS site FROM n""")
+def registrable_by_list(spark, sf):
+    rules = spark.createDataFrame([("com",), ("net",), ("org",), ("example.com",), ("*.example.net",), ("!m.example.net",)], "rule string")
+    rows = pages(spark, sf).select("page_id", urls.host(F.col("url")).alias("host"))
+    return linkage.registrable_domains(rows, "host", rules).select("page_id", "site")

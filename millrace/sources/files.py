@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import squeeze, strip_tags
 
@@ -31,10 +36,21 @@ def read_json_rows(spark: SparkSession, path: str, schema: str, rows: str | None
     return whole.select(F.inline(rows))
 
 
-def read_folder(spark: SparkSession, path: str, schema: str, required: str, pattern: str = "*.json") -> DataFrame:
-    """Every JSON file below a folder that can be read, with ``source_file``; rows without the required column are dropped."""
+def read_folder(spark: SparkSession, path: str, schema: str, required: str, pattern: str = "*.json", named: str | None = None, with_csv: bool = False) -> DataFrame:
+    """Every JSON file below a folder that can be read, with ``source_file``; rows without the required column are dropped.
+
+    named: a regular expression that file names must match. with_csv: CSV files with a header (whose names must be
+    the schema's) are read too.
+    """
     reader = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
-    return reader.json(path).select("*", F.col("_metadata.file_path").alias("source_file")).filter(F.col(required).isNotNull())
+    files = [reader.json(path)]
+    if with_csv:
+        cells = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("quote", '"').option("escape", '"')
+        cells = cells.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", True)
+        files.append(cells.csv(path))
+    rows = [f.filter(F.rlike(F.col("_metadata.file_name"), F.lit(named))) if named else f for f in files]
+    found = [r.select("*", F.col("_metadata.file_path").alias("source_file")).filter(F.col(required).isNotNull()) for r in rows]
+    return found[0].unionByName(found[1]) if with_csv else found[0]
 
 
 def read_state(spark: SparkSession, path: str, schema: str, key: str, at: str) -> DataFrame:
@@ -47,10 +63,13 @@ def append_state(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    """CSV with a header; arrays become lists joined by `` | ``."""
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, mark: bool = False) -> None:
+    """CSV with a header; arrays become lists joined by `` | ``. mark: files begin with a byte order mark, for spreadsheets."""
     flat = [F.array_join(c, " | ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
+    out = df.select(*flat)
+    if mark:
+        out = out.withColumnRenamed(out.columns[0], f"\ufeff{out.columns[0]}")
+    out.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
 def write_buckets(df: DataFrame, path: str, bucket: str) -> DataFrame:
@@ -66,12 +85,12 @@ def write_report(df: DataFrame, path: str, summary: DataFrame) -> None:
 
 
 def markdown_report(title: str, totals: dict[str, int], codes: DataFrame, issues: DataFrame, top_codes: int = 30, first_issues: int = 100) -> str:
-    """A report of totals, the most frequent codes and the first issues; only those rows reach the driver."""
+    """A report of totals, the most frequent codes and the first issues in the order of their columns; only those rows reach the driver."""
     cell = lambda x: str("" if x is None else x).replace("|", "\\|").replace("\n", " ")
     lines = [f"# {title}", "", *[f"- {k}: {v}" for k, v in totals.items()], "", "| code | n |", "|-|-|"]
     lines += [f"| {cell(r['code'])} | {r['n']} |" for r in codes.orderBy(F.desc("n"), "code").limit(top_codes).collect()]
     lines += ["", f"| {' | '.join(issues.columns)} |", f"|{'-|' * len(issues.columns)}"]
-    lines += [f"| {' | '.join(cell(x) for x in r)} |" for r in issues.limit(first_issues).collect()]
+    lines += [f"| {' | '.join(cell(x) for x in r)} |" for r in issues.orderBy(*issues.columns).limit(first_issues).collect()]
     return "\n".join(lines) + "\n"
 
 
@@ -107,3 +126,25 @@ def json_ld(html: Column) -> Column:
     """The texts of a page's JSON-LD blocks; those that aren't JSON are left out."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
     return F.filter(F.transform(blocks, lambda b: F.trim(b)), lambda b: F.get_json_object(b, "$").isNotNull())
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_ld_objects(blocks: pd.Series) -> pd.Series:
+    """Every object in some JSON texts (an array of strings), however deep in lists and other objects, as JSON."""
+
+    def objects(value) -> Iterator[dict]:
+        todo = [value]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, dict):
+                yield x
+            if isinstance(x, dict | list):
+                todo += reversed([*x.values()] if isinstance(x, dict) else x)
+
+    def read(text: str):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    return pd.Series([None if own is None else [json.dumps(o, ensure_ascii=False) for t in own for o in objects(read(t))] for own in blocks], dtype=object)

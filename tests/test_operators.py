@@ -7,6 +7,7 @@ from millrace.functions import numbers, places, text, urls
 from millrace.operators import find, linkage, measure, rank, search
 from millrace.operators.where import Ref, Relation, where
 from millrace.plans import changes
+from millrace.sources import files
 
 
 def one(spark, column):
@@ -91,6 +92,8 @@ CARDS = [
     ("spa", "Calm", "Spa day", "", "", False),
     ("parts", "Spareparts", "Spare parts", "", "", True),
     ("hm", "H&M", "Card", "", "", False),
+    ("archive", "Αρχεία - Wellness Spa", "Αρχεία - Wellness Spa card", "", "", True),
+    ("old", "Archives: Spa", "x", "", "", True),
 ]
 
 
@@ -100,8 +103,17 @@ def test_catalogue_search(spark):
     assert found("SEPHORA")[0] == ("sephora", False) and found("καλλυντικα") == [("sephora", False)]
     assert found("gaming birthday") == [("gaming", False)] and len(found("γενεθλια")) == 2 and found("gaming nonexistent") == []
     assert found("sephroa") == [("sephora", True)] and found("qq") == [] and found("spa")[0] == ("spa", False)
-    assert found("hm") == [] or found("h m")[0][0] == "hm"
-    assert found("!!!") == [] == found("a" * 161)
+    assert found("hm") == [("hm", False)] and found("h m")[0] == ("hm", False)
+    assert found("!!!") == [] == found("a" * 161) == found(" ".join(f"t{i}" for i in range(13)))
+    scores = lambda q: {r.id: r.score for r in search.conjunctive_search(cards, q, "owner", "title", ["taxonomy"], "description", "id").collect()}
+    # every near term counts by its best field; two terms are two near scores
+    assert scores("sephroa birhtday") == {"sephora": 0.35 * (120 + 90)} and scores("spa") == {"spa": 95.0, "archive": 120.0 - 50, "parts": 120 * 0.6, "old": 120.0 - 50}
+    assert scores("sephora") == {"sephora": 1120.0, "noise": 8.0} and scores("Sephora card") == {"sephora": 120 + 95 + 400.0}
+    instant = lambda q, **k: [(r.id, r.score) for r in search.instant_search(cards, q, "title", "owner", "taxonomy", "id", **k).collect()]
+    assert instant("sephora") == [("sephora", 2000.0)] and instant("sephroa") == [] and instant("sephorra") == [("sephora", 1180 + 110 - 45 + 7.0)]
+    assert instant("s")[:3] == [("spa", 1980.0), ("sephora", 1980.0), ("parts", 1980.0)]
+    assert instant("gamign", limit=1) == [] and instant("xyz", forms=["spa"], bonuses=[(F.col("featured"), 20.0)])[0][1] >= 1930
+    assert search.suggestions(cards, "s", {"title": 1160}, "title", "id").count() == 0 < search.suggestions(cards, "spa", {"title": 1160}, "title", "id").count()
 
 
 def test_ranking(spark):
@@ -116,6 +128,18 @@ def test_ranking(spark):
     slugs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, slug string")
     taken = spark.createDataFrame([("b",)], "slug string")
     assert [r.unique_slug for r in rank.numbered_slugs(slugs, "slug", [F.col("id")], taken).orderBy("id").collect()] == ["a", "a-2", "b-2"]
+    number = lambda given, gone: [r.unique_slug for r in rank.numbered_slugs(spark.createDataFrame(list(enumerate(given)), "id int, slug string"), "slug", [F.col("id")], spark.createDataFrame([(g,) for g in gone], "slug string")).orderBy("id").collect()]
+    assert number(["a", "a", "a-2"], []) == ["a", "a-3", "a-2"] and number(["a", "a", "a-2"], ["a", "a-2"]) == ["a-3", "a-4", "a-2-2"]
+    assert number(["a"] * 5, ["a-2", "a-4", "a-5", "a-02", "a-1"]) == ["a", "a-3", "a-6", "a-7", "a-8"] and number(["-2", "-2", ""], [""]) == ["-2", "-2-2", "-3"]
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(5):
+        given = [rnd.choice("ab") + "".join(rnd.choice(["", "-2", "-3"]) for _ in range(2)) for _ in range(30)]
+        gone = {rnd.choice("ab") + rnd.choice(["", "-2", "-4", "-2-2"]) for _ in range(3)}
+        got = number(given, gone)
+        assert len(set(got) | gone) == len(got) + len(gone) and all(g == s or g.startswith(f"{s}-") for g, s in zip(got, given, strict=True))
+        assert all(s in got or s in gone for s in given)
     rows = spark.createDataFrame([(i, f"o{i % 3}", i) for i in range(8)], "id int, owner string, place int")
     assert [r.id for r in rank.merge_ranked(rows.filter("id > 4"), rows, "id", "owner", "place", 5).collect()] == [5, 6, 7, 0, 1]
 
@@ -159,3 +183,40 @@ def test_changes_and_plans(spark):
     with pytest.raises(changes.StalePlan):
         plan.apply(changes.update(df, F.col("id") == 1, {"s": F.lit("changed")}))
     plan.apply(changes.update(df, F.col("id") == 2, {"s": F.lit("elsewhere")}))
+
+
+def test_names_hosts_and_json_ld(spark, tmp_path):
+    import random
+
+    rnd = random.Random(5)
+    names = ["".join(rnd.choices("ab c", k=rnd.randint(1, 30))) for _ in range(40)]
+    names += [n[:k] + rnd.choice("abx") + n[k + rnd.randint(0, 1) :] for n in names for k in [rnd.randrange(len(n))]]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    for percent in (92, 80, 60):
+        got = {(r.a, r.b) for r in linkage.similar_names(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), "a", "b", "name", percent).collect()}
+        want = {(i, j) for i, x in enumerate(names) for j, y in enumerate(names) if 100 * (max(len(x), len(y)) - _edits(x, y)) >= percent * max(len(x), len(y))}
+        assert got == want
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.ck",), ("www.ck",), ("z.www.ck",), ("y.ck",), ("q.zz",), ("",)], "host string")
+    rules = spark.createDataFrame([("co.uk",), ("uk",), ("*.ck",), ("!www.ck",)], "rule string")
+    found = {r.host: r.site for r in linkage.registrable_domains(hosts, "host", rules).collect()}
+    assert found == {"a.b.co.uk": "b.co.uk", "co.uk": None, "x.y.ck": "x.y.ck", "www.ck": "www.ck", "z.www.ck": "www.ck", "y.ck": None, "q.zz": "q.zz", "": None}
+    page = '<script type="application/ld+json">{"@graph": [{"@type": "A", "b": {"c": [{"d": 1}]}}]}</script><script type="application/ld+json">{bad</script>'
+    assert one(spark, files.json_ld_objects(files.json_ld(F.lit(page))))[1:] == ['{"@type": "A", "b": {"c": [{"d": 1}]}}', '{"c": [{"d": 1}]}', '{"d": 1}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "rows.csv").write_text('id,s\n1,"a, ""b"""\n,x\n')
+    (tmp_path / "in" / "rows.json").write_text('[{"id": 2, "s": "c"}]')
+    (tmp_path / "in" / "skip.json").write_text('[{"id": 3, "s": "d"}]')
+    read = files.read_folder(spark, str(tmp_path / "in"), "id int, s string", "id", named="^rows", with_csv=True)
+    assert sorted((r.id, r.s) for r in read.collect()) == [(1, 'a, "b"'), (2, "c")]
+    files.write_csv(read.select("id", "s"), str(tmp_path / "out"), mark=True)
+    texts = [p.read_bytes() for p in (tmp_path / "out").glob("*.csv")]
+    assert texts and all(t.startswith(b"\xef\xbb\xbfid,s") for t in texts)
+
+
+def _edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        row, old = [i], row
+        for j, b in enumerate(y, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+    return row[-1]
