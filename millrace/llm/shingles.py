@@ -59,11 +59,16 @@ def _windows(words: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int, at_once: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
     """The sorted, distinct shingles of each text, side by side, and how many each has.
 
-    A text with fewer words than ``width`` has one shingle, of all of them.
+    A text with fewer words than ``width`` has one shingle, of all of them. A batch is worked through in parts of
+    at_once bytes or so, which bounds the memory beside the result.
     """
+    rows = max(1, len(texts) * at_once // max(1, texts.nbytes))
+    if rows < len(texts):
+        found, sizes = zip(*(shingle_sets(texts.slice(i, rows), width, 1 << 62) for i in range(0, len(texts), rows)), strict=True)
+        return np.concatenate(found), np.concatenate(sizes)
     words, counts = _word_hashes(texts)
     ends = np.cumsum(counts)
     sizes = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))

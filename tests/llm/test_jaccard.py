@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from millrace.llm import jaccard
-from millrace.llm.groups import connected
+from millrace.plans.graph import connected
 
 
 def shingles(text, width):
@@ -92,6 +92,9 @@ def test_sets_of_a_batch():
             want = shingles(text, width)
             assert len(own) == len(want) and list(own) == sorted(set(own.tolist()))
             assert at.setdefault(tuple(own.tolist()), want) == want  # equal hashes only for equal sets
+        for at_once in (1, 200, 1 << 40):
+            again, n = jaccard.shingle_sets(pa.array(texts), width, at_once)
+            assert (again == found).all() and (n == sizes).all()
         classes = jaccard.set_classes(found, sizes)
         assert len(set(classes.tolist())) == len(at)
 
