@@ -2,6 +2,12 @@
 
 Each stage works on all that the one before it kept. Its result is written as Parquet and read again as the next
 one's docs, so a stage begins by dropping the tables that the stage before it left in the shared folder.
+
+Defined results of every stage: an empty table gives an empty one. All columns but ``text`` (and ``n_chars`` where
+repeats are cut) come out as they went in, whatever their names, until the last stage, which returns pieces. Nulls:
+documents without a text or a letter go in the first stage; rows without an id are kept by each stage as rows of
+their own; a null source is packed as the queue ''. Repeated rows: of one id and text, all are cut alike; of
+equal texts, the one with the smallest id stays. Whole texts are read, however long.
 """
 
 from __future__ import annotations
