@@ -65,3 +65,23 @@ def test_against_brute_force(spark, tmp_path):
         assert p.offset == sizes.get(p.sequence_id, 0)
         sizes[p.sequence_id] = p.offset + p.length
     assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    names = ["gone", "row", "label", "ord", "th", "digest", "kept", "first_ord", "n_words", "spans", "items", "_n_words", "size", "bits", "cls"]
+    docs, items = corpus()
+    frame = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    for n, name in enumerate(names):
+        frame = frame.withColumn(name, frame.doc_id + n)
+    for part, rows, bench in (("full", frame, items), ("empty", frame.limit(0), items), ("neither", frame.limit(0), [])):
+        sf = str(tmp_path / part)
+        rows.repartition(2).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        now = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, now, sf).write.parquet(f"{sf}/{name}")
+            now = spark.read.parquet(f"{sf}/{name}")
+            assert now.columns == frame.columns
+            assert all(r[c] == r.doc_id + n for r in now.collect() for n, c in enumerate(names))
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, sf).count()
+        assert (pieces > 0) == (now.count() > 0) == (part == "full")
