@@ -90,7 +90,8 @@ URL_RULES = [
     ("block", "net/es/"),
     ("block", "net/fr/"),
 ]
-LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "spam-farm"]
+#: Hosts of a block list: these sites under each of these suffixes.
+LISTED_SITES, LISTED_UNDER = ["ads-track", "adult-x", "casino-win", "cheap-pills", "spam-farm"], ["example.com", "example.net", "example.org"]
 
 
 @query(r"""
@@ -103,12 +104,13 @@ cut AS (SELECT *, substr(rule, 1, strpos(rule, '/') - 1) AS rule_host, substr(ru
 best AS (
   SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action FROM parts JOIN cut
   ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN list_has_any(string_split(host, '.'),
-  ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'spam-farm']) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(host,
+  '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (page_id)
 """)
 def op8_url_filter(spark, sf_dir):
-    return urlcascade.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, LISTED_LABELS).drop("listed_host")
+    listed = spark.createDataFrame([(f"{site}.{under}",) for site in LISTED_SITES for under in LISTED_UNDER], "host string")
+    return urlcascade.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, listed).drop("listed_host")
 
 
 @query()

@@ -177,7 +177,7 @@ def member_keys(urls: DataFrame, listed: DataFrame, max_bytes: int = 64 << 20) -
 def filter_urls(
     pages: DataFrame,
     rules: list[tuple[str, str]],
-    listed_labels: list[str],
+    listed: DataFrame,
     id_col: str = "page_id",
     url_col: str = "url",
     max_bytes: int = 64 << 20,
@@ -185,17 +185,15 @@ def filter_urls(
     """page_id, host, path, rule, verdict for every row.
 
     rules: (allow or block, host and path prefix in one string) - a handful, given with the call. The longest
-    rule that fits decides. Where none does, the block list does: the hosts of the corpus of which a label is
-    in listed_labels, with all their subdomains.
+    rule that fits decides. Where none does, the block list does: the hosts in ``listed`` (host), in lower case, of
+    any number, with all their subdomains. Null and empty ones are ignored.
     """
     spark = pages.sparkSession
     lengths = sorted({len(r) - r.index("/") for _, r in rules} | {0})
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     urls = parts.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths)).withColumnRenamed("page_id", "id")
-    hosts = parts.select("host").distinct()
-    wanted = F.array(*[F.lit(x) for x in listed_labels])
-    blocked = hosts.filter(F.arrays_overlap(F.split("host", "\\."), wanted)).select(F.col("host").alias("key"))
+    blocked = listed.filter("host != ''").select(F.col("host").alias("key"))
     ruled = spark.createDataFrame([(r,) for _, r in rules], "key string")
     found = member_keys(urls, ruled.unionByName(blocked).distinct(), max_bytes)
     # a rule has a path, a listed host has none

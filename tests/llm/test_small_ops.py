@@ -216,7 +216,7 @@ def test_long_texts_are_read_in_pieces(monkeypatch, spark):
 # -- URL filters
 
 
-def verdict(url, rules, labels):
+def verdict(url, rules, listed):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
     best = None
@@ -224,7 +224,7 @@ def verdict(url, rules, labels):
         h, p = rule[: rule.index("/")], rule[rule.index("/") :]
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(rule) > len(best[1])):
             best = (action, rule)
-    return host, path, best and best[1], best[0] if best else "block" if set(host.split(".")) & set(labels) else "allow"
+    return host, path, best and best[1], best[0] if best else "block" if any(host == h or host.endswith("." + h) for h in listed if h) else "allow"
 
 
 def test_urls_against_brute_force(spark):
@@ -234,10 +234,13 @@ def test_urls_against_brute_force(spark):
     urls = [f"http://{rnd.choice(hosts)}{rnd.choice(['', '/', '/en/', '/en', '/es/1', '//', '/e'])}{rnd.choice(['', '?q=/en/', '#x'])}" for _ in range(300)]
     urls += [None, "", "no scheme/en/", "ftp://a://b/en/", "http://spam.net:80/es/"]
     frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    named = ["spam.net", "spam.org", "spam.org", "never.seen", "", None]
+    listed = spark.createDataFrame([(h,) for h in named], "host string")
     for most in (1 << 20, 0):
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlcascade.filter_urls(frame, rules, ["spam"], max_bytes=most).collect()}
-        assert got == {i: verdict(u, rules, ["spam"]) for i, u in enumerate(urls)}
-    assert urlcascade.filter_urls(frame.limit(0), rules, ["spam"]).count() == 0
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlcascade.filter_urls(frame, rules, listed, max_bytes=most).collect()}
+        assert got == {i: verdict(u, rules, named) for i, u in enumerate(urls)}
+        assert {r.verdict for r in urlcascade.filter_urls(frame, rules, listed.limit(0), max_bytes=most).collect()} == {"allow", "block"}
+    assert urlcascade.filter_urls(frame.limit(0), rules, listed).count() == 0
 
 
 def test_a_cascade_is_exact(spark):
