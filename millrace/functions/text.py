@@ -37,12 +37,12 @@ def squeeze(text: Column) -> Column:
 def search_form(text: Column) -> Column:
     """Folded; ``&`` reads "and"; what is neither Latin or Greek letter nor digit is one space."""
     spoken = F.replace(fold(text), F.lit("&"), F.lit(" and "))
-    return squeeze(F.regexp_replace(spoken, "[^a-z0-9α-ω]+", " "))
+    return F.trim(F.regexp_replace(spoken, "[^a-z0-9α-ω]+", " "))
 
 
 def catalog_form(text: Column) -> Column:
     """Folded; what is neither letter nor digit of any script is one space."""
-    return squeeze(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def label_form(text: Column) -> Column:
