@@ -42,14 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
+def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str = "snappy", most_files: int | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns it reread.
 
-    Cuts lineage: what is made from the result needs no more than these files when executors are lost.
+    Cuts lineage: what is made from the result needs no more than these files when executors are lost. most_files
+    is for callers that know about how many rows there are: a few rows in hundreds of files cost more than the rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", compression)
+    writer = (df.coalesce(most_files) if most_files else df).write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
