@@ -294,6 +294,11 @@ def _pivots(members: DataFrame, most: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= most).drop("rank")
 
 
+def _files(rows: int, each: int = 20_000) -> int:
+    """Files for a table of so many rows: a small one has few, a large one as many as its tasks make."""
+    return 8 + rows // each
+
+
 def link_groups(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000
 ) -> DataFrame:
@@ -311,49 +316,54 @@ def link_groups(
     left = heads.select(*own, F.explode(F.arrays_zip("tokens", "places")).alias("z"))
     left = left.select(*own, F.col("z.tokens").alias("token"), F.col("z.places").alias("place"), F.col("cls").alias("label"))
 
-    def fetch(pairs: DataFrame, have: list[DataFrame]) -> None:
+    def fetch(pairs: DataFrame, n_close: int, have: list[DataFrame]) -> None:
         """Adds the sets of those classes in pairs that aren't there yet, read from one document of each."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         for table in have:
             wanted = wanted.join(table.select("cls"), "cls", "left_anti")
-        ids = write_table(firsts.filter("doc_id is not null").join(wanted, "cls").select("doc_id", "cls"), "wanted")
-        hint = F.broadcast if ids.count() <= max_broadcast else lambda x: x
+        ids = write_table(firsts.filter("doc_id is not null").join(wanted, "cls").select("doc_id", "cls"), "wanted", most_files=_files(n_close))
+        n_ids = ids.count()
+        hint = F.broadcast if n_ids <= max_broadcast else lambda x: x
         chosen = texts.join(hint(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-        have.append(write_table(_set_rows(chosen, width).join(hint(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]), "shingles"))
+        have.append(write_table(_set_rows(chosen, width).join(hint(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]), "shingles", most_files=_files(n_ids, 2000)))
 
     have: list[DataFrame] = []
     tried: list[DataFrame] = []
-    labels, most = None, 1
+    labels, most, n_members = None, 1, None
     while True:
         # what is left: buckets with members of different groups, without the pivots so far
         active = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token")
-        members = write_table(left.join(active, "token"), "members")
-        if not members.limit(1).count():
+        members = write_table(left.join(active, "token"), "members", most_files=n_members and _files(n_members))
+        n_members = members.count()
+        if not n_members:
             break
-        pivots = write_table(_pivots(members, most), "pivots") if most > 1 else _pivots(members, 1)
+        pivots = write_table(_pivots(members, most), "pivots", most_files=_files(n_members)) if most > 1 else _pivots(members, 1)
         pairs = _candidates(members, pivots, percent)
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "pairs")
+        pairs = write_table(pairs, "pairs", most_files=_files(n_members))
         tried.append(pairs.select("a", "b"))
         last = pivots.groupBy("token").agg(F.max("pivot.cls").alias("last"))
         left = members.join(last, "token").filter("cls > last").drop("last")
         most *= 16
-        close = write_table(_screen(pairs, heads, percent), "close")
-        if not close.limit(1).count():
+        close = write_table(_screen(pairs, heads, percent), "close", most_files=_files(pairs.count()))
+        n_close = close.count()
+        if not n_close:
             continue
-        fetch(close, have)
-        links = write_table(_verify(close, reduce(DataFrame.unionByName, have), percent), "links")
-        if not links.limit(1).count():
+        fetch(close, n_close, have)
+        links = write_table(_verify(close, reduce(DataFrame.unionByName, have), percent), "links", most_files=_files(n_close, 2000))
+        n_links = links.count()
+        if not n_links:
             continue
         # only what the new links change is worked out: groups of the groups so far
         new = connected(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
         if labels is None:
             labels = new.select(F.col("node").alias("cls"), F.col("group").alias("label"))
         else:
+            n_labels = labels.count()
             known = labels.unionByName(new.select(F.col("node").alias("cls"), F.col("node").alias("label"))).distinct()
             joined = known.join(new.withColumnRenamed("node", "label"), "label", "left")
-            labels = write_table(joined.select("cls", F.coalesce("group", "label").alias("label")), "labels")
+            labels = write_table(joined.select("cls", F.coalesce("group", "label").alias("label")), "labels", most_files=_files(n_labels + 2 * n_links))
         left = left.join(new.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("group", "label")).drop("group")
     if labels is None:
         labels = firsts.limit(0).select("cls", F.col("cls").alias("label"))
