@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.scratch import write_table
@@ -172,18 +172,20 @@ class Model:
             np.subtract.at(bits, [i for i, _, _ in queue], sums)
             np.add.at(sizes, [i for i, _, _ in queue], [len(c) - known for _, c, known in queue])
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
-        """(language, score, bits per character, rejected) of each text."""
+    def score(self, texts: list[str | None]) -> list[tuple[str, float, float | None, int]]:
+        """(language, score, bits per character, characters) of each text."""
         real = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
-        out: list = [(UND, 0.0, None, True)] * len(texts)
+        out: list = [(UND, 0.0, None, 0)] * len(texts)
         entropy, sizes = self.entropies([texts[i] for i in real])
         for i, h, n in zip(real, entropy, sizes, strict=True):
             best = int(h.argmin())
-            score = float(1 / np.exp2(-(h - h[best]) * min(int(n), 64)).sum())
-            limit = self.limits.get(self.langs[best], np.inf) + 4 / np.sqrt(n)
-            out[i] = (self.langs[best], score, float(h[best]), bool(h[best] > limit))
+            out[i] = (self.langs[best], float(1 / np.exp2(-(h - h[best]) * min(int(n), 64)).sum()), float(h[best]), int(n))
         return out
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """(language, score, bits per character, rejected) of each text."""
+        return [(x, score, bits, bits is None or bits > self.limits.get(x, np.inf) + 4 / np.sqrt(n)) for x, score, bits, n in self.score(texts)]
+
 
 def _contexts(g: np.ndarray, n: np.ndarray, total: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The contexts of sorted n-grams: hashes, totals over all n-grams, weights left to the order below."""
@@ -261,10 +263,11 @@ def _gram_tables(labelled: DataFrame, order: int, max_grams: int, max_langs: int
     return tables
 
 
-def _limits(labelled: DataFrame, model: Model, few_texts: int) -> dict[str, float]:
-    """The bits per character beyond which texts are rejected, from all labelled texts: a row a language passes the driver."""
-    seen = _apply(labelled.select("text", "lang"), model, "lang").filter("bits is not null and lang_pred = lang")
-    step = F.ceil((F.col("bits") - 4 / F.sqrt("size")) * 64)
+def _limits(scored: DataFrame, langs: list[str], few_texts: int) -> dict[str, float]:
+    """The bits per character beyond which texts are rejected, from all labelled texts (lang and _SCORES' columns): a row
+    a language passes the driver."""
+    seen = scored.filter("bits is not null and lang_pred = lang")
+    step = F.ceil((F.col("bits") - 4 / F.sqrt("n_coded")) * 64)
     # exact counts by 64ths of a bit (some thousands a language), so the percentile doesn't depend on how tasks merge
     bins = seen.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.col("bits").cast("decimal(20,12)")).alias("bits"))
     over = Window.partitionBy("lang")
@@ -276,62 +279,85 @@ def _limits(labelled: DataFrame, model: Model, few_texts: int) -> dict[str, floa
     enough = [limit for x, limit in own.items() if texts[x] >= few_texts] or [*own.values()]
     if not enough:
         return {}
-    return {
-        x: own[x] if texts.get(x, 0) >= few_texts else max(*enough, own.get(x, 0.0), 0.0) + 4 / np.sqrt(texts.get(x, 1))
-        for x in model.langs
-    }
+    return {x: own[x] if texts.get(x, 0) >= few_texts else max(*enough, own.get(x, 0.0), 0.0) + 4 / np.sqrt(texts.get(x, 1)) for x in langs}
 
 
-def fit(labelled: DataFrame, order: int = 4, max_grams: int = 250_000, max_langs: int = 100, few_texts: int = 30) -> Model:
-    """A model of the rows of (text, lang) that have both."""
+def learn(labelled: DataFrame, order: int = 4, max_grams: int = 250_000, max_langs: int = 100) -> Model:
+    """A model, without limits, of the rows of (text, lang) that have both."""
     if order * _BITS > 60:
         raise ValueError("a hash holds five characters at most")
-    labelled = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    model = build_model(_gram_tables(labelled, order, max_grams, max_langs))
-    model.limits = _limits(labelled.filter(F.length("text") > 0), model, few_texts)
+    return build_model(_gram_tables(labelled.filter("text is not null and lang is not null"), order, max_grams, max_langs))
+
+
+def fit(labelled: DataFrame, order: int = 4, max_grams: int = 250_000, max_langs: int = 100, few_texts: int = 30) -> Model:
+    """A model of the rows of (text, lang) that have both, with limits."""
+    model = learn(labelled, order, max_grams, max_langs)
+    model.limits = _limits(_scored(labelled.filter("text is not null and lang is not null").select("text", "lang"), model, "lang"), model.langs, few_texts)
     return model
 
 
-def _apply(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+_SCORES = "lang_pred string, score double, bits double, n_coded long"
+
+
+def _scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """keep and _SCORES' columns for every row of docs, which has a column text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep).schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, bits double, rejected boolean, size long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), _SCORES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            lang, score, bits, rejected = zip(*shared.value.predict(texts), strict=True) if texts else ((),) * 4
+            found = shared.value.score(batch.column("text").to_pylist())
+            columns = zip(*found, strict=True) if found else ((),) * 4
+            types = [pa.string(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(x) for x in keep),
-                    pa.array(lang, pa.string()),
-                    pa.array(score, pa.float64()),
-                    pa.array(bits, pa.float64()),
-                    pa.array(rejected, pa.bool_()),
-                    pa.array([len(t or "") for t in texts], pa.int64()),
-                ],
-                names=[*keep, "lang_pred", "score", "bits", "rejected", "size"],
+                [*(batch.column(x) for x in keep), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*keep, "lang_pred", "score", "bits", "n_coded"]
             )
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
+def _rejected(limits: dict[str, float]) -> Column:
+    bits = F.col("bits")
+    if not limits:
+        return bits.isNull()
+    known = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    return bits.isNull() | F.coalesce(bits > F.try_element_at(known, "lang_pred") + 4 / F.sqrt("n_coded"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score, bits (cross-entropy per character), rejected for every row."""
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return _apply(rows, model, id_col).drop("size")
+    return _scored(rows, model, id_col).withColumn("rejected", _rejected(model.limits)).drop("n_coded")
 
 
-def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def learn_and_identify(docs: DataFrame, learns: str, *keep: str, few_texts: int = 30) -> DataFrame:
+    """keep, lang_pred, score, bits, rejected for every row of docs (text, lang, a boolean ``learns``, and keep).
+
+    The model and its limits are those of the rows that learn and have a label; every text is scored once, for the
+    limits and for itself.
+    """
+    mine = F.col(learns) & F.col("lang").isNotNull()
+    model = learn(docs.filter(mine).select("text", "lang"))
+    # a label is only kept where it may be learnt from
+    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.when(mine, F.col("lang")).alias("lang"), "text")
+    scored = write_table(_scored(rows, model, *[f"keep_{c}" for c in keep], "lang"), "scores")
+    limits = _limits(scored.filter("lang is not null"), model.langs, few_texts)
+    return scored.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "lang_pred", "score", "bits", _rejected(limits).alias("rejected"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shared.value.predict(batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array([not rejected for *_, rejected in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def drop_unknown(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_broadcast: int = 500_000) -> DataFrame:
+    """docs without the rows whose text a model of the labelled ones rejects.
+
+    A verdict hangs on the text alone, so it is carried by the text's digest; those of rejected texts are broadcast
+    up to max_broadcast of them (16 bytes each), and joined beyond it. Null texts go.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.lit(True).alias("learns"), F.unhex(F.md5(text)).alias("digest"))
+    found = learn_and_identify(rows, "learns", "digest")
+    gone = write_table(found.filter("rejected and digest is not null").select("digest").distinct(), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
+    packed = docs.filter(text.isNotNull()).select(F.struct("*").alias("row"))
+    return packed.join(gone, F.unhex(F.md5(F.col(f"row.`{text_col}`").cast("string"))) == F.col("digest"), "left_anti").select("row.*")
 
 
 def fold(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -77,10 +77,8 @@ def op6_line_rules(spark, sf_dir):
 
 @query()
 def op7_language(spark, sf_dir):
-    docs = langid.fold(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    model = langid.fit(docs.filter(~F.col("held_out")))
-    found = langid.fold(langid.identify(docs, model))
-    return found.select("doc_id", "held_out", "lang_pred", "score", "bits", "rejected")
+    docs = langid.fold(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).withColumn("learns", ~F.col("held_out"))
+    return langid.learn_and_identify(docs, "learns", "doc_id", "held_out")
 
 
 URL_RULES = [

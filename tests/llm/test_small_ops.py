@@ -165,6 +165,14 @@ def test_models_sum_to_one_and_tell_languages_apart(spark):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"} and langid.identify(docs.limit(0), model).count() == 0
     with pytest.raises(ValueError):
         langid.fit(docs, max_langs=1)
+    # scoring every text once comes to the same as fitting and identifying one after the other
+    once = langid.learn_and_identify(docs.withColumn("learns", docs.doc_id % 3 != 0), "learns", "doc_id").collect()
+    then = langid.identify(docs, langid.fit(docs.filter("doc_id % 3 != 0"))).collect()
+    assert sorted(map(tuple, once)) == sorted(map(tuple, then)) and len(once) == len(rows)
+    odd = docs.withColumn("keep_doc_id", docs.doc_id).withColumn("row", docs.doc_id).union(spark.createDataFrame([(950, "qqxjvk pfw jjkk xxqv " * 20, None, 0.0, 950, 950)], "doc_id long, text string, lang string, score double, keep_doc_id long, row long"))
+    for most in (10, 0):
+        left = langid.drop_unknown(odd, max_broadcast=most)
+        assert left.columns == odd.columns and sorted(r.row for r in left.collect()) == [*range(120), 901]
 
 
 def test_every_language_has_a_limit_that_follows_its_texts(spark):
