@@ -40,7 +40,7 @@ def _stage(f):
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language that the labelled ones are in, null texts and texts without a letter."""
-    return langid.drop_rejected(docs, langid.fit(docs))
+    return langid.drop_unknown(docs)
 
 
 @_stage
