@@ -213,6 +213,21 @@ def last_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
+def first_number(text: Column, patterns: list[str]) -> Column:
+    """The number in the first pattern (with one group of digits) that a text matches at all; null if none does."""
+    found = [F.when(F.regexp_extract(text, p, 1) != "", F.regexp_extract(text, p, 1)) for p in patterns]
+    return F.coalesce(*found).try_cast("bigint")
+
+
+def set_tag(notes: Column, tag: str, value: Column) -> Column:
+    """Notes, parts joined by ``|``, with ``[tag:value]`` as the last part and no other value of the tag."""
+    clean = F.regexp_replace(F.coalesce(notes, F.lit("")), rf"\[{tag}:[A-Z_]+\]", "")
+    clean = F.trim(F.regexp_replace(clean, r"\s*\|\s*\|+", " | "))
+    clean = F.regexp_replace(clean, r"^\|\s*|\s*\|$", "")
+    mark = F.concat(F.lit(f"[{tag}:"), value, F.lit("]"))
+    return F.when(clean != "", F.concat(clean, F.lit(" | "), mark)).otherwise(mark)
+
+
 def first_of_pipes(text: Column) -> Column:
     """The first item of an ``a | b`` list that isn't blank."""
     return F.get(F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))

@@ -191,6 +191,23 @@ def accepted_asset(candidates: DataFrame, key: str, asset: str, score: str, leas
     return best.filter("decided").select(key, F.col("winner").alias(asset), F.col("top").alias(score))
 
 
+def capability_decision(places: Column, url: Column, fetched: Column, online_only: Column, found: Column, every_place: Column) -> Column:
+    """What evidence of a page allows: the first obstacle, or SAFE_TO_APPLY.
+
+    places: how many a row has; found: the array of capabilities that the evidence names; every_place: whether it
+    speaks of all of them, which it must where there are several.
+    """
+    return (
+        F.when(places < 1, "NO_VERIFIED_LOCATION")
+        .when(~F.coalesce(F.rlike(url, F.lit("(?i)^https?://")), F.lit(False)), "NO_OFFICIAL_URL")
+        .when(~fetched, "FETCH_FAILED")
+        .when(online_only, "ONLINE_ONLY_SIGNAL")
+        .when(F.size(found) < 1, "NO_GIFT_CARD_IN_STORE_EVIDENCE")
+        .when((places > 1) & ~every_place, "AMBIGUOUS_LOCATION_SCOPE")
+        .otherwise("SAFE_TO_APPLY")
+    )
+
+
 def capabilities(rows: DataFrame, places: DataFrame, key: str, found: Column) -> DataFrame:
     """key, place, capability: every place of a row with each of the capabilities (an array) that its evidence names."""
     named = rows.select(key, F.explode(found).alias("capability"))

@@ -48,6 +48,39 @@ def two_key_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]
     return out.withColumn("match_id", F.coalesce(*names)).withColumn("match_key", which).drop(*names)
 
 
+def cascading_match(left: DataFrame, targets: list[tuple[str, DataFrame]], keys: list[tuple[str, str]], id_col: str, new: str = "NEW") -> DataFrame:
+    """left with bucket, match_id, match_key: the first of the named targets in which a row is found, by the first key pair
+    that finds one; ``new`` if none does."""
+    out, found = left, []
+    for n, (_, target) in enumerate(targets):
+        matched = two_key_match(out, target, keys, id_col)
+        out = matched.withColumnRenamed("match_id", f"_id{n}").withColumnRenamed("match_key", f"_key{n}")
+        found.append(F.col(f"_id{n}").isNotNull())
+    pick = lambda values: F.coalesce(*[F.when(f, v) for f, v in zip(found, values, strict=True)])
+    out = out.withColumn("bucket", F.coalesce(pick([F.lit(name) for name, _ in targets]), F.lit(new)))
+    out = out.withColumn("match_id", pick([F.col(f"_id{n}") for n in range(len(targets))])).withColumn("match_key", pick([F.col(f"_key{n}") for n in range(len(targets))]))
+    return out.drop(*[f"_{x}{n}" for n in range(len(targets)) for x in ("id", "key")])
+
+
+def dedupe_plan(items: DataFrame, known: DataFrame, id_col: str, known_id: str, domain: str, name: str, score: Column, at: str) -> DataFrame:
+    """action, id_col, keep_id, known_id of the items to mark: those of a known domain; of the others with one domain all
+    but the best (score, then the earliest); and, to be reviewed, those left of which only the name is known.
+
+    Rows without a domain, or of one that several sites share, should come with an empty one.
+    """
+    by = lambda column, out: known.filter(F.coalesce(column, F.lit("")) != "").groupBy(F.col(column).alias(f"_{column}")).agg(F.min(known_id).alias(out))
+    has = F.coalesce(F.col(domain), F.lit("")) != ""
+    rows = items.withColumn("_score", score).join(by(domain, "_by_domain"), F.col(domain) == F.col(f"_{domain}"), "left")
+    rows = rows.join(by(name, "_by_name"), F.col(name) == F.col(f"_{name}"), "left")
+    best = rows.filter(has).groupBy(F.col(domain).alias("_best_of")).agg(F.min_by(id_col, F.struct((-F.col("_score")).alias("s"), F.col(at).alias("t"), F.col(id_col).alias("i"))).alias("_keeper"))
+    rows = rows.join(best, F.col(domain) == F.col("_best_of"), "left")
+    production = has & F.col("_by_domain").isNotNull()
+    copy = has & F.col("_by_domain").isNull() & (F.col(id_col) != F.col("_keeper"))
+    action = F.when(production, "MARK_DUPLICATE_PRODUCTION").when(copy, "MARK_DUPLICATE_DISCOVERY").when(F.col("_by_name").isNotNull(), "REVIEW_NAME_MATCH")
+    match = F.when(production, F.col("_by_domain")).when(~copy, F.col("_by_name"))
+    return rows.select(action.alias("action"), id_col, F.when(copy, F.col("_keeper")).alias("keep_id"), match.alias("match_id")).filter("action is not null")
+
+
 def duplicate_clusters(df: DataFrame, id_col: str, strong: str, weak: str) -> DataFrame:
     """kind, key, n, id: a row for each member of a group of two or more by the strong key; and by the weak key, unless
     one strong group covers the whole group. A group is never gathered."""

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from millrace.functions import urls
+from millrace.functions import text, urls
 from millrace.operators import curation
 from millrace.plans.scratch import table
 from millrace.queries import Registry
@@ -167,3 +167,22 @@ def follow_up_list(spark, sf):
     kind = F.col("event_type")
     rows = table(spark, sf, "events").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("stage_at"), F.max(F.when(kind == "click", F.col("ts").cast("timestamp"))).alias("last_sent"), F.count_if(kind == "signup").alias("sent"))
     return curation.follow_ups(rows, F.when(F.col("sent") > 10, "LATE").otherwise("EARLY"), "stage_at", "last_sent", "sent", datetime(2024, 2, 2)).select("user_id", "stage", "age", "due")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NO_VERIFIED_LOCATION' WHEN c_custkey % 5 = 0 THEN 'NO_OFFICIAL_URL' WHEN c_custkey % 11 = 0 THEN 'FETCH_FAILED' WHEN c_nationkey = 3 THEN 'ONLINE_ONLY_SIGNAL'
+ WHEN c_nationkey > 20 THEN 'NO_GIFT_CARD_IN_STORE_EVIDENCE' WHEN c_custkey % 7 > 1 AND c_acctbal < 0 THEN 'AMBIGUOUS_LOCATION_SCOPE' ELSE 'SAFE_TO_APPLY' END AS decision FROM customer""")
+def capability_decisions(spark, sf):
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    url = F.when(c % 5 == 0, F.when(c % 2 == 0, "ftp://a.gr")).otherwise("HTTPS://a.gr")
+    found = F.when(n > 20, F.array().cast("array<string>")).otherwise(F.array(F.lit("pay")))
+    decision = curation.capability_decision(c % 7, url, c % 11 != 0, n == 3, found, F.col("c_acctbal") >= 0)
+    return table(spark, sf, "customer").select("c_custkey", decision.alias("decision"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'a |  b | [REVIEW:ACCEPTED]' WHEN 1 THEN '[REVIEW:ACCEPTED]' ELSE 'Score=' || CAST(s_suppkey AS VARCHAR) || ' confidence: 7 | [REVIEW:ACCEPTED]' END AS notes,
+ CASE s_suppkey % 3 WHEN 2 THEN s_suppkey END AS number FROM supplier""")
+def tagged_notes(spark, sf):
+    k = F.col("s_suppkey")
+    notes = F.when(k % 3 == 0, "a | [REVIEW:REJECTED] | b").when(k % 3 == 2, F.concat(F.lit("Score="), k.cast("string"), F.lit(" confidence: 7")))
+    set_notes = text.set_tag(notes, "REVIEW", F.lit("ACCEPTED"))
+    return table(spark, sf, "supplier").select("s_suppkey", set_notes.alias("notes"), text.first_number(set_notes, [r"(?i)score=(\d+)", r"(?i)confidence[=:]\s*(\d+)"]).alias("number"))

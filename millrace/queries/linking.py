@@ -324,3 +324,33 @@ def site_pairs(spark, sf):
     hosts = table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
     sites = hosts.select(F.array_join(F.slice(F.split("host", r"\."), -3, 3), ".").alias("site")).unionByName(hosts.select(F.concat(F.lit("a.b."), "host").alias("site"))).distinct()
     return linkage.site_pairs(hosts, sites, "host", "site").select("page_id", "site")
+
+
+@query("""
+WITH i AS (SELECT c_custkey, 'd' || CAST(c_custkey % 400 AS VARCHAR) AS domain, 'n' || CAST(c_custkey % 150 AS VARCHAR) AS name, c_acctbal, c_nationkey FROM customer WHERE c_custkey % 5 > 0
+ UNION ALL SELECT c_custkey, '', 'n' || CAST(c_custkey % 150 AS VARCHAR), c_acctbal, c_nationkey FROM customer WHERE c_custkey % 5 = 0),
+k AS (SELECT s_suppkey, 'd' || CAST(s_suppkey * 7 AS VARCHAR) AS domain, 'n' || CAST(s_suppkey AS VARCHAR) AS name FROM supplier),
+r AS (SELECT i.*, (SELECT min(s_suppkey) FROM k WHERE k.domain = i.domain) AS by_domain, (SELECT min(s_suppkey) FROM k WHERE k.name = i.name) AS by_name,
+ first_value(c_custkey) OVER (PARTITION BY domain ORDER BY CASE WHEN c_acctbal > 0 THEN 50 ELSE 0 END DESC, c_nationkey, c_custkey) AS keeper FROM i),
+a AS (SELECT *, CASE WHEN domain <> '' AND by_domain IS NOT NULL THEN 'MARK_DUPLICATE_PRODUCTION' WHEN domain <> '' AND c_custkey <> keeper THEN 'MARK_DUPLICATE_DISCOVERY' WHEN by_name IS NOT NULL THEN 'REVIEW_NAME_MATCH' END AS action FROM r)
+SELECT action, c_custkey, CASE WHEN action = 'MARK_DUPLICATE_DISCOVERY' THEN keeper END AS keep_id, CASE action WHEN 'MARK_DUPLICATE_PRODUCTION' THEN by_domain WHEN 'REVIEW_NAME_MATCH' THEN by_name END AS match_id FROM a WHERE action IS NOT NULL""")
+def dedupe_plan(spark, sf):
+    c = F.col("c_custkey")
+    domain = F.when(c % 5 > 0, F.concat(F.lit("d"), (c % 400).cast("string"))).otherwise("")
+    items = table(spark, sf, "customer").select("c_custkey", domain.alias("domain"), F.concat(F.lit("n"), (c % 150).cast("string")).alias("name"), "c_acctbal", "c_nationkey")
+    k = F.col("s_suppkey")
+    known = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("d"), (k * 7).cast("string")).alias("domain"), F.concat(F.lit("n"), k.cast("string")).alias("name"))
+    return linkage.dedupe_plan(items, known, "c_custkey", "s_suppkey", "domain", "name", F.when(F.col("c_acctbal") > 0, 50).otherwise(0), "c_nationkey")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN n.n_nationkey IS NOT NULL THEN 'NATION' WHEN r.r_regionkey IS NOT NULL THEN 'REGION' ELSE 'NEW' END AS bucket, coalesce(n.n_nationkey, r.r_regionkey) AS match_id,
+ CASE WHEN n.n_nationkey IS NOT NULL OR r.r_regionkey IS NOT NULL THEN 'name' END AS match_key FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'NATION_' || CAST(c_custkey % 40 AS VARCHAR) WHEN 1 THEN 'ASIA' ELSE 'x' END AS name FROM customer)
+ LEFT JOIN nation n ON n_name = name LEFT JOIN region r ON r_name = name""")
+def cascading_match(spark, sf):
+    c = F.col("c_custkey")
+    name = F.when(c % 3 == 0, F.concat(F.lit("NATION_"), (c % 40).cast("string"))).when(c % 3 == 1, "ASIA").otherwise("x")
+    left = table(spark, sf, "customer").select("c_custkey", name.alias("name"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("own"))
+    regions = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("own"))
+    return linkage.cascading_match(left, [("NATION", nations), ("REGION", regions)], [("name", "own")], "id").drop("name")

@@ -21,11 +21,18 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_li
     return found.toDF(*[c.lstrip("\ufeff") for c in found.columns])
 
 
-def read_plain_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Lines split at every comma, without quoting; the header line is left out. With ``source_file``."""
+def read_plain_csv(spark: SparkSession, path: str, columns: list[str], first_by: str | None = None) -> DataFrame:
+    """Lines split at every comma, without quoting; the header line is left out. With ``source_file``.
+
+    first_by: a column of which each value keeps its first row only, by file and place in it.
+    """
     cells = F.split("value", ",")
     rows = spark.read.text(path).filter(F.trim("value") != "").select(*[F.trim(F.get(cells, F.lit(i))).alias(c) for i, c in enumerate(columns)], F.col("_metadata.file_path").alias("source_file"))
-    return rows.filter(F.col(columns[0]) != columns[0])
+    rows = rows.filter(F.col(columns[0]) != columns[0])
+    if first_by is None:
+        return rows
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())  # grows along a file
+    return placed.groupBy(first_by).agg(F.min(F.struct("source_file", "_place", *[c for c in columns if c != first_by])).alias("_r")).select(*[first_by if c == first_by else F.col(f"_r.{c}") for c in columns], "_r.source_file")
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: str, rows: str | None = None) -> DataFrame:
@@ -102,6 +109,19 @@ def sitemap_locations(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit(r"(?s)<loc>\s*([^<]+?)\s*</loc>"), 1)
 
 
+def walk_sitemaps(files: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+    """url: the distinct pages that sitemaps lead to, from files (url, xml) and the urls of roots, through indexes of
+    sitemaps and those they list, ``depth`` levels of them at most; a sitemap is read once."""
+    level, seen, found = roots.select("url").distinct(), roots.select("url").distinct(), None
+    for _ in range(depth):
+        read = files.join(level, "url").select(F.contains("xml", F.lit("<sitemapindex")).alias("index"), F.explode(sitemap_locations(F.col("xml"))).alias("url"))
+        pages = read.filter("not index").select("url")
+        found = pages if found is None else found.unionByName(pages)
+        level = read.filter("index").select("url").distinct().join(seen, "url", "left_anti")
+        seen = seen.unionByName(level)
+    return found.distinct()
+
+
 def page_links(html: Column) -> Column:
     """Structs (href, label) of a page's anchors, one for each href: the last."""
     anchor = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"

@@ -220,3 +220,17 @@ def _edits(x, y):
         for j, b in enumerate(y, 1):
             row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
     return row[-1]
+
+
+def test_sitemaps_and_plain_csv(spark, tmp_path):
+    locs = lambda kind, *urls: f"<{kind}>" + "".join(f"<x><loc> {u} </loc></x>" for u in urls) + f"</{kind}>"
+    files_ = spark.createDataFrame(
+        [("r", locs("sitemapindex", "a", "b", "r")), ("a", locs("urlset", "p1", "p2")), ("b", locs("sitemapindex", "c", "a")), ("c", locs("urlset", "p2", "p3")), ("z", locs("urlset", "p9"))], "url string, xml string"
+    )
+    walk = lambda n: sorted(r.url for r in files.walk_sitemaps(files_, spark.createDataFrame([("r",)], "url string"), n).collect())
+    assert walk(5) == ["p1", "p2", "p3"] and walk(2) == ["p1", "p2"] and walk(1) == []
+    (tmp_path / "a.csv").write_text("domain,name\nx.gr,one\ny.gr,two\nx.gr,three\n")
+    (tmp_path / "b.csv").write_text("domain,name\nx.gr,four\nz.gr,five\n")
+    read = files.read_plain_csv(spark, str(tmp_path), ["domain", "name"], "domain")
+    assert sorted((r.domain, r.name) for r in read.collect()) == [("x.gr", "one"), ("y.gr", "two"), ("z.gr", "five")]
+    assert files.read_plain_csv(spark, str(tmp_path), ["domain", "name"]).count() == 5
