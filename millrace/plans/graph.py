@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from millrace.plans.scratch import write_table
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, about: int | None = None) -> DataFrame:
     """node, group (the smallest node of the group) for each node of the links (a, b), two bigint columns.
 
     Alternates large and small stars: every node hooks its larger, then its smaller neighbours to the least of
     them, which makes a star of each group in a few rounds. A node's links are never gathered; the least
-    neighbour is an aggregate, joined back to the links. Each round is written to the shared folder.
+    neighbour is an aggregate, joined back to the links. Each round is written to the shared folder. about: how many
+    links there are, if the caller knows.
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = write_table(edges, "links")
-    last, files = None, 8 + edges.count() // 50_000
+    edges = write_table(edges, "links", most_files=about and 8 + about // 50_000)
+    last, files = None, 8 + (about or edges.count()) // 50_000
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
