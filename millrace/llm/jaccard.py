@@ -202,13 +202,18 @@ def _prefixes(percent: int):
     return run
 
 
+def _files(rows: int, each: int = 20_000) -> int:
+    """Files for a table of so many rows: a small one has few, a large one as many as its tasks make."""
+    return 8 + rows // each
+
+
 def _index(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """_FOUND's rows."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(_RANGES * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _RANGE_BYTES)
     sent = texts.mapInArrow(_exchange_tokens(width, buckets), _PARTS)
     counted = sent.groupBy("bucket").applyInArrow(_count_tokens, _PARTS)
-    return write_table(counted.groupBy("batch").applyInArrow(_prefixes(percent), _FOUND), "prefixes")
+    return write_table(counted.groupBy("batch").applyInArrow(_prefixes(percent), _FOUND), "prefixes", most_files=_files(size, 4 << 20))
 
 
 # -- pairs
@@ -294,11 +299,6 @@ def _pivots(members: DataFrame, most: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= most).drop("rank")
 
 
-def _files(rows: int, each: int = 20_000) -> int:
-    """Files for a table of so many rows: a small one has few, a large one as many as its tasks make."""
-    return 8 + rows // each
-
-
 def link_groups(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000
 ) -> DataFrame:
@@ -311,7 +311,7 @@ def link_groups(
     found = _index(texts, width, percent)
     rows = found.filter("is_doc").select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles"))
     firsts = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    heads = write_table(found.filter("not is_doc").drop("is_doc", "doc_id").dropDuplicates(["cls"]), "heads")
+    heads = write_table(found.filter("not is_doc").drop("is_doc", "doc_id").dropDuplicates(["cls"]), "heads", most_files=_files(found.count()))
     own = ["cls", "n", *_BITS]
     left = heads.select(*own, F.explode(F.arrays_zip("tokens", "places")).alias("z"))
     left = left.select(*own, F.col("z.tokens").alias("token"), F.col("z.places").alias("place"), F.col("cls").alias("label"))
@@ -329,11 +329,11 @@ def link_groups(
 
     have: list[DataFrame] = []
     tried: list[DataFrame] = []
-    labels, most, n_members = None, 1, None
+    labels, most, n_members = None, 1, 10 * heads.count()
     while True:
         # what is left: buckets with members of different groups, without the pivots so far
         active = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token")
-        members = write_table(left.join(active, "token"), "members", most_files=n_members and _files(n_members))
+        members = write_table(left.join(active, "token"), "members", most_files=_files(n_members))
         n_members = members.count()
         if not n_members:
             break
@@ -356,7 +356,7 @@ def link_groups(
         if not n_links:
             continue
         # only what the new links change is worked out: groups of the groups so far
-        new = connected(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+        new = connected(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), n_links)
         if labels is None:
             labels = new.select(F.col("node").alias("cls"), F.col("group").alias("label"))
         else:
