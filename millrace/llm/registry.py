@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, infill, jaccard, langid, linefirst, packing, perspectives, repeats, tokens, urlcascade, wrapper
+from millrace.llm import decontam, infill, jaccard, langid, linefirst, packing, perspectives, repeats, resample, tokens, urlcascade, wrapper
 from millrace.llm.batches import bound_batches
 from millrace.plans.scratch import table
 
@@ -125,3 +125,8 @@ def op10_decontaminate(spark, sf_dir):
 @query(infill.ORACLE)
 def op11_fill_in_middle(spark, sf_dir):
     return infill.infill_digest(infill.fill_in_middle(table(spark, sf_dir, "documents"), unit="line", seed=7, percent=100, spm_percent=50))
+
+
+@query()
+def op12_importance_resampling(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
