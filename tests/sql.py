@@ -32,6 +32,7 @@ BRUTE_FORCE = {
     "op6_line_rules": "tests/llm/test_small_ops.py",
     "op7_language": "tests/llm/test_small_ops.py",
     "op9_repeated_strings": "tests/llm/test_repeats.py",
+    "op12_importance_resampling": "tests/llm/test_resample.py",
 }
 
 
