@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, infill, jaccard, langid, linefirst, packing, perspectives, repeats, resample, tokens, urlcascade, wrapper
+from millrace.llm import blocks, decontam, infill, jaccard, langid, linefirst, packing, perspectives, repeats, resample, tokens, urlcascade, wrapper
 from millrace.llm.batches import bound_batches
 from millrace.plans.scratch import table
 
@@ -130,3 +130,8 @@ def op11_fill_in_middle(spark, sf_dir):
 @query()
 def op12_importance_resampling(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+
+
+@query()
+def op13_repeated_windows(spark, sf_dir):
+    return blocks.blocks_digest(table(spark, sf_dir, "documents"), width=35)
