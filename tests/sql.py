@@ -33,6 +33,7 @@ BRUTE_FORCE = {
     "op7_language": "tests/llm/test_small_ops.py",
     "op9_repeated_strings": "tests/llm/test_repeats.py",
     "op12_importance_resampling": "tests/llm/test_resample.py",
+    "op13_repeated_windows": "tests/llm/test_blocks.py",
 }
 
 
