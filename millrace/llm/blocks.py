@@ -182,18 +182,30 @@ _TWICE, _MARKED = 1, 2
 
 def _groups(high: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """The order that brings equal values together, and where in it each value begins."""
-    order = np.argsort(high, kind="stable") if low is None else np.lexsort((low, high))
+    order = np.argsort(high)
     h = high[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
-    if low is not None:
-        new[1:] |= low[order][1:] != low[order][:-1]
+    if low is not None and ((low[order][1:] != low[order][:-1]) & ~new[1:]).any():  # equal in 64 bits, not in 96
+        order = np.lexsort((low, high))
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
     return order, np.flatnonzero(new)
 
 
-def _send(unit: int, ranges: int, docs: list[tuple[int, int, int]], keys: list[bytes], high: np.ndarray, low: np.ndarray | None, marked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The rows of a unit: its values by range, with flags and first places; and one with its documents (order, rows,
-    values) and the places of values that it has twice or more, which need no answer."""
+def _spread(high: np.ndarray) -> np.ndarray:
+    """Numbers from numbers, one to one, that are as dense anywhere (leasts are small), so that ranges are alike."""
+    out = high * _M2
+    out ^= out >> np.uint64(32)
+    out *= _M1
+    return out ^ (out >> np.uint64(29))
+
+
+def _send(
+    unit: int, ranges: int, docs: list[tuple[int, int, int]], keys: list[bytes], high: np.ndarray, low: np.ndarray | None = None, marked: np.ndarray | None = None, kept: bytes | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The rows of a unit: its values by range, with flags and a place; and one of its own, with its documents (two numbers
+    and how many values), the places of values that it has twice or more, which need no answer, and what else is to be kept."""
+    high = _spread(high)
     order, starts = _groups(high, low)
     counts = np.diff(np.append(starts, len(high)))
     first = order[starts]
@@ -201,12 +213,9 @@ def _send(unit: int, ranges: int, docs: list[tuple[int, int, int]], keys: list[b
     if marked is not None and len(starts):
         flags |= np.where(np.logical_or.reduceat(marked[order], starts), _MARKED, 0).astype(np.uint8)
     known = order[np.repeat(counts > 1, counts)].astype(np.uint32)
-    target = high[first] % np.uint64(ranges)
-    by = np.argsort(target, kind="stable")
-    cuts = np.searchsorted(target[by], np.arange(ranges + 1, dtype=np.uint64))
-    first, flags = first[by], flags[by]
+    cuts = np.searchsorted((high[first] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
     numbers = np.array(docs, np.int64).reshape(-1, 3)
-    rows = [(unit % ranges, unit, True, None, None, None, known.tobytes(), numbers.tobytes(), b"".join(keys))]
+    rows = [(unit % ranges, unit, True, kept, None, None, known.tobytes(), numbers.tobytes(), b"".join(keys))]
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         at = first[cuts[k] : cuts[k + 1]]
         rows.append((k, unit, False, high[at].tobytes(), None if low is None else low[at].tobytes(), flags[cuts[k] : cuts[k + 1]].tobytes(), at.astype(np.uint32).tobytes(), None, None))
@@ -237,23 +246,23 @@ def _answer(needs_mark: bool):
                 mine = np.frombuffer(places[i], np.uint32)
                 places[i] = mine[found[at : at + len(mine)]].tobytes()
                 at += len(mine)
-        none = pa.nulls(len(group), pa.binary())
+        none, own = pa.nulls(len(group), pa.binary()), pa.array([h if x else None for x, h in zip(columns["is_unit"], columns["high"], strict=True)], pa.binary())
         kept = [group.column(n) for n in ("range", "unit", "is_unit")]
-        return pa.table([*kept, none, none, none, pa.array(places, pa.binary()), group.column("docs"), group.column("keys")], names=_NAMES)
+        return pa.table([*kept, own, none, none, pa.array(places, pa.binary()), group.column("docs"), group.column("keys")], names=_NAMES)
 
     return run
 
 
 def _flags_of_unit(group: pa.Table) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """(order, rows, key, which of its values are found) of each document of a unit."""
+    """Of each document of a unit: its numbers and key, and which of its values are found."""
     at = group.column("is_unit").to_pylist().index(True)
     docs = np.frombuffer(group.column("docs")[at].as_py(), np.int64).reshape(-1, 3)
     keys, ends = group.column("keys")[at].as_py(), np.cumsum(docs[:, 2])
     flags = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
     for x in group.column("places").to_pylist():
         flags[np.frombuffer(x, np.uint32)] = True
-    for i, ((o, rows, n), end) in enumerate(zip(docs.tolist(), ends.tolist(), strict=True)):
-        yield o, rows, keys[32 * i : 32 * i + 32], flags[end - n : end]
+    for i, ((a, b, n), end) in enumerate(zip(docs.tolist(), ends.tolist(), strict=True)):
+        yield a, b, keys[32 * i : 32 * i + 32], flags[end - n : end]
 
 
 def _exchange_probes(width: int, size: int, run_: int, ranges: int):
@@ -264,7 +273,7 @@ def _exchange_probes(width: int, size: int, run_: int, ranges: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             marks = np.concatenate(places) % size == 0
-            yield from _send(unit, ranges, [tuple(d) for d in seen.values()], list(seen), np.concatenate(hashes), None, marks)
+            yield from _send(unit, ranges, [tuple(d) for d in seen.values()], list(seen), np.concatenate(hashes), marked=marks)
             seen.clear()
             places.clear()
             hashes.clear()
@@ -309,40 +318,61 @@ def _hit_places(words: np.ndarray, mask: bytes, size: int, run: int) -> np.ndarr
     return out
 
 
-def _window_starts(words: np.ndarray, mask: bytes, width: int, size: int, run: int) -> np.ndarray:
-    found = [s for s, _, _ in windows(words, _hit_places(words, mask, size, run), width, size, run)]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+def _stretches(numbers: np.ndarray) -> np.ndarray:
+    """Rising numbers as stretches (first, how many)."""
+    first = np.flatnonzero(np.diff(numbers, prepend=-2) != 1)
+    return np.stack((numbers[first], np.diff(np.append(first, len(numbers)))), axis=1)
 
 
 def _exchange_windows(width: int, size: int, run_: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, cache = TaskContext.get().partitionId() << 32, WordHashes()
-        docs, keys, high, low, held = [], [], [], [], 0
+        docs, keys, high, low, kept, held = [], [], [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from _send(unit, ranges, docs, keys, np.concatenate(high), np.concatenate(low), kept=b"".join(kept))
+            for x in (docs, keys, high, low, kept):
+                x.clear()
+
         for batch in batches:
             digests, texts, masks = (c.to_pylist() for c in batch.columns)
             for digest, mask, words in zip(digests, masks, hashed(texts, cache), strict=True):
-                n = 0
-                for starts, h, rest in windows(words, _hit_places(words, mask, size, run_), width, size, run_):
-                    high.append(h)
-                    low.append(rest)
-                    n += len(starts)
-                docs.append((0, 1, n))
-                keys.append(digest)
-                held += n
+                found = list(windows(words, _hit_places(words, mask, size, run_), width, size, run_))
+                if not found:
+                    continue
+                starts, h, rest = (np.concatenate(x) for x in zip(*found, strict=True))
+                stretches = _stretches(starts)
+                docs.append((len(stretches), 0, len(starts)))
+                for x, y in ((keys, digest), (high, h), (low, rest), (kept, stretches.tobytes())):
+                    x.append(y)
+                held += len(starts)
                 if held >= _UNIT:
-                    yield from _send(unit, ranges, docs, keys, np.concatenate(high), np.concatenate(low), None)
-                    docs, keys, high, low, held, unit = [], [], [], [], 0, unit + 1
+                    yield from flush()
+                    unit, held = unit + 1, 0
         if held:
-            yield from _send(unit, ranges, docs, keys, np.concatenate(high), np.concatenate(low), None)
+            yield from flush()
 
     return run
 
 
-def _found_windows(group: pa.Table) -> pa.Table:
-    """A bit for each window that a text has sent: whether it occurs again; only of texts that have such windows."""
-    rows = [(key, np.packbits(flags).tobytes()) for _, _, key, flags in _flags_of_unit(group) if flags.any()]
-    columns = zip(*rows, strict=True) if rows else [()] * 2
-    return pa.table([pa.array(c, pa.binary()) for c in columns], names=["digest", "found"])
+def _repeated_spans(width: int):
+    """The spans of words that each text of a unit shares with others, of texts that have some."""
+
+    def run(group: pa.Table) -> pa.Table:
+        at = group.column("is_unit").to_pylist().index(True)
+        stretches, rows = np.frombuffer(group.column("high")[at].as_py(), np.int64).reshape(-1, 2), []
+        at = 0
+        for n, _, key, flags in _flags_of_unit(group):
+            mine = stretches[at : at + n]
+            at += n
+            if flags.any():
+                ends = np.cumsum(mine[:, 1])
+                starts = (np.arange(ends[-1]) + np.repeat(mine[:, 0] - ends + mine[:, 1], mine[:, 1]))[flags]
+                rows.append((key, merge_spans(np.stack((starts, starts + width), axis=1)).tobytes()))
+        columns = zip(*rows, strict=True) if rows else [()] * 2
+        return pa.table([pa.array(c, pa.binary()) for c in columns], names=["digest", "spans"])
+
+    return run
 
 
 # -- the operator
@@ -354,34 +384,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(_NO_ID)).alias("ord"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
 
 
-def _cut(width: int, size: int, run_: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in batches:
-            all_spans, removed, kept = [], [], []
-            for text, mask, found in zip(*(batch.column(x).to_pylist() for x in ("text", "mask", "found")), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                words = next(hashed(iter([text]), cache))
-                starts = _window_starts(words, mask, width, size, run_)
-                starts = starts[np.unpackbits(np.frombuffer(found, np.uint8), count=len(starts)).astype(bool)]
-                spans = merge_spans(np.stack((starts, starts + width), axis=1))
-                gone = np.zeros(len(words) + 1, np.int64)
-                gone[spans[:, 0]] += 1
-                gone[spans[:, 1]] -= 1
-                gone, left, at = np.cumsum(gone)[:-1] > 0, [], 0
-                for some in split_words(raw):
-                    left += [w for w, g in zip(some, gone[at : at + len(some)].tolist(), strict=True) if not g]
-                    at += len(some)
-                all_spans.append(spans.tobytes())
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join(left))
-            new = [pa.array(all_spans, pa.binary()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("ord"), *new], names=["digest", "ord", "spans", "n_removed", "kept"])
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words the spans of a text take, and the others."""
+    for batch in batches:
+        removed, kept = [], []
+        for text, blob in zip(*(batch.column(x).to_pylist() for x in ("text", "spans")), strict=True):
+            spans, left, at = np.frombuffer(blob, np.int64).reshape(-1, 2), [], 0
+            for words in split_words(text.encode("utf-8", "surrogatepass")):
+                edges = np.clip(np.concatenate(([0], spans.ravel() - at, [len(words)])), 0, len(words)).tolist()
+                for a, b in zip(edges[::2], edges[1::2], strict=True):
+                    left += words[a:b]
+                at += len(words)
+            removed.append(int((spans[:, 1] - spans[:, 0]).sum()))
+            kept.append(b" ".join(left))
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("digest", "ord", "spans")), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["digest", "ord", "spans", "n_removed", "kept"])
 
 
-def find_repeats(docs: DataFrame, width: int = 35, run: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, width: int = 35, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Texts that lose words to others (digest, ord, spans, n_removed, kept), and texts that several rows have (digest, n).
 
     digest is the text's SHA-256 and ord the least id it has; spans: disjoint [start, end) pairs of word numbers as
@@ -408,8 +427,8 @@ def find_repeats(docs: DataFrame, width: int = 35, run: int = 5, id_col: str = "
     scratch.remember(path)
     texts = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its files stay, and are what texts reads; the catalog keeps no entry
-    found = exchange(texts.select("digest", "text", "mask"), _exchange_windows(width, size, run, ranges), False, _found_windows, "digest binary, found binary")
-    lost = texts.join(found, "digest").mapInArrow(_cut(width, size, run), "digest binary, ord long, spans binary, n_removed long, kept binary")
+    found = exchange(texts.select("digest", "text", "mask"), _exchange_windows(width, size, run, ranges), False, _repeated_spans(width), "digest binary, spans binary")
+    lost = texts.select("digest", "ord", "text").join(found, "digest").mapInArrow(_cut, "digest binary, ord long, spans binary, n_removed long, kept binary")
     return lost, firsts.filter("n > 1").select("digest", "n")
 
 
@@ -419,7 +438,7 @@ def _with_copies(rows: DataFrame, copies: DataFrame, max_broadcast: int) -> Data
     return rows.join(few.withColumnRenamed("n", "copies"), "digest", "left")
 
 
-def blocks_digest(docs: DataFrame, width: int = 35, run: int = 5, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 100_000) -> DataFrame:
+def blocks_digest(docs: DataFrame, width: int = 35, run: int = 3, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 100_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     max_broadcast bounds the digests (32 bytes each) in a broadcast; beyond it the same join shuffles.
@@ -450,7 +469,7 @@ def blocks_digest(docs: DataFrame, width: int = 35, run: int = 5, id_col: str =
     )
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, run: int = 5, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 100_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, run: int = 3, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 100_000) -> DataFrame:
     """docs with repeated words cut from their texts (what is left of a text that loses some is joined by blanks).
 
     Documents that lose all their words are dropped; all other rows and columns stay.
