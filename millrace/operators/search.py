@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from millrace.functions.text import catalog_form, greek_to_latin, match_strength, osa_distance, search_form
 from millrace.operators.rank import first_per_key
 
+#: What a word counts in each field, and how headings of archives begin.
+FIELD_WEIGHTS = {"owner": 120.0, "title": 95.0, "taxonomy": 90.0, "description": 8.0}
+ARCHIVE = r"(?iu)^(archives|αρχεία)\s*[-–|:]"
+
 
 def weighted_search(df: DataFrame, query: str, fields: dict[str, float], least: float = 240, boosts: list[tuple[Column, float]] | None = None, boost_first: bool = False) -> DataFrame:
     """Rows with ``score``: the best of strength times weight over the fields, in either script, from ``least`` on.
@@ -58,13 +62,13 @@ def conjunctive_search(df: DataFrame, query: str, owner: str, title: str, taxono
     if not terms:
         return df.limit(0).withColumn("score", F.lit(0.0)).withColumn("approximate", F.lit(False))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    weights = {"owner": 120.0, "title": 95.0, "taxonomy": 90.0, "description": 8.0}
+    weights = FIELD_WEIGHTS
     sources = {"owner": text(owner), "title": text(title), "taxonomy": F.concat_ws(" ", *[text(c) for c in taxonomy]), "description": text(description)}
     forms = {c: catalog_form(x) for c, x in sources.items()}
     split = F.struct(*[F.filter(F.split(f, " "), lambda w: w != "").alias(c) for c, f in forms.items()]).alias("_words")
     whole = catalog_form(F.lit(query))
     is_owner = _without_blanks(forms["owner"]) == _without_blanks(whole)
-    archive = ~is_owner & F.rlike(text(owner), F.lit(r"(?iu)^(archives|αρχεία)\s*[-–|:]"))
+    archive = ~is_owner & F.rlike(text(owner), F.lit(ARCHIVE))
     extra = F.when(is_owner, 1000.0).otherwise(0.0) + F.when(forms["title"] == whole, 400.0).otherwise(0.0) - F.when(archive, 50.0).otherwise(0.0)
     rows = df.select("*", split, is_owner.alias("_is_owner"), extra.alias("_extra"))
 
@@ -99,26 +103,9 @@ def conjunctive_search(df: DataFrame, query: str, owner: str, title: str, taxono
     return exact.unionByName(close.join(F.broadcast(none_exact)).drop("_only"))
 
 
-def instant_search(
-    df: DataFrame,
-    query: str,
-    title: str,
-    owner: str,
-    context: str,
-    id_col: str,
-    limit: int = 8,
-    forms: list[str] | None = None,
-    bonuses: list[tuple[Column, float]] | None = None,
-) -> DataFrame:
-    """The best rows as one types, with their score.
-
-    Titles 1650, owners 1580, context 760, and 420 if exact, 330 for a prefix, 250 for a word's, 170 inside. From
-    three characters on, while fewer than ``limit`` rows match so, rows whose title or owner begins with the query's
-    letter may be near: 1180 and 1120, and 110 less 45 for each edit, plus the shorter word's letters; words of three
-    letters or more, one edit apart, from eight letters two. forms: other ways to write the query (synonyms), of
-    which the best counts; bonuses are added to any score.
-    """
-    asked = [search_form(F.lit(query.strip())), greek_to_latin(F.lit(query.strip())), *[search_form(F.lit(f)) for f in forms or ()]]
+def instant_scores(title: str, owner: str, context: str, asked: list[Column]) -> tuple[Column, Column, Column, Column]:
+    """Of a row and a query (in its forms): points for matches, points for near words, whether the title or the owner
+    begins with the query's first letter, and how long the query is."""
     size = F.length(asked[0])
 
     def plain(column: str, base: int, q: Column) -> Column:
@@ -141,6 +128,30 @@ def instant_search(
     exact = greatest([plain(c, b, q) for q in asked for c, b in ((title, 1650), (owner, 1580))] + [F.when(size > 1, plain(context, 760, q)).otherwise(0) for q in asked])
     fuzzy = greatest([near(c, b, q) for q in asked for c, b in ((title, 1180), (owner, 1120))])
     begins = reduce(lambda a, b: a | b, [F.substring(search_form(F.coalesce(F.col(c), F.lit(""))), 1, 1) == F.substring(q, 1, 1) for c in (title, owner) for q in asked])
+    return exact, fuzzy, begins, size
+
+
+def instant_search(
+    df: DataFrame,
+    query: str,
+    title: str,
+    owner: str,
+    context: str,
+    id_col: str,
+    limit: int = 8,
+    forms: list[str] | None = None,
+    bonuses: list[tuple[Column, float]] | None = None,
+) -> DataFrame:
+    """The best rows as one types, with their score.
+
+    Titles 1650, owners 1580, context 760, and 420 if exact, 330 for a prefix, 250 for a word's, 170 inside. From
+    three characters on, while fewer than ``limit`` rows match so, rows whose title or owner begins with the query's
+    letter may be near: 1180 and 1120, and 110 less 45 for each edit, plus the shorter word's letters; words of three
+    letters or more, one edit apart, from eight letters two. forms: other ways to write the query (synonyms), of
+    which the best counts; bonuses are added to any score.
+    """
+    asked = [search_form(F.lit(query.strip())), greek_to_latin(F.lit(query.strip())), *[search_form(F.lit(f)) for f in forms or ()]]
+    exact, fuzzy, begins, size = instant_scores(title, owner, context, asked)
     more = reduce(lambda a, b: a + b, [F.when(c, b).otherwise(0.0) for c, b in bonuses or []], F.lit(0.0))
     scored = df.select("*", exact.alias("_exact"), more.alias("_more"))
     found = scored.filter("_exact > 0").withColumn("score", F.col("_exact") + F.col("_more"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text, urls
 from millrace.operators import classify, linkage, search
+from millrace.operators.postings import SearchIndex
 from millrace.operators.rank import first_per_key, hash_changes
+from millrace.plans import scratch
 from millrace.plans.changes import Plan, upsert
 from millrace.plans.scratch import table
 from millrace.queries import Registry
@@ -354,3 +357,61 @@ def cascading_match(spark, sf):
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("own"))
     regions = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("own"))
     return linkage.cascading_match(left, [("NATION", nations), ("REGION", regions)], [("name", "own")], "id").drop("name")
+
+
+#: Queries over parts: a name with a type's first letters, names with two letters swapped, brands without their sign.
+ASKED = """SELECT DISTINCT p_name || ' ' || lower(p_type[1:3]) AS query FROM part UNION SELECT DISTINCT p_name[2] || p_name[1] || p_name[3:] || ' ' || lower(p_type) FROM part
+ UNION SELECT DISTINCT replace(lower(p_brand), '#', '') FROM part"""
+
+
+@query(f"""
+WITH q AS ({ASKED}), t AS (SELECT DISTINCT query, unnest(string_split(query, ' ')) AS term FROM q), n AS (SELECT query, count(*) AS n FROM t GROUP BY 1),
+w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, 95.0 AS weight FROM part UNION ALL SELECT p_partkey, lower(p_type), 90.0 FROM part UNION ALL SELECT p_partkey, unnest(string_split(lower(p_brand), '#')), 120.0 FROM part),
+m AS (SELECT term, word, CASE WHEN word = term THEN 1.0 WHEN length(term) >= 3 AND starts_with(word, term) THEN 0.6 ELSE 0 END AS plain,
+ CASE WHEN least(length(term), length(word)) >= 4 AND damerau_levenshtein(word, term) <= CASE WHEN length(term) >= 8 THEN 2 ELSE 1 END THEN 0.35 ELSE 0 END AS near FROM (SELECT DISTINCT term FROM t), (SELECT DISTINCT word FROM w)),
+s AS (SELECT query, p_partkey, term, max(weight * plain) AS plain, max(weight * greatest(plain, near)) AS best FROM t JOIN m USING (term) JOIN w USING (word) WHERE plain + near > 0 GROUP BY ALL),
+o AS (SELECT query, p_partkey, 1000.0 AS owns FROM q JOIN part ON replace(lower(p_brand), '#', '') = replace(query, ' ', '')),
+r AS (SELECT query, p_partkey, sum(plain) AS plain, count(*) FILTER (plain > 0) AS k, sum(best) AS best, count(*) AS met FROM s GROUP BY ALL),
+f AS (SELECT query, p_partkey, coalesce(owns, 0) + coalesce(plain, 0) AS plain, coalesce(owns, 0) + coalesce(best, 0) AS best, coalesce(k = n, false) OR owns IS NOT NULL AS exact, coalesce(met = n, false) OR owns IS NOT NULL AS near
+ FROM r FULL JOIN o USING (query, p_partkey) JOIN n USING (query))
+SELECT query, p_partkey, CAST(CASE WHEN exact THEN plain ELSE best END AS DOUBLE) AS score, NOT exact AS approximate FROM f WHERE exact OR (near AND query NOT IN (SELECT query FROM f WHERE exact))""")
+def search_many(spark, sf):
+    """Conjunctive search for a frame of queries, by a written index."""
+    rows = part(spark, sf)
+    named = rows.select(F.concat_ws(" ", "p_name", F.lower(F.substring("p_type", 1, 3))).alias("query"))
+    name = F.col("p_name")
+    swapped = rows.select(F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substr(name, F.lit(3)), F.lit(" "), F.lower("p_type")).alias("query"))
+    brands = rows.select(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")).alias("query"))
+    return part_index(spark, sf).conjunctive(named.union(swapped).union(brands), "query")
+
+
+def part_index(spark, sf):
+    path = f"{scratch.shared_dir(spark)}/millrace/part-index-{uuid.uuid4().hex}"
+    scratch.remember(path)
+    SearchIndex.build(part(spark, sf), path, "p_brand", "p_name", ["p_type"], "p_name", "p_partkey", context="p_type", shards=8)
+    return SearchIndex.open(spark, path)
+
+
+def _points(text: str, base: int) -> str:
+    return f"CASE WHEN {text} = q THEN {base + 420} WHEN starts_with({text}, q) THEN {base + 330} WHEN contains(' ' || {text}, ' ' || q) THEN {base + 250} WHEN contains({text}, q) THEN {base + 170} ELSE 0 END"
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT p_name[1:5] AS query FROM part UNION SELECT DISTINCT p_name[1:3] || p_name[3:] FROM part UNION SELECT DISTINCT p_type[1:2] FROM part), q AS (SELECT query, trim(lower(query)) AS q FROM a),
+f AS (SELECT *, regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ') AS brand FROM part),
+x AS (SELECT query, q, p_partkey, p_name, p_brand, brand, greatest({_points('p_name', 1650)}, {_points('brand', 1580)}, CASE WHEN length(q) > 1 THEN {_points('lower(p_type)', 760)} ELSE 0 END) AS exact FROM q, f),
+full_ones AS (SELECT query FROM x WHERE exact > 0 GROUP BY 1 HAVING count(*) >= 8),
+v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM f UNION SELECT DISTINCT unnest(string_split(brand, ' ')) FROM f), u AS (SELECT query, unnest(string_split(q, ' ')) AS own FROM q),
+p AS (SELECT query, word, max(110 - 45 * levenshtein(word, own) + least(length(word), length(own))) AS points FROM u, v WHERE length(word) >= 3 AND length(own) >= 3 AND abs(length(word) - length(own)) <= 2
+ AND levenshtein(word, own) <= CASE WHEN greatest(length(word), length(own)) >= 8 THEN 2 ELSE 1 END GROUP BY ALL),
+w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, 1180 AS base FROM f UNION ALL SELECT p_partkey, unnest(string_split(brand, ' ')), 1120 FROM f),
+n AS (SELECT query, p_partkey, max(base + points) AS near FROM w JOIN p USING (word) GROUP BY ALL),
+s AS (SELECT query, p_partkey, p_name, p_brand, exact AS score FROM x WHERE exact > 0 UNION ALL SELECT query, p_partkey, p_name, p_brand, near FROM x JOIN n USING (query, p_partkey)
+ WHERE exact = 0 AND length(q) >= 3 AND q[1] IN (p_name[1], brand[1]) AND query NOT IN (FROM full_ones))
+SELECT query, p_partkey, CAST(score AS INT) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, p_brand, p_name, p_partkey) AS rank FROM s QUALIFY rank <= 8""")
+def instant_many(spark, sf):
+    """Search as one types for a frame of queries (beginnings, doubled letters, two letters of a type), by a written index."""
+    rows, name = part(spark, sf), F.col("p_name")
+    doubled = rows.select(F.concat(F.substring(name, 1, 3), F.substr(name, F.lit(3))).alias("query"))
+    asked = rows.select(F.substring(name, 1, 5).alias("query")).union(doubled).union(rows.select(F.substring("p_type", 1, 2).alias("query")))
+    return part_index(spark, sf).instant(asked, "query").select("query", "p_partkey", F.col("score").cast("int").alias("score"), "rank")
