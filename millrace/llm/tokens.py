@@ -7,7 +7,8 @@ border, and updates the sums on the way to the root; the rest of the text is nev
 touch a common leaf encode it once, all together.
 
 Ids are those that the tokenizers library gives without special tokens around a text: an added token's string
-in a text is that token. Whole texts are encoded, however long; a text without any blank is one leaf.
+in a text is that token. Whole texts are encoded, however long. A text without any blank (or one of tabs alone) is
+one leaf, and encoded whole at each edit.
 
 Defined results: a null text is empty and has no tokens; edits refer to the text before all edits of the batch;
 edits that overlap an earlier one, are out of order, or lie outside of the text are ignored and counted
@@ -35,6 +36,13 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# Fixed value: white space as the pre-tokenizer's pattern has it.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space in a row from which on it is encoded by itself, as the pattern can't take back as much as a million.
+_RUN = 100_000
+_LONG_RUN = re.compile(f"[{_WHITE}]{{{_RUN},}}")
+
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer file (JSON), by tiktoken's merging where its ids follow the order of merges.
 
@@ -61,6 +69,8 @@ class Encoder:
             letters = _byte_letters()
             ranked = {bytes(letters[c] for c in word): i for word, i in vocab.items()}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranked, special_tokens=special)
+            self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranked, special_tokens={})
+            self.special = tuple(special)
         else:
             from tokenizers import Tokenizer
 
@@ -68,9 +78,18 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """The text's ids, without special tokens around it, as unsigned 32-bit integers."""
-        if self.fast:
-            return self.fast.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not self.fast:
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        out, at = [np.zeros(0, np.uint32)], 0
+        # a long run of white space is a pre-token, but for its last character if more text follows
+        for run in _LONG_RUN.finditer(text) if len(text) >= _RUN else ():
+            end = run.end() - (run.end() < len(text) and not text.startswith(self.special, run.end()))
+            out += [self._plain(text[at : run.start()]), self.whole.encode_to_numpy(text[run.start() : end])]
+            at = end
+        return np.concatenate([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
 
     def count(self, text: str) -> int:
         return len(self.ids(text))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from millrace.llm import tokens
+from millrace.llm import packing, tokens
 from millrace.llm.registry import MASKS
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,3 +71,21 @@ def test_long_texts_without_blanks(spark):
     assert time.perf_counter() - start < 60
     assert out[3].n_edits == 100_000 and out[3].text == "日<number>本" * 100_000 and out[3].n_chars_encoded <= 2 * len(out[3].text)
     assert out[1].n_tokens == tokens.encoder(PATH).count(rows[0][1]) and out[1].n_edits == 0
+
+
+def test_long_runs_of_white_space_and_texts_without_any(spark):
+    library, enc = Tokenizer.from_file(PATH), tokens.encoder(PATH)
+    same = lambda t: enc.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    n = tokens._RUN
+    for run in (" ", "\n", "\t", " \n\t", "　", "\xa0 "):
+        long_run = run * (n // len(run) + 3)
+        for text in (long_run, "a" + long_run, long_run + "b", f"a{long_run}b, c{long_run}{long_run}", f"a {long_run}<|endoftext|>{long_run}'s", f"<|endoftext|>{long_run}"):
+            assert same(text), (run, text[:3], text[-3:])
+    assert same("日本語" * 20_000) and same("a\t" * 50_000)
+    texts = [" " * 10_000_000, "x" + "\n" * 1_000_000 + "y", "\t" * 1_000_000 + "z"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    counts = {r.doc_id: r.n for r in packing.pack(docs, PATH).groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "n").collect()}
+    assert counts == {i: enc.count(t) + 1 for i, t in enumerate(texts)}
+    edits = tokens.mask_edits(docs, [(r"y", "yy")])
+    found = tokens.apply_edits(tokens.build_trees(edits, PATH), PATH).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {i: enc.count(t.replace("y", "yy")) for i, t in enumerate(texts)}
