@@ -130,7 +130,7 @@ def pack(
             at += 1 << power
     starts = np.array(starts, np.int64)
     places = layout(lengths, window, shares, max_queues).select("row", F.col("start").alias("place"))
-    rows = tokens.join(places.hint("shuffle_hash"), "row").select("doc_id", "source", "n_tokens", "ids", "place")
+    rows = tokens.join(places, "row").select("doc_id", "source", "n_tokens", "ids", "place")
 
     def cuts(place: int, n: int) -> np.ndarray:
         """Where, in the stream, pieces of this stretch begin."""
