@@ -22,15 +22,17 @@ Defined results: a null page is empty and has an empty text; a page on a host of
 host can't be read, has no template and is read by its elements only; pages that repeat the first page word for
 word don't count as evidence; repeated rows are extracted one by one; an empty table gives no rows. Whole pages
 are read in time that grows with their length, but for the matching of subtrees: pairs of subtrees with more than
-``_MANY`` pairs of nodes count as their labels alone when children are matched. Elements nested deeper than
-``DEPTH`` become siblings; no text is lost by that. Other columns are ignored.
+``_MANY`` pairs of nodes count as their labels alone when children are matched. Elements may be nested as deep as a
+page has it. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,9 +49,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr br".split()
+    " span strike strong sub sup time tt u var wbr br math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
-SKIPPED = RAW | set("head nav footer aside form button select option input svg math canvas template dialog object audio video menu".split())
+SKIPPED = RAW | set("head nav footer aside form button select option input svg canvas template dialog object audio video menu".split())
 CLOSED_BY = {
     "p": set("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table td th tr ul".split()),
     "li": {"li"},
@@ -60,13 +62,16 @@ CLOSED_BY = {
     "th": {"td", "th", "tr", "tbody", "tfoot"},
     "option": {"option", "optgroup"},
 }
+CLOSES = {tag: [t for t, by in CLOSED_BY.items() if tag in by] for tag in set().union(*CLOSED_BY.values())}
 BARRIERS = set("ul ol dl table article section div main body html td th nav aside footer header form blockquote".split())
 SIDE_WORDS = set(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar side rail footer masthead topbar toolbar ad ads"
     " adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice"
     " notices notification alert popup modal overlay share sharing social related recommended recommendations comment comments disqus respond"
-    " discussion replies newsletter subscribe subscription signup login signin register widget widgets search skip disclaimer copyright legal tags metadata".split()
+    " discussion replies newsletter subscribe subscription signup login signin register widget widgets search skip disclaimer copyright tags".split()
 )
+#: First words of class names that say what an element is beside, or is part of, not what it is.
+ABOUT_WORDS = set("no not non without has have with is main text content article post page layout body".split())
 SIDE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note status".split())
 MAIN_WORDS = set("content article post entry story main articlebody maincontent text".split())
 
@@ -74,11 +79,10 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 COMMENT_WORDS = set("comment comments disqus respond discussion replies".split())
+ALWAYS_SIDE = COMMENT_WORDS | set("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs footer cookie cookies consent".split())
 HEADINGS = {"h1", "h2"}
 CONTAINERS = set("div section ul ol dl table tbody tr td aside nav header footer form fieldset".split())
 TEXT = "#"
-#: Elements nested deeper than this become siblings.
-DEPTH = 200
 #: Pairs of nodes up to which two subtrees are compared node by node to weigh a match of theirs.
 _MANY = 250_000
 #: Pairs of children up to which their matching is traced in a table; longer lists are halved.
@@ -91,29 +95,49 @@ class Node:
     Of a host's tree, ``at`` is the node's number, ``fixed`` marks template text and ``role`` content and what is left out.
     """
 
-    __slots__ = ("at", "chars", "children", "fixed", "label", "links", "role", "shape", "side", "size", "tag", "text", "words")
+    __slots__ = ("articles", "at", "chars", "children", "fixed", "label", "links", "named", "role", "shape", "side", "size", "tag", "text", "words")
 
     def __init__(self, tag: str, text: str = "", words: frozenset = frozenset(), side: bool = False):
         self.tag, self.text, self.words, self.side = tag, text, words, side
         self.children: list[Node] = []
         self.label, self.shape, self.size, self.fixed, self.role = tag, 0, 1, False, ""
-        self.at = self.chars = self.links = 0
+        self.at = self.chars = self.links = self.articles = 0
+        self.named = False
+
+
+def _names_side(names: str) -> bool:
+    """Whether a class, an id or the like says that an element isn't text."""
+    for name in names.split():
+        words = _WORDS.findall(name)
+        if words and words[0] not in ABOUT_WORDS and not SIDE_WORDS.isdisjoint(words):
+            return True
+    return False
 
 
 def _element(tag: str, attrs: str) -> Node:
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
-    words = frozenset(_WORDS.findall(" ".join(found.get(k, "") for k in ("class", "id", "itemprop"))))
+    names = " ".join(found.get(k, "") for k in ("class", "id", "itemprop")) if found else ""
+    words = frozenset(_WORDS.findall(names))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    side = tag in SKIPPED or hidden or found.get("role") in SIDE_ROLES or bool(words & SIDE_WORDS)
-    node = Node(tag, words=words | ({"main"} if found.get("role") == "main" else set()), side=side and tag not in ("html", "body"))
+    side = tag in SKIPPED or hidden or found.get("role") in SIDE_ROLES
+    named = not side and _names_side(names)
+    node = Node(tag, words=words | ({"main"} if found.get("role") == "main" else set()), side=(side or named) and tag not in ("html", "body"))
+    node.named = named
     node.label = f"{tag}.{' '.join(sorted(words))}" if words else tag
     return node
 
 
 def parse(html: str | None) -> Node:
     """The tree of a page; forgiving about what isn't closed. Scripts, comments and the like leave nothing."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # subtrees are weighed by plain calls, which take no C stack
     root = Node("html")
     stack, at, html = [root], 0, html or ""
+    opened: Counter = Counter()  # elements of the stack, so that it isn't searched for what isn't there
+
+    def close(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while m := _TOKEN.match(html, at):
         at = m.end()
         closing, tag, attrs, text = m.groups()
@@ -123,9 +147,9 @@ def parse(html: str | None) -> Node:
             continue
         elif closing:
             tag = tag.lower()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BARRIERS and tag not in BARRIERS:
                     break
@@ -137,16 +161,17 @@ def parse(html: str | None) -> Node:
                 continue
             if tag in ("html", "body"):
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in CLOSES.get(tag, ())) else ():
                 if tag in CLOSED_BY.get(stack[i].tag, ()):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BARRIERS:
                     break
             node = _element(tag, attrs)
             stack[-1].children.append(node)
-            if tag not in VOID and not attrs.rstrip().endswith("/") and len(stack) < DEPTH:
+            if tag not in VOID and not attrs.rstrip().endswith("/"):
                 stack.append(node)
+                opened[tag] += 1
     return _finish(root)
 
 
@@ -169,9 +194,27 @@ def _finish(root: Node) -> Node:
                 kids.append(k)
         node.children = kids
         todo += kids
+    held: dict[int, tuple[int, int]] = {}
     for node in reversed(order):
         node.shape = hash((node.label, tuple(k.shape for k in node.children if k.tag != TEXT or k.text.strip())))
         node.size = 1 + sum(k.size for k in node.children)
+        own = [held.pop(id(k)) for k in node.children if k.tag != TEXT]
+        articles = (node.tag in ("article", "main") or "articlebody" in node.words) + sum(a for a, _ in own)
+        letters = sum(len(k.text.strip()) for k in node.children if k.tag == TEXT) + sum(n for _, n in own)
+        if node.side and not node.named:
+            articles = letters = 0
+        if node.tag != TEXT:
+            held[id(node)] = articles, letters
+        node.articles, node.chars = articles, letters
+    # a class name doesn't make a side of what holds all of a page's articles, or (but for menus and comments) most of its text if it has none
+    todo = [root] if any(n.named for n in order) else []
+    while todo:
+        node = todo.pop()
+        if node.named and node.side and (node.articles == root.articles if root.articles else 2 * node.chars > root.chars and ALWAYS_SIDE.isdisjoint(node.words)):
+            node.side = False
+        todo += [k for k in node.children if k.tag != TEXT]
+    for node in order:
+        node.chars = 0
     return root
 
 
@@ -305,12 +348,12 @@ def clean(text: str) -> str:
 
 
 def dump_tree(root: Node) -> str:
-    """A tree as JSON: for each node, in order, its depth, label and (of text) a digest; with a mark for template text."""
+    """A tree as JSON: for each node, in order, its depth, label, (of text) a digest, and whether it says that it isn't text."""
     rows, todo = [], [(root, 0)]
     while todo:
         node, depth = todo.pop()
         digest = zlib.crc32(clean(node.text).encode("utf-8", "surrogatepass")) if node.tag == TEXT else 0
-        rows.append([depth, node.label, digest])
+        rows.append([depth, node.label, digest, int(node.side)])
         todo += [(k, depth + 1) for k in reversed(_kids(node))]
     return json.dumps(rows, ensure_ascii=False, separators=(",", ":"))
 
@@ -318,10 +361,10 @@ def dump_tree(root: Node) -> str:
 def load_tree(dumped: str, fixed: list[int] | None = None, content: int | None = None, dropped: list[int] | None = None) -> list[Node]:
     """The nodes of a dumped tree, in order; ``text`` is the digest. The other parameters are numbers of nodes."""
     nodes, path = [], []
-    for depth, label, digest in json.loads(dumped):
+    for depth, label, digest, side in json.loads(dumped):
         tag, _, words = label.partition(".")
         node = Node(tag, text=str(digest), words=frozenset(words.split()))
-        node.side = tag in SKIPPED or bool(node.words & SIDE_WORDS)
+        node.side = bool(side)
         node.label, node.at = label, len(nodes)
         del path[depth:]
         if path:
@@ -467,7 +510,13 @@ def _is_header(node: Node) -> bool:
 
 
 def _has_heading(node: Node) -> bool:
-    return node.tag in HEADINGS or any(_has_heading(k) for k in node.children)
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if node.tag in HEADINGS:
+            return True
+        todo += node.children
+    return False
 
 
 def page_text(html: str | None, template: list[Node] | None = None) -> str:

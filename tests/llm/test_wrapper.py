@@ -125,3 +125,16 @@ def test_names_only_decide_what_structure_leaves_open(spark):
     got = {r.page_id: r.text for r in wrapper.extract_text(spark.createDataFrame(widget + talk, "page_id long, url string, html string")).collect()}
     assert all(str(i) in got[i] and len(got[i].split("\n")) == 2 for i in range(20))
     assert all(got[100 + i].startswith(f"t{i}\n") and len(got[100 + i].split()) == 21 for i in range(20))
+
+
+def test_depth_and_class_names_lose_no_text():
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    assert wrapper.page_text(f"<body><article><p>one</p>{deep}<p>two</p></article>") == "one\ndeep\ntwo"
+    spans = "<span>" * 250 + "<nav>menu</nav>" + "</span>" * 250
+    assert wrapper.page_text(f"<body>{spans}<article><p>one</p></article>") == "one"
+    article = "<article><h1>T</h1><p class='text-banner'>one</p><section class='legal'>two</section><p>x <math><mi>y</mi></math> z</p></article>"
+    for around in ('<div class="layout has-sidebar">', '<div id="page" class="no-sidebar">', '<main class="with-sidebar">', '<div class="sidebar">'):
+        assert wrapper.page_text(f"<body>{around}{article}</body>") == "T\none\ntwo\nx y z", around
+    related = '<div class="related"><article><p>other</p></article></div>'
+    assert wrapper.page_text(f"<body>{article}{related}</body>") == "T\none\ntwo\nx y z"
+    assert wrapper.page_text('<body><div class="comments"><p>much longer than the text of the page</p></div><div><p>text</p></div>') == "text"
