@@ -20,7 +20,7 @@ between groups is lost, and groups are exact.
 
 Defined results: null or empty texts and texts without words have an empty set, no links, and their own id as
 group; texts with fewer words than a shingle have one shingle, of all of them; rows without an id have no group;
-rows that repeat an id are one document of whichever texts they have; an empty table gives no rows. Whole texts
+rows that repeat an id are one document that has all of their texts, so their groups are one; an empty table gives no rows. Whole texts
 are read, however long: a text takes about ten times its size in one task's memory. Other columns are ignored.
 ``docs`` should be a scan or a written table: a batch of texts is one unit of the exchange, and must come out
 the same if a lost executor's task is run again.
@@ -329,7 +329,9 @@ def link_groups(
 
     have: list[DataFrame] = []
     tried: list[DataFrame] = []
-    labels, most, n_members = None, 1, 10 * heads.count()
+    labels, most, n_members = _by_id(rows), 1, 10 * heads.count()
+    if labels is not None:
+        left = left.drop("label").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     while True:
         # what is left: buckets with members of different groups, without the pivots so far
         active = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token")
@@ -375,6 +377,15 @@ def link_groups(
     return linked.unionByName(rows.filter("cls is null").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id")))
 
 
+def _by_id(rows: DataFrame) -> DataFrame | None:
+    """cls and label of classes that are linked as rows of one id have them; None if there are none."""
+    known = rows.filter("doc_id is not null and cls is not null")
+    several = known.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a != b").select("doc_id", "a")
+    links = write_table(known.join(several, "doc_id").filter("cls != a").select("a", F.col("cls").alias("b")).distinct(), "same_id")
+    n = links.count()
+    return connected(links, n).select(F.col("node").alias("cls"), F.col("group").alias("label")) if n else None
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
     """docs with one document of each group, that of the smallest id. Rows without an id stay. No column name is reserved."""
     found = link_groups(docs, width, percent, id_col, text_col, max_broadcast)

@@ -115,3 +115,14 @@ def test_one_word_without_blanks_and_clashing_columns(spark):
     assert left.columns == ["doc_id", "text", "gone", "row", "label"]
     assert sorted((r.gone, r.row) for r in left.collect()) == [(1, 1), (2, 2), (4, 4), (5, 5)]
     assert jaccard.drop_near_copies(frame.limit(0)).count() == 0
+
+
+def test_words_made_to_collide_and_ids_with_several_texts(spark):
+    x, y = "a", "b"
+    for _ in range(10):  # Thue-Morse words: equal under any polynomial modulo a power of two
+        x, y = x + y, y + x
+    docs = spark.createDataFrame([(1, f"{x} p q"), (2, f"{y} p q")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.link_groups(docs, width=3, percent=90).collect()} == {1: 1, 2: 2}
+    rows = [(5, "one two three four"), (5, "six seven eight nine"), (3, "one two three four"), (9, "six seven eight nine"), (7, "ten eleven twelve"), (None, "one two three four")]
+    found = jaccard.link_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found if r.doc_id) == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
