@@ -7,7 +7,8 @@ corpus, membership is exact for each of them, and no URL takes part in a join. A
 broadcast, which ``max_bytes`` bounds: where they would be larger, membership is found by a join on the keys.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and keys that no rule can name;
-repeated URLs are judged one by one; an empty table gives an empty result. Other columns are ignored.
+repeated URLs are judged one by one; an empty table gives an empty result. Other columns are ignored. URLs may be of
+any length: of a host's suffixes, only those with as many labels as some listed key has are looked up.
 """
 
 from __future__ import annotations
@@ -32,14 +33,16 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, _PARTS, 1), _UPPER, _LOWER), F.regexp_extract(url, _PARTS, 2)
 
 
-def url_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
+def url_keys(host: Column, path: Column, path_lengths: list[int], most_labels: int | None = None) -> Column:
     """Keys of a URL: each host suffix with each of the path's prefixes of these lengths, the longest first,
-    then (if 0 is among the lengths) the bare suffixes, the longest first.
+    then (if 0 is among the lengths) the bare suffixes, the longest first. Suffixes have most_labels labels at most.
 
     A key is suffix and prefix in one string. A path that isn't empty starts with ``/``, and a host has none,
     so a key can be read in one way only.
     """
     labels = F.split(host, "\\.")
+    if most_labels is not None:
+        labels = F.slice(labels, -F.least(F.size(labels), F.lit(max(1, most_labels))), F.size(labels))
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
@@ -192,8 +195,9 @@ def filter_urls(
     lengths = sorted({len(r) - r.index("/") for _, r in rules} | {0})
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = parts.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths)).withColumnRenamed("page_id", "id")
     blocked = listed.filter("host != ''").select(F.col("host").alias("key"))
+    labels = max([blocked.agg(F.max(F.size(F.split("key", "\\.")))).first()[0] or 1, *(r[: r.index("/")].count(".") + 1 for _, r in rules)])
+    urls = parts.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths, labels)).withColumnRenamed("page_id", "id")
     ruled = spark.createDataFrame([(r,) for _, r in rules], "key string")
     found = member_keys(urls, ruled.unionByName(blocked).distinct(), max_bytes)
     # a rule has a path, a listed host has none

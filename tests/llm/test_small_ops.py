@@ -281,3 +281,11 @@ def test_perspectives(spark):
             if who == "ann":
                 assert "<|im_start|>user name=bob_b\nYo<|im_end|>\n" in whole
     assert perspectives.rotate_perspectives(frame.limit(0)).count() == 0
+
+
+def test_a_host_of_many_labels(spark):
+    host = ".".join(["a"] * 50_000) + ".ads.example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/x"), (2, "http://" + "b." * 60_000 + "org/"), (3, "http://ads.example.com/")], "page_id long, url string")
+    listed = spark.createDataFrame([("ads.example.com",)], "host string")
+    found = urlcascade.filter_urls(pages, [("allow", "org/"), ("block", "net/x")], listed).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in found} == {1: (None, "block"), 2: ("org/", "allow"), 3: (None, "block")}
