@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,32 +190,6 @@ def components(links: DataFrame) -> DataFrame:
     return connected(links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")))
 
 
-def greedy_groups(df: DataFrame, keys: list[str], id_col: str, text: str, order: str, threshold: float) -> DataFrame:
-    """keys, id_col, anchor: rows of a block in order join the first anchor whose tokens overlap theirs enough, else become one.
-
-    The overlap is shared tokens over the smaller set. It isn't transitive, so a block is folded in one go:
-    blocks must be small by nature (one merchant's places in one city).
-    """
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, id_col])
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def fold(block: pd.DataFrame) -> pd.DataFrame:
-        anchors: list[tuple[object, frozenset]] = []
-        out = []
-        for row in block.sort_values([order, id_col]).itertuples(index=False):
-            mine = frozenset((getattr(row, text) or "").split())
-            found = next((a for a, words in anchors if mine and words and len(mine & words) / min(len(mine), len(words)) >= threshold), None)
-            if found is None:
-                found = getattr(row, id_col)
-                anchors.append((found, mine))
-            out.append(found)
-        ordered = block.sort_values([order, id_col])[[*keys, id_col]].copy()
-        ordered["anchor"] = out
-        return ordered
-
-    return df.select(*keys, id_col, text, order).groupBy(*keys).applyInPandas(fold, f"{fields}, anchor {kind}")
-
-
 def best_match(df: DataFrame, key: str, status: str, first_status: str, relevance: str, seq: str) -> DataFrame:
     """Of each key the row of the preferred status, then of the highest relevance, then the first."""
     return first_per_key(df, [key], [(F.col(status) == first_status).desc(), F.desc(relevance), F.col(seq)])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text, urls
-from millrace.operators import classify, linkage, search
+from millrace.operators import anchors, classify, linkage, search
 from millrace.operators.postings import SearchIndex
 from millrace.operators.rank import first_per_key, hash_changes
 from millrace.plans import scratch
@@ -264,11 +264,30 @@ def upsert_rows(spark, sf):
     return upsert(old, new, ["c_custkey"])
 
 
-@query()
+#: The walk through each block, a row of every block at a time, as SQL.
+FOLD = """
+WITH RECURSIVE r AS (SELECT p_brand, p_type, p_partkey, list_distinct([string_split(p_name, ' ')[1], p_type, 's' || CAST(p_size % 4 AS VARCHAR)]) AS w, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY {order}, p_partkey) AS k FROM ({rows})),
+f AS (SELECT p_brand, p_type, k, p_partkey, p_partkey AS anchor, [struct_pack(id := p_partkey, w := w)] AS anchors FROM r WHERE k = 1
+ UNION ALL
+ SELECT p_brand, p_type, k, p_partkey, coalesce(found, p_partkey), CASE WHEN found IS NULL THEN list_append(anchors, struct_pack(id := p_partkey, w := w)) ELSE anchors END FROM (
+  SELECT r.*, f.anchors, list_filter(f.anchors, lambda a: len(list_intersect(a.w, r.w)) / least(len(a.w), len(r.w)) >= {share})[1].id AS found FROM f JOIN r ON r.p_brand = f.p_brand AND r.p_type = f.p_type AND r.k = f.k + 1))
+"""
+
+
+@query(FOLD.format(order="p_size", rows="FROM part", share=0.6) + "SELECT p_brand, p_type, p_partkey, anchor FROM f")
 def greedy_address_groups(spark, sf):
     words = F.concat_ws(" ", F.split("p_name", " ")[0], "p_type", F.concat(F.lit("s"), (F.col("p_size") % 4).cast("string")))
     rows = part(spark, sf).select("p_brand", "p_type", "p_partkey", words.alias("words"), F.col("p_size").alias("place"))
-    return linkage.greedy_groups(rows, ["p_brand", "p_type"], "p_partkey", "words", "place", 0.6)
+    return anchors.greedy_groups(rows, ["p_brand", "p_type"], "p_partkey", "words", "place", 0.6)
+
+
+@query(FOLD.format(order="rank", rows="SELECT *, -(p_size % 5) AS rank FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type, p_name, p_size % 4 ORDER BY rank, p_partkey) = 1", share=0.6)
+ + "SELECT p_brand, p_type, p_partkey FROM f WHERE anchor = p_partkey")
+def two_pass_places(spark, sf):
+    """One row of each exact point, by source; then one of those in a block that are much alike."""
+    words = F.concat_ws(" ", F.split("p_name", " ")[0], "p_type", F.concat(F.lit("s"), (F.col("p_size") % 4).cast("string")))
+    rows = part(spark, sf).withColumn("words", words).withColumn("point", F.concat_ws("|", "p_brand", "p_type", "p_name", F.col("p_size") % 4))
+    return anchors.two_pass_places(rows, ["point"], ["p_brand", "p_type"], "p_partkey", "words", F.col("p_size") % 5, 0.6).select("p_brand", "p_type", "p_partkey")
 
 
 @query("""SELECT c_nationkey, CASE WHEN n_cust >= 60 AND n_big > 0 THEN 'COVERED' WHEN n_cust > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS coverage FROM (SELECT n_nationkey AS c_nationkey, count(c_custkey) AS n_cust, count(*) FILTER (c_acctbal > 9000) AS n_big FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)""")

@@ -24,7 +24,6 @@ def plain(value):
 
 #: Queries that SQL can't tell, each compared with a plain version elsewhere in the tests.
 BRUTE_FORCE = {
-    "greedy_address_groups": "tests/test_operators.py",
     "op1_pack": "tests/llm/test_packing.py",
     "op2_edited_counts": "tests/llm/test_tokens.py",
     "op3_page_text": "tests/llm/test_wrapper.py",

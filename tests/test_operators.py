@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, places, text, urls
-from millrace.operators import find, linkage, measure, rank, search
+from millrace.operators import anchors, find, linkage, measure, rank, search
 from millrace.operators.where import Ref, Relation, where
 from millrace.plans import changes
 from millrace.sources import files
@@ -152,7 +152,7 @@ def test_linkage(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(90, 99)], "a int, b int")
     assert {r.node: r.group for r in linkage.components(links).collect()} == {**{i: 0 for i in range(31)}, 90: 90, 99: 90}
     places = spark.createDataFrame([("c", 1, "a b c d", 1), ("c", 2, "a b c x", 2), ("c", 3, "x y z a", 3), ("d", 4, "a b", 1), ("c", 5, None, 9)], "city string, id int, words string, place int")
-    assert {(r.id, r.anchor) for r in linkage.greedy_groups(places, ["city"], "id", "words", "place", 0.6).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
+    assert {(r.id, r.anchor) for r in anchors.greedy_groups(places, ["city"], "id", "words", "place", 0.6).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (3,)], "x int")
     assert sorted((r.x, r.side) for r in measure.reconcile(a, b).collect()) == [(1, "left"), (2, "left"), (3, "right")]
 
