@@ -194,18 +194,21 @@ def _finish(root: Node) -> Node:
                 kids.append(k)
         node.children = kids
         todo += kids
-    held: dict[int, tuple[int, int]] = {}
     for node in reversed(order):
-        node.shape = hash((node.label, tuple(k.shape for k in node.children if k.tag != TEXT or k.text.strip())))
-        node.size = 1 + sum(k.size for k in node.children)
-        own = [held.pop(id(k)) for k in node.children if k.tag != TEXT]
-        articles = (node.tag in ("article", "main") or "articlebody" in node.words) + sum(a for a, _ in own)
-        letters = sum(len(k.text.strip()) for k in node.children if k.tag == TEXT) + sum(n for _, n in own)
-        if node.side and not node.named:
-            articles = letters = 0
-        if node.tag != TEXT:
-            held[id(node)] = articles, letters
-        node.articles, node.chars = articles, letters
+        shapes, size, letters = [], 1, 0
+        articles = 1 if node.tag in ("article", "main") or "articlebody" in node.words else 0
+        for k in node.children:
+            size += k.size
+            if k.tag != TEXT:
+                shapes.append(k.shape)
+                letters += k.chars
+                articles += k.articles
+            elif n := len(k.text.strip()):
+                shapes.append(k.shape)
+                letters += n
+        node.shape, node.size = hash((node.label, tuple(shapes))), size
+        if not node.side or node.named:
+            node.articles, node.chars = articles, letters
     # a class name doesn't make a side of what holds all of a page's articles, or (but for menus and comments) most of its text if it has none
     todo = [root] if any(n.named for n in order) else []
     while todo:
@@ -213,8 +216,6 @@ def _finish(root: Node) -> Node:
         if node.named and node.side and (node.articles == root.articles if root.articles else 2 * node.chars > root.chars and ALWAYS_SIDE.isdisjoint(node.words)):
             node.side = False
         todo += [k for k in node.children if k.tag != TEXT]
-    for node in order:
-        node.chars = 0
     return root
 
 
