@@ -107,7 +107,8 @@ def pairs_in_block(df: DataFrame, id_col: str, block: str, columns: list[str], k
     return both.filter(keep(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
 
 
-def _suffixes(host: Column) -> Column:
+def host_suffixes(host: Column) -> Column:
+    """A host and each of the domains that it is below, the longest first."""
     labels = F.split(host, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
@@ -117,8 +118,8 @@ def site_pairs(left: DataFrame, right: DataFrame, left_host: str, right_host: st
 
     Columns of both sides must have different names.
     """
-    below = left.withColumn("_suffix", F.explode(_suffixes(F.col(left_host)))).join(right, F.col("_suffix") == F.col(right_host)).drop("_suffix")
-    above = right.withColumn("_suffix", F.explode(_suffixes(F.col(right_host)))).filter(F.col("_suffix") != F.col(right_host))
+    below = left.withColumn("_suffix", F.explode(host_suffixes(F.col(left_host)))).join(right, F.col("_suffix") == F.col(right_host)).drop("_suffix")
+    above = right.withColumn("_suffix", F.explode(host_suffixes(F.col(right_host)))).filter(F.col("_suffix") != F.col(right_host))
     above = above.join(left, F.col("_suffix") == F.col(left_host)).drop("_suffix")
     return below.unionByName(above)
 
@@ -134,7 +135,7 @@ def registrable_domains(df: DataFrame, host: str, rules: DataFrame) -> DataFrame
     kind = F.when(F.startswith("rule", F.lit("!")), -1).when(F.startswith("rule", F.lit("*.")), 1).otherwise(0)
     listed = rules.select(plain.alias("_suffix"), kind.alias("_more")).distinct()
     hosts = df.select(F.col(host).alias("_host")).distinct().filter("_host != ''")
-    found = hosts.select("_host", F.explode(_suffixes(F.col("_host"))).alias("_suffix")).join(listed, "_suffix")
+    found = hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_suffix")).join(listed, "_suffix")
     size = F.size(F.split("_suffix", r"\.")) + F.col("_more")
     labels = F.split("_host", r"\.")
     found = found.filter(size <= F.size(labels)).groupBy("_host").agg(F.max(F.struct((F.col("_more") == -1).alias("first"), size.alias("size"))).alias("_best"))
