@@ -202,9 +202,9 @@ def _prefixes(percent: int):
     return run
 
 
-def _files(rows: int, each: int = 20_000) -> int:
+def _files(rows: int, each: int = 100_000) -> int:
     """Files for a table of so many rows: a small one has few, a large one as many as its tasks make."""
-    return 8 + rows // each
+    return 3 + rows // each
 
 
 def _index(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -325,7 +325,7 @@ def link_groups(
         n_ids = ids.count()
         hint = F.broadcast if n_ids <= max_broadcast else lambda x: x
         chosen = texts.join(hint(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-        have.append(write_table(_set_rows(chosen, width).join(hint(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]), "shingles", most_files=_files(n_ids, 2000)))
+        have.append(write_table(_set_rows(chosen, width).join(hint(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]), "shingles", most_files=_files(n_ids, 10_000)))
 
     have: list[DataFrame] = []
     tried: list[DataFrame] = []
@@ -353,7 +353,7 @@ def link_groups(
         if not n_close:
             continue
         fetch(close, n_close, have)
-        links = write_table(_verify(close, reduce(DataFrame.unionByName, have), percent), "links", most_files=_files(n_close, 2000))
+        links = write_table(_verify(close, reduce(DataFrame.unionByName, have), percent), "links", most_files=_files(n_close, 10_000))
         n_links = links.count()
         if not n_links:
             continue
