@@ -17,8 +17,8 @@ def connected(links: DataFrame, about: int | None = None) -> DataFrame:
     links there are, if the caller knows.
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = write_table(edges, "links", most_files=about and 8 + about // 50_000)
-    last, files = None, 8 + (about or edges.count()) // 50_000
+    edges = write_table(edges, "links", most_files=about and 3 + about // 200_000)
+    last, files = None, 3 + (about or edges.count()) // 200_000
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
