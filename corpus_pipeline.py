@@ -29,7 +29,7 @@ OWNER = "corpus_pipeline"
 def _stage(f):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.drop_tables(spark, OWNER)
-        bound_batches(spark)
+        bound_batches(spark, 4)
         with scratch.owned_by(OWNER):
             return f(spark, docs, sf_dir)
 
