@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,48 @@ def read_folder(spark: SparkSession, path: str, schema: str, required: str, patt
     return found[0].unionByName(found[1]) if with_csv else found[0]
 
 
+def read_quarantined(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """The rows of every JSON document below a folder, and what can't be read: source_file, reason, content.
+
+    A file that isn't JSON, or a value in it that doesn't fit its column, is a row of the second frame; rows that can
+    be read are in the first, whatever else is in their file. Both have ``source_file``. Each file is one document; a file
+    of no bytes has no rows in either.
+    """
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("source_file"))
+    trimmed = F.trim(F.regexp_replace("value", r"\s+", " "))
+    # a document is a list of objects, or one object; what is left over of a row that doesn't fit is in _bad
+    kept = F.when(F.startswith(trimmed, F.lit("[")), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    parsed = texts.withColumn("_items", F.from_json(kept, "array<string>", {"mode": "PERMISSIVE"})).withColumn("_read", F.try_parse_json("value").isNotNull())
+    whole = parsed.filter("_read and value != ''")
+    items = whole.select("source_file", F.explode("_items").alias("item"))
+    fitted = items.withColumn("row", F.from_json("item", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    columns = [f.name for f in fitted.schema["row"].dataType if f.name != "_bad"]
+    rows = fitted.filter("row._bad is null").select(*[F.col(f"row.`{c}`").alias(c) for c in columns], "source_file")
+    broken = parsed.filter("not _read or value = ''").select("source_file", F.lit("not JSON").alias("reason"), F.col("value").alias("content"))
+    return rows, broken.unionByName(fitted.filter("row._bad is not null").select("source_file", F.lit("does not fit").alias("reason"), F.col("item").alias("content")))
+
+
+def read_sources(spark: SparkSession, sources: dict[str, str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of several Parquet sources, with ``source``, and a row for each source: source, status (OK or FAILED), reason, n.
+
+    A source that can't be opened fails alone: it has no rows, its n is null, not 0, and the others are read. Only the
+    paths and columns are looked at here; what breaks while rows are read breaks the query.
+    """
+    found, states = [], []
+    wanted = spark.createDataFrame([], schema)
+    for name, path in sources.items():
+        try:
+            rows = spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in wanted.schema])
+            found.append(rows.withColumn("source", F.lit(name)))
+            states.append((name, "OK", None))
+        except AnalysisException as e:
+            states.append((name, "FAILED", (e.getCondition() or "unknown")))
+    rows = reduce(DataFrame.unionByName, found, wanted.withColumn("source", F.lit(None).cast("string")))
+    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
+    status = spark.createDataFrame(states, "source string, status string, reason string").join(counts, "source", "left")
+    return rows, status.select("source", "status", "reason", F.when(F.col("status") == "OK", F.coalesce("n", F.lit(0))).alias("n"))
+
+
 def read_state(spark: SparkSession, path: str, schema: str, key: str, at: str) -> DataFrame:
     """A JSON-lines log, each key's last entry."""
     rows = spark.read.schema(schema).json(path)
@@ -101,8 +145,10 @@ def markdown_report(title: str, totals: dict[str, int], codes: DataFrame, issues
     return "\n".join(lines) + "\n"
 
 
-def write_distinct_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(column).distinct().orderBy(column).coalesce(1).write.mode("overwrite").text(path)
+def write_distinct_text(df: DataFrame, column: str, path: str, by: str | None = None) -> None:
+    """One file with each value on a line, sorted, or in the order of ``by`` in which they come first."""
+    values = df.groupBy(column).agg(F.min(by or column).alias("_first")).orderBy("_first", column)
+    values.select(column).coalesce(1).write.mode("overwrite").text(path)
 
 
 def sitemap_locations(xml: Column) -> Column:
@@ -111,7 +157,7 @@ def sitemap_locations(xml: Column) -> Column:
 
 def walk_sitemaps(files: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """url: the distinct pages that sitemaps lead to, from files (url, xml) and the urls of roots, through indexes of
-    sitemaps and those they list, ``depth`` levels of them at most; a sitemap is read once."""
+    sitemaps and those they list; a sitemap is read once. Indexes nested deeper than ``depth`` levels are an error."""
     level, seen, found = roots.select("url").distinct(), roots.select("url").distinct(), None
     for _ in range(depth):
         read = files.join(level, "url").select(F.contains("xml", F.lit("<sitemapindex")).alias("index"), F.explode(sitemap_locations(F.col("xml"))).alias("url"))
@@ -119,6 +165,8 @@ def walk_sitemaps(files: DataFrame, roots: DataFrame, depth: int = 5) -> DataFra
         found = pages if found is None else found.unionByName(pages)
         level = read.filter("index").select("url").distinct().join(seen, "url", "left_anti")
         seen = seen.unionByName(level)
+    if not files.join(level, "url", "left_semi").isEmpty():
+        raise ValueError(f"sitemaps are nested deeper than {depth} levels")
     return found.distinct()
 
 
