@@ -19,6 +19,18 @@ def street_numbers(text: Column) -> Column:
     return F.regexp_extract_all(rest, F.lit(r"(?<![\d-])(\d{1,3}(?:-\d{1,3})?[A-Za-zΑ-Ω]?)(?![\d-])"), 1)
 
 
+def number_near_postal(text: Column, before: int = 90, without: int = 140) -> Column:
+    """The street number (1 to 499, with a letter perhaps) nearest before a text's first postal code, at most ``before``
+    characters away; without a code the last one in its first ``without`` characters; '' if there is none."""
+    clean = squeeze(F.coalesce(text, F.lit("")))
+    at = F.regexp_instr(clean, F.lit(r"\b\d{3}\s?\d{2}\b"))
+    start = F.greatest(at - before, F.lit(1))
+    stretch = F.when(at > 0, F.substr(clean, start, at - start)).otherwise(F.left(clean, F.lit(without)))
+    found = F.regexp_extract_all(stretch, F.lit(r"(?U)\b([0-9]{1,3}[A-Za-zΑ-Ωα-ω]?)\b"), 1)
+    fitting = F.filter(found, lambda x: F.regexp_extract(x, r"^\d+", 0).cast("int").between(1, 499))
+    return F.when(F.size(fitting) > 0, F.element_at(fitting, -1)).otherwise("")
+
+
 def locality(text: Column, aliases: list[tuple[str, str]]) -> Column:
     """The place of the first alias, in the list's order, that a text contains as a word; null if none."""
     words = catalog_form(text)

@@ -7,6 +7,8 @@ millrace.plans.changes for applying it).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,19 @@ def candidate_score(official: Column, has_url: Column, strong: Column, supportin
     return F.least(F.lit(100), points + F.least(F.lit(10), supporting * 5) + F.when(purchase, 10).otherwise(0))
 
 
+def link_score(text: Column, listed: list[tuple[list[str], int, bool]], patterns: list[tuple[str, int]]) -> Column:
+    """Points of a link by what its URL and label contain: of each (words, points, each) list once for every word, or (each
+    is false) once for any of them; and of each (pattern, points) that matches. Not clamped."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    total = F.lit(0)
+    for words, points, each in listed:
+        found = [F.contains(low, F.lit(w)) for w in words]
+        total = total + (sum((F.when(f, points).otherwise(0) for f in found), F.lit(0)) if each else F.when(reduce(lambda a, b: a | b, found), points).otherwise(0))
+    for pattern, points in patterns:
+        total = total + F.when(F.rlike(low, F.lit(pattern)), points).otherwise(0)
+    return total
+
+
 def result_score(tests: list[tuple[Column, int]]) -> Column:
     """Points of what holds, clamped to 0 and 100."""
     total = F.lit(0)

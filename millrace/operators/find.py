@@ -6,6 +6,7 @@ says otherwise; enumerations sort by the order in which their values are declare
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,6 +83,25 @@ def _from_cursor(cursor: dict[str, Any], order_by: dict | list[dict], backwards:
     return keep
 
 
+def parameter(value: str | list[str] | None) -> str | None:
+    """A request's parameter: the first of several, without blanks around it; None if nothing is left."""
+    first = (value[0] if value else None) if isinstance(value, list) else value
+    return (first or "").strip() or None
+
+
+def page_number(value: str | list[str] | None) -> int:
+    """The page a request asks for: digits alone, 1 to 2^53 - 1; else 1."""
+    raw = parameter(value)
+    number = int(raw) if raw and raw.isascii() and raw.isdigit() and len(raw) < 20 else 1
+    return number if 0 < number < 1 << 53 else 1
+
+
+def optional_filter(always: dict, parameters: dict[str, Any], builders: dict[str, Callable[[str], dict]]) -> dict:
+    """A filter for where(): what always holds, and what the builder of each parameter that isn't blank adds."""
+    given = {name: parameter(parameters.get(name)) for name in builders}
+    return {"AND": [always, *[builders[name](value) for name, value in given.items() if value]]}
+
+
 def find_first(df: DataFrame, where_: dict | None = None, order_by: dict | list[dict] | None = None, **more: Any) -> DataFrame:
     return find_many(df, where_, order_by=order_by, take=1, **more)
 

@@ -46,6 +46,26 @@ def hash_changes(df: DataFrame, key: str, at: str, digest: str) -> DataFrame:
     return df.withColumn("state", F.when(first | before.isNull(), "NEW").when(before == F.col(digest), "SAME").otherwise("CHANGED"))
 
 
+def fetch_stability(df: DataFrame, key: str, at: str, kind: str, gap_seconds: int, required: int = 3, consider: int = 12) -> DataFrame:
+    """key, stable, reason and count: whether a key's newest observations, spaced_selection()'s way, are of one kind.
+
+    NOT_ENOUGH_OBSERVATIONS with how many there are, SPACING_NOT_MET with how many are far enough apart, else STABLE or
+    UNSTABLE_FETCH. Of observations at one time, the least kind counts as the newest.
+    """
+    newest = first_k(df, key, [F.col(at).desc(), F.col(kind)], consider).withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
+    seen = F.array_sort(F.collect_list(F.struct((-F.col("_at")).alias("t"), F.col(kind).alias("kind"))))  # ``consider`` at most
+    kept = F.aggregate(
+        "_seen",
+        F.array().cast(f"array<struct<t:bigint,kind:{df.schema[kind].dataType.simpleString()}>>"),
+        lambda acc, x: F.when((F.size(acc) == 0) | ((F.size(acc) < required) & (x["t"] - F.element_at(acc, -1)["t"] >= gap_seconds * 1_000_000)), F.array_append(acc, x)).otherwise(acc),
+    )
+    rows = newest.groupBy(key).agg(seen.alias("_seen")).select(key, F.size("_seen").alias("_n"), kept.alias("_kept"))
+    kinds = F.size(F.array_distinct(F.transform("_kept", lambda x: x["kind"])))
+    few, close = F.col("_n") < required, F.size("_kept") < required
+    reason = F.when(few, "NOT_ENOUGH_OBSERVATIONS").when(close, "SPACING_NOT_MET").when(kinds == 1, "STABLE").otherwise("UNSTABLE_FETCH")
+    return rows.select(key, (reason == "STABLE").alias("stable"), reason.alias("reason"), F.when(few, F.col("_n")).otherwise(F.size("_kept")).alias("count"))
+
+
 def spaced_selection(df: DataFrame, key: str, at: str, gap_seconds: int, most: int = 3, consider: int = 12) -> DataFrame:
     """key and ``kept``: newest first, times of a key at least gap_seconds older than the one kept before, up to ``most``.
 

@@ -314,13 +314,13 @@ def rule_mapping_minus_existing(spark, sf):
 
 
 @query("""
-WITH a AS (SELECT p_partkey AS a, p_name || ' of ' || lower(p_type) || CASE WHEN p_size % 3 = 0 THEN 's' ELSE '' END AS x FROM part WHERE p_size > 45),
-b AS (SELECT p_partkey AS b, p_name || ' of ' || lower(p_type) AS x FROM part WHERE p_size < 4)
-SELECT a, b, round(1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 6) AS similarity FROM a, b WHERE 1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) >= 0.85""")
+WITH n AS (SELECT DISTINCT p_name || ' of ' || lower(p_type) AS b FROM part), m AS (SELECT DISTINCT p_name || ' of ' || lower(p_type) || CASE WHEN p_size % 3 = 0 THEN 's' ELSE '' END AS a FROM part)
+SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity FROM m, n WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.85""")
 def similar_names(spark, sf):
+    """Similar names among all distinct names of parts, and the same with some endings."""
     name = F.concat("p_name", F.lit(" of "), F.lower("p_type"))
-    left = part(spark, sf).filter("p_size > 45").select(F.col("p_partkey").alias("a"), F.concat(name, F.when(F.col("p_size") % 3 == 0, "s").otherwise("")).alias("x"))
-    right = part(spark, sf).filter("p_size < 4").select(F.col("p_partkey").alias("b"), name.alias("x"))
+    left = part(spark, sf).select(F.concat(name, F.when(F.col("p_size") % 3 == 0, "s").otherwise("")).alias("x")).distinct().withColumn("a", F.col("x"))
+    right = part(spark, sf).select(name.alias("x")).distinct().withColumn("b", F.col("x"))
     return linkage.similar_names(left, right, "a", "b", "x", 85).withColumn("similarity", F.round("similarity", 6))
 
 
