@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text, urls
-from millrace.operators import anchors, classify, linkage, search
+from millrace.operators import anchors, classify, linkage, recommend, search
 from millrace.operators.postings import SearchIndex
 from millrace.operators.rank import first_per_key, hash_changes
 from millrace.plans import scratch
@@ -434,3 +434,15 @@ def instant_many(spark, sf):
     doubled = rows.select(F.concat(F.substring(name, 1, 3), F.substr(name, F.lit(3))).alias("query"))
     asked = rows.select(F.substring(name, 1, 5).alias("query")).union(doubled).union(rows.select(F.substring("p_type", 1, 2).alias("query")))
     return part_index(spark, sf).instant(asked, "query").select("query", "p_partkey", F.col("score").cast("int").alias("score"), "rank")
+
+
+@query("""
+WITH s AS (SELECT a.p_partkey, b.p_partkey AS other, b.p_brand, CASE WHEN a.p_brand = b.p_brand THEN 12 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 4 ELSE 0 END + CASE WHEN a.p_size = b.p_size THEN 6 ELSE 0 END AS score
+ FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND (a.p_brand = b.p_brand OR a.p_type = b.p_type OR a.p_size = b.p_size)),
+o AS (FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey, p_brand ORDER BY score DESC, other) = 1)
+SELECT p_partkey, other, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS rank FROM o QUALIFY rank <= 6""")
+def related_all(spark, sf):
+    """The six best others for every part: brand, type and size in common, types too common to be paired."""
+    rows = part(spark, sf)
+    links = [(rows.select("p_partkey", F.col("p_type").alias("key")), 4), (rows.select("p_partkey", F.col("p_size").alias("key")), 6)]
+    return recommend.related_items(rows, "p_partkey", "p_brand", links, 12, 6, hot=150)
