@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -155,9 +156,10 @@ def sitemap_locations(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit(r"(?s)<loc>\s*([^<]+?)\s*</loc>"), 1)
 
 
-def walk_sitemaps(files: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+def walk_sitemaps(files: DataFrame, roots: DataFrame, depth: int = 5, strict: bool = False) -> DataFrame:
     """url: the distinct pages that sitemaps lead to, from files (url, xml) and the urls of roots, through indexes of
-    sitemaps and those they list; a sitemap is read once. Indexes nested deeper than ``depth`` levels are an error."""
+    sitemaps and those they list, ``depth`` levels of them at most; a sitemap is read once. Sitemaps below that aren't
+    read: there is a warning, or (strict) an error."""
     level, seen, found = roots.select("url").distinct(), roots.select("url").distinct(), None
     for _ in range(depth):
         read = files.join(level, "url").select(F.contains("xml", F.lit("<sitemapindex")).alias("index"), F.explode(sitemap_locations(F.col("xml"))).alias("url"))
@@ -166,7 +168,9 @@ def walk_sitemaps(files: DataFrame, roots: DataFrame, depth: int = 5) -> DataFra
         level = read.filter("index").select("url").distinct().join(seen, "url", "left_anti")
         seen = seen.unionByName(level)
     if not files.join(level, "url", "left_semi").isEmpty():
-        raise ValueError(f"sitemaps are nested deeper than {depth} levels")
+        if strict:
+            raise ValueError(f"sitemaps are nested deeper than {depth} levels")
+        warnings.warn(f"sitemaps deeper than {depth} levels are left out", stacklevel=2)
     return found.distinct()
 
 

@@ -28,13 +28,15 @@ def test_a_missing_source_fails_alone(spark, tmp_path):
     assert {r.source: (r.status, r.n) for r in status.collect()} == {"good": ("OK", 2), "empty": ("OK", 0), "odd": ("FAILED", None), "missing": ("FAILED", None)}
 
 
-def test_deep_sitemaps_are_an_error(spark):
+def test_deep_sitemaps_are_not_left_out_in_silence(spark):
     maps = [(f"{i}.xml", f"<sitemapindex><loc>{i + 1}.xml</loc></sitemapindex>") for i in range(4)] + [("4.xml", "<urlset><loc>page</loc></urlset>")]
     frame = spark.createDataFrame(maps, "url string, xml string")
     root = spark.createDataFrame([("0.xml",)], "url string")
     assert [r.url for r in files.walk_sitemaps(frame, root).collect()] == ["page"]
     with pytest.raises(ValueError, match="deeper"):
-        files.walk_sitemaps(frame, root, depth=3)
+        files.walk_sitemaps(frame, root, depth=3, strict=True)
+    with pytest.warns(UserWarning, match="deeper"):
+        assert files.walk_sitemaps(frame, root, depth=3).collect() == []
 
 
 def test_deletions_through_a_graph_of_keys(spark):
