@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from millrace.operators import panes
 from millrace.plans import changes, scratch
 from millrace.plans.catalog import Catalog, ForeignKey
+from millrace.plans.changes import Plan
 from millrace.plans.scratch import table
+from millrace.plans.stored import StoredTable
 from millrace.queries import Registry
 from millrace.sources import files
 from millrace.streaming import replay, views
@@ -203,3 +205,15 @@ def rolling_periods(spark, sf):
     path = _folder(spark, "panes")
     panes.write_panes(table(spark, sf, "events"), "ts", ["event_type"], path)
     return panes.rolling(spark, path, ["event_type"], "2024-01-10", "2024-01-31", [3, 7])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_totalprice < 250000 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' AND o_totalprice < 250000 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders")
+def stored_apply(spark, sf):
+    """A plan applied to a stored table, twice: rows change, some move to another partition, the second time is nothing."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    stored = StoredTable.create(orders, _folder(spark, "stored"), ["o_orderkey"], "o_orderstatus")
+    actions = orders.filter("o_orderstatus = 'P' and o_totalprice < 250000").select("o_orderkey", F.lit("F").alias("o_orderstatus"), F.lit(0.0).alias("o_totalprice"))
+    plan = Plan(actions, stored.read(), ["o_orderkey"])
+    stored.apply(plan)
+    stored.apply(plan)
+    return StoredTable(spark, stored.root).read()

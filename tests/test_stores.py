@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import panes
 from millrace.plans.catalog import Catalog, ForeignKey
+from millrace.plans.changes import Plan, StalePlan
+from millrace.plans.stored import StoredTable
 from millrace.sources import files
 
 
@@ -72,3 +74,26 @@ def test_panes_moved_on_day_by_day(spark, tmp_path):
             assert sorted(known.collect(), key=key) == sorted(want, key=key) == sorted(([r[1:] for r in whole if r.day.day == day]), key=key)
     plan = panes.advance(spark, path, ["kind"], known, "2024-01-25", [5])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters", 1)[1][:200]
+
+
+def test_plans_applied_to_a_stored_table(spark, tmp_path):
+    rows = [(1, "a/b", 10), (2, "a/b", 20), (3, "é", 30), (4, None, 40), (5, "z", 50)]
+    df = spark.createDataFrame(rows, "id int, kind string, n int")
+    stored = StoredTable.create(df, str(tmp_path / "t"), ["id"], "kind")
+    read = lambda: sorted(((r.id, r.kind, r.n) for r in StoredTable(spark, str(tmp_path / "t")).read().collect()))
+    assert read() == sorted(rows)
+    before = stored.manifest()[1]["parts"]
+    actions = spark.createDataFrame([(1, "z", None), (3, None, 31), (6, "new", 60)], "id int, kind string, n int")
+    plan = Plan(actions, stored.read(), ["id"])
+    other = Plan(spark.createDataFrame([(3, 99)], "id int, n int"), stored.read(), ["id"])
+    assert stored.apply(plan) and not stored.apply(plan)
+    want = [(1, "z", 10), (2, "a/b", 20), (3, "é", 31), (4, None, 40), (5, "z", 50), (6, "new", 60)]
+    assert read() == want
+    after = stored.manifest()[1]["parts"]
+    assert after["n"] == before["n"] and all(after[p] != before[p] for p in before if p != "n") and len(after) == 5
+    number = stored.manifest()[0]
+    with pytest.raises(StalePlan):  # row 3 isn't what it was when the plan was made
+        stored.apply(other)
+    assert stored.manifest()[0] == number and read() == want
+    gone = Plan(spark.createDataFrame([(5, "a/b"), (1, "a/b")], "id int, kind string"), stored.read(), ["id"])
+    assert stored.apply(gone) and "z" not in {r[1] for r in read()} and len(stored.manifest()[1]["parts"]) == 4
