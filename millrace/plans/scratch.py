@@ -65,13 +65,17 @@ def remember(path: str) -> None:
 
 def drop_tables(spark: SparkSession, owner: str) -> None:
     """Deletes an owner's tables. Only for callers that have stored everything that was made from them."""
-    jvm = spark.sparkContext._jvm
     for entry in [e for e in _written if e[0] == owner]:
-        target = jvm.org.apache.hadoop.fs.Path(entry[1])
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        drop_path(spark, entry[1])
         _written.remove(entry)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table that a caller wrote, and no longer needs."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet") if "://" not in sf_dir else f"{sf_dir.rstrip('/')}/{name}.parquet")
