@@ -78,12 +78,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a data folder; the rows of the last."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents of a data folder; the rows of the last. A stage's copy goes when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{scratch.shared_dir(spark)}/millrace/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            scratch.drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
