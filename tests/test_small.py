@@ -13,7 +13,7 @@ def one(spark, column):
 def test_amounts_and_currencies(spark):
     got = lambda f, x: one(spark, f(F.lit(x).cast("string")))
     assert got(offers.explicit_amounts, "€ 20, 15,50 ευρώ, usd 1.250 and 3 eur, 20000 eur, 30e 40ex") == [15.5, 20, 30, 1250]
-    assert got(offers.title_amounts, "Gift Card no. 25 of 2024") == [25] and got(offers.title_amounts, "Gift card A25, 50") == [50]
+    assert got(offers.title_amounts, "Gift Card no. 25 of 2024") == [25] and got(offers.title_amounts, "Gift card A25, 50") == []
     assert got(offers.explicit_amounts, None) == [] and got(offers.title_amounts, "δωροκάρτα 100") == [100]
     assert got(offers.url_amounts, "https://x.gr/gift-card-50/e-30eur_7") == [7, 30, 50] and got(offers.url_amounts, "https://x.gr/shop/50") == []
     assert got(offers.url_amounts, "https://x.gr/%CE%B4%CF%89%CF%81%CE%BF-20/") == [20] and got(offers.url_amounts, "no url") == []
