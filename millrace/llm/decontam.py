@@ -3,9 +3,10 @@
 The n-grams of a benchmark are normalised into a hash set that every task receives; each document's
 tokens are scanned once, window by window, and hits are verified word by word. The set is never
 broadcast unchecked: a benchmark is dealt into blocks of at most ``block_chars`` characters, each block is
-scanned in a pass of its own, and the hits of all passes are merged by document. A pass is written before the
-next block is read, so one block at a time is in the driver and in the tasks; a Python worker keeps the set from
-one task to the next.
+scanned in a pass of its own, and the hits of all passes are merged by text. A pass reads nothing but texts, and
+writes a row for each distinct text with hits (its digest, spans and items) before the next block is read, so one
+block at a time is in the driver and in the tasks; a Python worker keeps the set from one task to the next. The
+pass over the last block returns the documents, joined with the hits of the passes before it.
 
 Defined results: a null text has no words; a document without words is never contaminated; items
 without words match nothing; equal items are all reported; words of an item without an id are hit, but no item is
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -114,23 +116,51 @@ def _set_of(key: str, shared) -> NgramSet:
     return _built[key]
 
 
+#: Bytes of hits of earlier blocks that are broadcast; more are joined by a shuffle.
+_BROADCAST_BYTES = 8_000_000
+_SPANS = "array<struct<start:long,end:long>>"
+
+
 def _mark(docs: DataFrame, marks: tuple[str, str, str], benchmark: DataFrame, width: int, block_chars: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """docs with three more columns: number of words, spans of hit words, items found."""
-    spark = docs.sparkSession
-    out = docs.select(
-        "*",
-        F.lit(None).cast("long").alias(marks[0]),
-        F.lit(None).cast("array<struct<start:long,end:long>>").alias(marks[1]),
-        F.lit(None).cast("array<long>").alias(marks[2]),
-    )
-    before = None
+    context = docs.sparkSession.sparkContext
+    earlier, held = [], []
     for block in _blocks(benchmark, item_col, item_text_col, block_chars):
-        if before is not None:
-            out = write_table(out, "scanned")
-            before.destroy()
-        before = spark.sparkContext.broadcast((block, width))
-        out = _scan(out, text_col, marks, uuid.uuid4().hex, before)
-    return out if before is not None else _scan(out, text_col, marks, "", spark.sparkContext.broadcast(([], width)))
+        if held:
+            shared = context.broadcast((held, width))
+            earlier.append(_hits(docs.select(F.col(text_col).alias("text")), shared))
+            shared.destroy()
+        held = block
+    rows = _with_hits(docs, text_col, marks, earlier) if earlier else _unmarked(docs, marks)
+    return _scan(rows, text_col, marks, uuid.uuid4().hex if held else "", context.broadcast((held, width)))
+
+
+def _unmarked(docs: DataFrame, marks: tuple[str, str, str]) -> DataFrame:
+    types = ("long", _SPANS, "array<long>")
+    return docs.select("*", *[F.lit(None).cast(t).alias(m) for m, t in zip(marks, types, strict=True)])
+
+
+def _digest(text):
+    return F.unhex(F.sha2(text.cast("string"), 256))
+
+
+def _hits(texts: DataFrame, shared) -> DataFrame:
+    """digest, spans, items of the distinct texts (one column) that a block hits, written."""
+    marks = ("n_words", "spans", "items")
+    found = _scan(_unmarked(texts, marks), "text", marks, uuid.uuid4().hex, shared).filter(F.size("spans") > 0)
+    return write_table(found.select(_digest(F.col("text")).alias("digest"), "spans", "items").dropDuplicates(["digest"]), "hits")
+
+
+def _with_hits(docs: DataFrame, text_col: str, marks: tuple[str, str, str], earlier: list[DataFrame]) -> DataFrame:
+    """docs with marks that hold what earlier passes found: a text's rows, one from each block at most, put together."""
+    hits = reduce(DataFrame.unionByName, earlier).groupBy("digest").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+    hits = write_table(hits, "hits")
+    size = hits.agg(F.sum(64 + 16 * F.size("spans") + 8 * F.size("items"))).first()[0] or 0
+    packed = docs.select(F.struct("*").alias("row"), _digest(F.col(text_col)).alias("key"))
+    joined = packed.join(F.broadcast(hits) if size <= _BROADCAST_BYTES else hits, F.col("key") == F.col("digest"), "left")
+    return joined.select("row.*", F.lit(None).cast("long").alias(marks[0]), F.col("spans").alias(marks[1]), F.col("items").alias(marks[2]))
 
 
 def _scan(docs: DataFrame, text_col: str, marks: tuple[str, str, str], key: str, shared) -> DataFrame:
@@ -170,7 +200,7 @@ def find_contamination(
     """doc_id, text, n_words, spans (runs of hit words, [start, end)) and items (found, sorted) for every row.
 
     The benchmark passes through the driver one block of block_chars at a time, which bounds both the
-    driver's memory and what is sent to the tasks; further blocks scan the written result of those before.
+    driver's memory and what is sent to the tasks; each further block reads the texts once more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return _mark(rows, ("n_words", "spans", "items"), benchmark, width, block_chars, "text", item_col, item_text_col)

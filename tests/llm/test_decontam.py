@@ -78,3 +78,20 @@ def test_clashing_names_and_a_long_text(spark):
         left = decontam.drop_contaminated(docs, bench, block_chars=block)
         assert left.columns == docs.columns
         assert sorted(r.items for r in left.collect() if r.items) == ["b", "d", "g", "z"]
+
+
+def test_blocks_meet_by_text(spark, monkeypatch):
+    """Texts that repeat, and items of several blocks in one text, with earlier hits broadcast and shuffled."""
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(13))) for k in range(6)] + [(None, "free words")]
+    both = f"{items[0][1]} and {items[3][1]} and {items[5][1]} free words"
+    rows = [(i, both if i % 3 else items[i % 6][1]) for i in range(60)] + [(60, None), (61, ""), (62, "free words"), (63, "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (8_000_000, 0):
+        monkeypatch.setattr(decontam, "_BROADCAST_BYTES", most)
+        got = {r.doc_id: r for r in decontam.find_contamination(docs, bench, block_chars=100).collect()}
+        assert len(got) == len(rows)
+        for doc_id, text in rows:
+            n, hit, found = brute(text, items)
+            r = got[doc_id]
+            assert (r.n_words, {k for s in r.spans for k in range(s.start, s.end)}, set(r["items"])) == (n, hit, found)
