@@ -78,6 +78,16 @@ def verification(confidence: Column, verdict: Column, canonical: Column, positiv
     )
 
 
+def tier(plan: Column, active: Column, ends: Column, now: Column, known: tuple[str, ...] = ("PREMIUM_BANNER", "FEATURED", "PARTNER")) -> Column:
+    """The plan of a subscription that is active and hasn't ended (a null end is none), if it is a known one; else null."""
+    return F.when(active & (ends.isNull() | (ends > now)) & plan.isin(*known), plan)
+
+
+def tier_rank(name: Column, ranked: tuple[str, ...] = ("FEATURED", "PREMIUM_BANNER")) -> Column:
+    """A tier's place from 1 on among those that are promoted, lowest first; 0 for all others and null."""
+    return F.coalesce(*[F.when(name == t, k) for k, t in enumerate(ranked, 1)], F.lit(0))
+
+
 def opportunity(impressions: Column, clicks: Column, position: Column) -> Column:
     """CTR, TOP_TEN or SECOND_PAGE of a search query's figures; null if it is none."""
     ctr = percent(clicks, impressions, 2)

@@ -61,6 +61,15 @@ def cascading_match(left: DataFrame, targets: list[tuple[str, DataFrame]], keys:
     return out.drop(*[f"_{x}{n}" for n in range(len(targets)) for x in ("id", "key")])
 
 
+def with_evidence(rows: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """rows with the other columns of evidence, by key. A row without evidence, or a key with two rows of it, is an error
+    when read: what is decided from evidence must not pass over what has none."""
+    others = [c for c in evidence.columns if c != key]
+    one = evidence.groupBy(key).agg(F.count("*").alias("_n"), *[F.any_value(F.col(c)).alias(c) for c in others])
+    joined = rows.join(one, key, "left")
+    return joined.filter(F.assert_true(F.coalesce(F.col("_n"), F.lit(0)) == 1, "not one row of evidence for a key").isNull()).drop("_n")
+
+
 def dedupe_plan(items: DataFrame, known: DataFrame, id_col: str, known_id: str, domain: str, name: str, score: Column, at: str) -> DataFrame:
     """action, id_col, keep_id, known_id of the items to mark: those of a known domain; of the others with one domain all
     but the best (score, then the earliest); and, to be reviewed, those left of which only the name is known.
@@ -99,7 +108,8 @@ def duplicate_clusters(df: DataFrame, id_col: str, strong: str, weak: str) -> Da
 def pairs_in_block(df: DataFrame, id_col: str, block: str, columns: list[str], keep: Callable[[Callable, Callable], Column]) -> DataFrame:
     """a, b (a < b) of a block's rows for which ``keep`` holds, given functions from column name to either side's column.
 
-    Blocks should be narrow keys; a pair of rows that share several blocks needs a distinct() after.
+    Blocks should be narrow keys, as all pairs of one are tried (millrace.operators.programs does without); a pair of rows
+    that share several blocks needs a distinct() after.
     """
     a = df.select(F.col(block).alias("_block"), F.col(id_col).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
     b = df.select(F.col(block).alias("_block"), F.col(id_col).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])

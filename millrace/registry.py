@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.plans.scratch import table
-from millrace.queries import Registry, algebra, analytics, auditing, curating, evidence, forms, linking, shop, stores, texts
+from millrace.queries import Registry, algebra, analytics, auditing, curating, evidence, forms, linking, offering, shop, stores, texts
 
 query = Registry()
 
@@ -27,6 +27,6 @@ def groupby_count(spark, sf_dir):
     )
 
 
-_PARTS = [query, algebra.query, analytics.query, texts.query, linking.query, curating.query, shop.query, evidence.query, auditing.query, forms.query, stores.query]
+_PARTS = [query, algebra.query, analytics.query, texts.query, linking.query, curating.query, shop.query, evidence.query, auditing.query, forms.query, stores.query, offering.query]
 QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
