@@ -53,16 +53,16 @@ SIGNS = verify.Signs(meant=r"(^| )(of|for) |/en/", aside=r"/(en|fr)/[0-9]*7", bo
 
 @query(r"""
 WITH u AS (SELECT page_id, html, url, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_extract(url, '/([0-9]+)', 1) AS n FROM pages),
-t AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS shop, contains(url, 'utm_source') AS lost, CASE WHEN starts_with(url, 'http:') AND contains(url, '/de/') THEN 404 ELSE 200 END AS status,
- CASE WHEN ends_with(url, '#top') THEN 'other.' || host ELSE host END AS final, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS address,
+t AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS site, CASE WHEN starts_with(host, 'blog.') THEN 'writers.example' ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS shop, contains(url, 'utm_source') AS lost, CASE WHEN starts_with(url, 'http:') AND contains(url, '/de/') THEN 404 ELSE 200 END AS status,
+ CASE WHEN ends_with(url, '#top') THEN 'other.example' ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS final, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS address,
  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\s+', ' ', 'g')) AS body,
  regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g') AS title, regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g') AS h1 FROM u),
 s AS (SELECT *, regexp_matches(lower(strip_accents(trim(title))), '(^| )(of|for) ') AS in_title, regexp_matches(lower(strip_accents(trim(h1))), '(^| )(of|for) ') AS in_heading,
  regexp_matches(address, '/en/') AS in_url, regexp_matches(lower(strip_accents(body)), '(^| )(of|for) ') AS in_text, regexp_matches(lower(strip_accents(trim(title))), '(^| )(of|for) ') AS named,
  regexp_matches(lower(strip_accents(title || ' ' || h1 || ' ' || body)), '\$\$\$|%%%| anat ') AS bought, regexp_matches(html, '<div class=.ad.>[A-H]') AS marked, contains(title || ' ' || h1 || ' ' || body, n) AS found FROM t)
-SELECT page_id, n AS amount, CASE WHEN lost OR status <> 200 THEN 'ERROR' WHEN host <> shop OR final <> shop THEN 'REVIEW' WHEN regexp_matches(address, '/(en|fr)/[0-9]*7') AND NOT in_title AND NOT in_heading THEN 'REVIEW'
+SELECT page_id, n AS amount, CASE WHEN lost OR status <> 200 THEN 'ERROR' WHEN site <> shop OR final <> shop THEN 'REVIEW' WHEN regexp_matches(address, '/(en|fr)/[0-9]*7') AND NOT in_title AND NOT in_heading THEN 'REVIEW'
  WHEN NOT (in_title OR in_heading OR in_url AND (in_text OR named)) OR NOT (bought OR marked OR found) THEN 'REVIEW' ELSE 'AUTO_SAFE' END AS bucket,
- CASE WHEN lost THEN 'FETCH_ERROR:TimeoutError' WHEN status <> 200 THEN 'HTTP_404' WHEN host <> shop THEN 'OFFICIAL_URL_MERCHANT_DOMAIN_MISMATCH' WHEN final <> shop THEN 'REDIRECT_DOMAIN_MISMATCH'
+ CASE WHEN lost THEN 'FETCH_ERROR:TimeoutError' WHEN status <> 200 THEN 'HTTP_404' WHEN site <> shop THEN 'OFFICIAL_URL_MERCHANT_DOMAIN_MISMATCH' WHEN final <> shop THEN 'REDIRECT_DOMAIN_MISMATCH'
  WHEN regexp_matches(address, '/(en|fr)/[0-9]*7') AND NOT in_title AND NOT in_heading THEN 'TERMS_PRIVACY_GIFTSET_OR_SUPPORT_PAGE' WHEN NOT (in_title OR in_heading OR in_url AND (in_text OR named)) THEN 'NO_STRONG_GIFT_CARD_EVIDENCE'
  WHEN NOT (bought OR marked OR found) THEN 'NO_STRONG_PURCHASE_OR_VALUE_EVIDENCE' ELSE 'HTTP_OK_SAME_DOMAIN_STRONG_GIFT_CARD_SEMANTICS_AND_COMMERCE_EVIDENCE' END AS reason FROM s""")
 def evidence_decisions(spark, sf):
@@ -71,12 +71,12 @@ def evidence_decisions(spark, sf):
     heading = F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)
     rows = table(spark, sf, "pages").select(
         "page_id", "html", F.concat_ws(" ", heading, F.regexp_extract("url", r"/([0-9]+)", 1), F.lit("EUR")).alias("title"), url.alias("item_url"),
-        F.concat(F.lit("https://www."), urls.registrable(name)).alias("shop_url"),
-        F.when(F.endswith(url, F.lit("#top")), F.regexp_replace(url, "^([^:]*://)", "$1other.")).otherwise(url).alias("final_url"),
+        F.concat(F.lit("https://www."), F.when(F.startswith(name, F.lit("blog.")), "writers.example").otherwise(urls.registrable(name))).alias("shop_url"),
+        F.when(F.endswith(url, F.lit("#top")), F.regexp_replace(url, "://[^/]*", "://other.example")).otherwise(url).alias("final_url"),
         F.when(F.startswith(url, F.lit("http:")) & F.contains(url, F.lit("/de/")), 404).otherwise(200).alias("status"),
         F.when(F.contains(url, F.lit("utm_source")), "TimeoutError").alias("error"),
     )
-    return verify.decide(rows, SIGNS).select("page_id", "amount", "bucket", "reason")
+    return verify.decide(rows, SIGNS, site=lambda u: urls.registrable(urls.host(u))).select("page_id", "amount", "bucket", "reason")
 
 
 @query("""
