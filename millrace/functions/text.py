@@ -91,6 +91,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def one_less(word: Column) -> Column:
+    """What is left of a word when one letter goes, for each of its letters; nothing of an empty one."""
+    n = F.length(word)
+    drop = lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), drop)).otherwise(F.array().cast("array<string>"))
+
+
 def allowed_typos(word: Column, long_from: int, shortest: int) -> Column:
     """How many edits a word may be off: none below ``shortest`` letters, two from ``long_from`` on, else one."""
     n = F.length(word)
