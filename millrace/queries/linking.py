@@ -61,8 +61,7 @@ def clusters_exact(spark, sf):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE abs(a.p_size - b.p_size) <= 3")
 def pairs_similarity(spark, sf):
-    rows = part(spark, sf).withColumn("block", F.concat_ws("|", "p_name", "p_brand"))
-    return linkage.pairs_in_block(rows, "p_partkey", "block", ["p_size"], lambda a, b: F.abs(a("p_size") - b("p_size")) <= 3)
+    return linkage.pairs_in_block(part(spark, sf), "p_partkey", ["p_name", "p_brand"], ["p_size"], lambda a, b: F.abs(a("p_size") - b("p_size")) <= 3, near=("p_size", 3))
 
 
 @query("""

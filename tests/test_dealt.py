@@ -43,3 +43,18 @@ def test_every_pair_of_rows_has_its_surest_reason(spark):
     known = spark.createDataFrame([(1, "x", "r", "n"), (2, None, "r", "the name of a firm"), (3, "z", "", "the name of a firm"), (4, "", None, "")], "b int, d string, r string, name string")
     got = sorted(map(tuple, linkage.duplicate_audit(new, known, "a", "b", "d", "r", "name").collect()))
     assert got == [(1, 1, 100), (1, 1, 100), (1, 2, 98), (1, 2, 98), (2, 1, 98), (2, 2, 98), (2, 3, 97), (3, 2, 92), (3, 3, 92)]
+
+
+def rows_in_a_block(spark, n):
+    size = F.when(F.col("id") % 9 > 0, F.col("id") % 100).cast("int")
+    return spark.range(n).select("id", size.alias("size"), F.when(F.col("id") % 7 > 0, "x").alias("name"), F.lit("y").alias("brand"))
+
+
+def test_neighbouring_values_alone_are_paired(spark):
+    rows = rows_in_a_block(spark, 700)
+    found = linkage.pairs_in_block(rows, "id", ["name", "brand"], ["size"], lambda a, b: F.abs(a("size") - b("size")) <= 3, near=("size", 3))
+    known = [(r.id, r["size"]) for r in rows.collect() if r.name and r["size"] is not None]
+    assert sorted(map(tuple, found.collect())) == [(i, j) for i, x in known for j, y in known if i < j and abs(x - y) <= 3]
+    assert most_rows(found) < len(known) ** 2 / 8
+    every = linkage.pairs_in_block(rows, "id", "name", ["size"], lambda a, b: F.abs(a("size") - b("size")) <= 3)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, found.collect()))
