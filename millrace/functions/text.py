@@ -81,12 +81,17 @@ GREEK_LONG = {"θ": "th", "ψ": "ps"}
 GREEK_FROM, GREEK_TO = "αβγδεζηικλμνξοπρστυφχω", "avgdeziiklmnxoprstyfxo"
 
 
-def greek_to_latin(text: Column) -> Column:
+def latin_letters(form: Column) -> Column:
+    """A text in search form in Latin letters."""
     steps = {**GREEK_PAIRS, **GREEK_LONG}
-    spelled = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), steps.items(), search_form(text))
+    spelled = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), steps.items(), form)
     return F.translate(spelled, GREEK_FROM, GREEK_TO)
 
 
+def greek_to_latin(text: Column) -> Column:
+    return latin_letters(search_form(text))
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 

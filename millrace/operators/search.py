@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import catalog_form, greek_to_latin, match_strength, osa_distance, search_form
+from millrace.functions.text import catalog_form, greek_to_latin, latin_letters, match_strength, osa_distance, search_form
 from millrace.operators.rank import first_per_key
 
 #: What a word counts in each field, and how headings of archives begin.
@@ -20,11 +20,16 @@ def weighted_search(df: DataFrame, query: str, fields: dict[str, float], least:
 
     Boosts are added to what is relevant by itself; with boost_first they count towards relevance.
     """
-    asked = F.lit(query)
-    forms = [(search_form, search_form(asked)), (greek_to_latin, greek_to_latin(asked))]
-    strengths = [match_strength(form(F.coalesce(F.col(c), F.lit(""))), q) * w for c, w in fields.items() for form, q in forms]
+    plain, latin = search_form(F.lit(query)), greek_to_latin(F.lit(query))
+    once = lambda rows, **made: rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))  # noqa: E731  a filter on what is made doesn't make it again
+    rows = once(df, **{f"_form{k}": search_form(F.coalesce(F.col(c), F.lit(""))) for k, c in enumerate(fields)})
+    strengths = []
+    for k, w in enumerate(fields.values()):
+        form = F.col(f"_form{k}")
+        other = F.rlike(form, F.lit("[α-ω]")) | (plain != latin)  # else the same again in Latin letters
+        strengths += [match_strength(form, plain) * w, F.when(other, match_strength(latin_letters(form), latin) * w)]
     extra = reduce(lambda a, b: a + b, [F.when(c, b).otherwise(0.0) for c, b in boosts or []], F.lit(0.0))
-    scored = df.withColumn("_raw", F.greatest(*strengths) if len(strengths) > 1 else strengths[0])
+    scored = once(rows, _raw=F.greatest(*strengths)).drop(*[f"_form{k}" for k in range(len(fields))])
     tested = F.col("_raw") + extra if boost_first else F.col("_raw")
     return scored.filter(tested >= least).withColumn("score", F.floor(F.col("_raw") + extra + 0.5)).drop("_raw")
 
