@@ -69,7 +69,7 @@ WITH RECURSIVE e AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN
 r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node)
 SELECT node, min(g) AS "group" FROM r GROUP BY node""")
 def components(spark, sf):
-    return linkage.components(pairs_similarity(spark, sf))
+    return linkage.components(linkage.chain_links(part(spark, sf), "p_partkey", ["p_name", "p_brand"], ("p_size", 3)))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size < 5 THEN 'REJECT' WHEN contains(p_name, 'red') AND p_retailprice > 950 THEN 'AUTO' WHEN p_size > 45 THEN 'AUTO' ELSE 'REVIEW' END AS bucket,

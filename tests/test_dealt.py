@@ -58,3 +58,13 @@ def test_neighbouring_values_alone_are_paired(spark):
     assert most_rows(found) < len(known) ** 2 / 8
     every = linkage.pairs_in_block(rows, "id", "name", ["size"], lambda a, b: F.abs(a("size") - b("size")) <= 3)
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_chains_lead_to_the_groups_of_all_pairs(spark):
+    rows = rows_in_a_block(spark, 90).withColumn("size", F.col("size") * 2 - F.when(F.col("size") > 50, 20).otherwise(0)).filter("size % 7 > 2")
+    rows = rows.union(rows.filter("id < 40").selectExpr("id + 1000", "size + 1000", "'z'", "'y'")).union(rows.selectExpr("id % 5 + 500", "size", "name", "brand"))
+    links = linkage.chain_links(rows, "id", ["name", "brand"], ("size", 3))
+    pairs = linkage.pairs_in_block(rows, "id", ["name", "brand"], ["size"], lambda a, b: F.abs(a("size") - b("size")) <= 3)
+    got = sorted(map(tuple, linkage.components(links).collect()))
+    assert got == sorted(map(tuple, linkage.components(pairs).collect())) and len({g for _, g in got}) > 1
+    assert links.count() <= 2 * rows.count()
