@@ -95,7 +95,7 @@ def view_stream(spark, sf):
     schema = "user_id long, event_type string, ts timestamp, event_id long"
     rows = events.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")])
     for part in (rows.filter(~late), rows.filter(late)):
-        replay.write_in_order(part, "ts", source, 2)
-        found = replay.count_views(spark, source, schema, ["user_id", "event_type"], "ts", out, checkpoint, 7200)
+        files = replay.write_in_order(part, "ts", source, 1)  # without an order of their own, so a run takes them in one batch
+        found = replay.count_views(spark, source, schema, ["user_id", "event_type"], "ts", out, checkpoint, 7200, files)
     counted = found.join(rows, ["user_id", "event_type", "ts"])  # of events at one time, the first
     return counted.groupBy("user_id", "event_type", "ts").agg(F.min("event_id").alias("event_id")).select("event_id", "user_id", "event_type")

@@ -183,11 +183,11 @@ def cascade_all(spark, sf):
 @query("""
 SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id WHERE c_acctbal > 0 AND event_type NOT IN ('error', 'view')""")
 def click_stream(spark, sf):
-    """Clicks that a person made, of active customers, from a folder of event files that are worked through one by one."""
+    """Clicks that a person made, of active customers, from a folder of event files that are worked through slice by slice."""
     source, out, checkpoint = (_folder(spark, f"clicks-{x}") for x in ("in", "out", "checkpoint"))
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    replay.write_in_order(events, "ts", source, 3)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = replay.write_in_order(events, "ts", source, 3)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source)
     kind = F.col("event_type")
     clicks = views.human_clicks(stream, F.when(kind == "error", "head").otherwise("GET"), F.when(kind == "view", "Prefetch;prerender"))
     active = table(spark, sf, "customer").filter("c_acctbal > 0")

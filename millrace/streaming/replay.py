@@ -30,7 +30,7 @@ def read_batches(spark: SparkSession, out: str, schema: str) -> DataFrame:
 def count_views(spark: SparkSession, source: str, schema: str, keys: list[str], at: str, out: str, checkpoint: str, window_seconds: int = 1800, files_per_batch: int = 1, late: str = "10 minutes") -> DataFrame:
     """The views of a folder of Parquet files that count (accept_views()), of this run and those before it.
 
-    Files must come in the order of their times, but for what ``late`` allows.
+    Files must come in the order of their times, but for what ``late`` allows; those of one batch in any order.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     accepted = accept_views(stream, keys, at, window_seconds, late)
@@ -39,11 +39,17 @@ def count_views(spark: SparkSession, source: str, schema: str, keys: list[str],
     return read_batches(spark, out, ", ".join(f"`{c}` {t}" for c, t in types.items()))
 
 
-def write_in_order(df: DataFrame, at: str, path: str, files: int) -> None:
-    """df as so many files, cut by time and written one after the other, as a log of events comes in."""
+def write_in_order(df: DataFrame, at: str, path: str, files: int, most_rows: int = 1_000_000) -> int:
+    """df as so many slices, cut by time and written one after the other, as a log of events comes in.
+
+    A slice is one file, or of several, without an order, if files would have more than most_rows. Returns how
+    many files a slice has at most.
+    """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    cuts = df.select(micros.cast("double").alias("t")).approxQuantile("t", [k / files for k in range(1, files)], 0.001)
+    cuts = df.select(micros.cast("double").alias("t")).approxQuantile("t", [k / files for k in range(1, files)], 0.001) if files > 1 else []
+    each = max(1, -(-df.count() // (files * most_rows)))
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = df if low is None else df.filter(micros >= low)
-        (part if high is None else part.filter(micros < high)).coalesce(1).write.mode("append").parquet(path)
+        (part if high is None else part.filter(micros < high)).coalesce(each).write.mode("append").parquet(path)
+    return each

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from millrace.sources import files
-from millrace.streaming import views
+from millrace.streaming import replay, views
 
 
 def test_csv_and_json(spark, tmp_path):
@@ -59,6 +59,25 @@ def test_streamed_views(spark, tmp_path):
     assert got == [("", 0), ("", 40), ("", 75), ("a", 0), ("a", 40), ("a", 75)]
 
 
+def test_views_of_many_keys_share_few_rows_of_state(spark, tmp_path):
+    start, big = datetime(2024, 1, 1), 2**53
+    keys = [(None if k == 7 else big + k, f"k{k % 3}" if k % 5 else None, bytes([k, 255]), start + timedelta(microseconds=k), k / 3) for k in range(60)]
+    schema = "n long, s string, b binary, d timestamp, f double, ts timestamp"
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    times, want = ([50, 0, 20, 45], [85, 60, 95]), [0, 45, 85]  # in no order; a window of 30 minutes from the last that counts
+    for batch in times:
+        rows = spark.createDataFrame([(*key, start + timedelta(minutes=m)) for m in batch for key in keys], schema)
+        assert (files := replay.write_in_order(rows, "ts", source, 1, most_rows=100)) == -(-len(batch) * 60 // 100)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+        accepted = views.accept_views(stream, ["n", "s", "b", "d", "f"], "ts", groups=4)
+        assert [(x.name, x.dataType) for x in accepted.schema] == [(x.name, x.dataType) for x in rows.schema]
+        replay.run_available(accepted, out, check)
+    got = sorted((str(r.n), str(r.s), bytes(r.b), r.d, r.f, (r.ts - start).seconds // 60) for r in replay.read_batches(spark, out, schema).collect())
+    assert got == sorted((str(n), str(s), b, d, f, m) for n, s, b, d, f in keys for m in want)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 2
+    assert 1 <= spark.read.format("statestore").load(check).count() <= 4  # not one for each of 60 keys
+
+
 def test_clicks(spark):
     df = spark.createDataFrame([(1, "GET", None), (2, "head", None), (3, None, "Prefetch;x"), (4, "POST", "")], "id int, method string, purpose string")
     assert sorted(r.id for r in views.human_clicks(df, F.col("method"), F.col("purpose")).collect()) == [1, 4]
